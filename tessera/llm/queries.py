@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._tables import table
+from tessera.llm.decontaminate import decontaminate
 from tessera.llm.jaccard_join import jaccard_join
+from tessera.llm.repeats import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,3 +42,41 @@ c as (select node, min(other) component_id from r group by node)
 select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, coalesce(c.component_id, d.doc_id) component_id
 from documents d left join n on n.doc_id = d.doc_id left join c on c.node = d.doc_id
 """
+
+
+@query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+SQL["op3_decontaminate"] = r"""
+with b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark),
+p as (
+  select distinct item_id, least(len(ws), 10) n, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), i -> array_to_string(ws[i:i+9], ' '))) g from b where len(ws) > 0),
+d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
+k as (select distinct n from p),
+w as (
+  select doc_id, n, unnest(range(1, len(ws) - n + 2)) i, unnest(list_transform(range(1, len(ws) - n + 2), i -> array_to_string(ws[i:i+n-1], ' '))) g from d, k where len(ws) >= n),
+h as (select w.doc_id, w.i, w.n, p.item_id from w join p on p.n = w.n and p.g = w.g),
+t as (select doc_id, count(distinct j) n_hit from (select doc_id, unnest(range(i, i + n)) j from h) group by doc_id),
+m as (select doc_id, count(*) n_items, string_agg(x, ',' order by x) s from (select distinct doc_id, item_id::varchar x from h) group by doc_id)
+select d.doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+  sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join t on t.doc_id = d.doc_id left join m on m.doc_id = d.doc_id
+"""
+
+
+@query
+def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
