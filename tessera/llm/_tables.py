@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -40,12 +40,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that are sent to every task at most; more are matched by a shuffled join.
+BROADCAST_KEYS = 500_000
+
+
+def only(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is among the keys of a staged table of one column."""
+    few = keys.count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, key, "left_semi")
+
+
 def own_columns(df: DataFrame, **names: str) -> DataFrame:
     """Only the columns that an operator needs, under its own names, so that
     extra columns of the input cannot clash with them.
     """
     return df.select(*(df[f"`{old}`"].alias(new) for new, old in names.items()))
-
-
-def columns_hash(*cols: str | Column) -> Column:
-    return F.xxhash64(*cols)

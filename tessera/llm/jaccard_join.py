@@ -36,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._tables import own_columns, staged
+from tessera.llm._tables import only, own_columns, staged
 from tessera.llm._text import U, mix, shingle_sets
 from tessera.llm.components import components
 
 #: A posting list longer than this is refined by the second order before it is expanded.
-LONG_LIST = 64
+LONG_LIST = 512
 _SECOND = U(0x8CB92BA72F3D8DD7)
 
 #: A set's parity sketch is so many 64-bit words: bit k says whether an odd
@@ -187,7 +187,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = staged(classes, "classes")
     nodes = classes.select(F.col("representative").alias("id")).distinct()
     lists = named.join(nodes, "id", "left_semi")
-    texts = source
 
     # Posting lists of the first order with two members or more.
     tokens = lists.select("id", "n", F.explode("first").alias("token"))
@@ -203,6 +202,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """Pairs x, y that share a prefix token under the second order and reach the similarity."""
         pairs = pairs.join(under("l_", "x"), "x").join(under("r_", "y"), "y").where(_alike("l_n", "r_n", "l_", "r_", percent))
         pairs = staged(pairs.where(F.arrays_overlap("l_second", "r_second")).select("x", "y"), "candidates")
+        ids = staged(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "ids")
+        texts = only(source, ids, "id")
         pairs = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y")
         return staged(pairs.mapInArrow(_verified(n_words, percent), "x long, y long").distinct(), "links")
 
@@ -213,18 +214,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Lists that still span components: pairs across components.
     rest = posted.where("m > 2").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     spans = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    rest = rest.join(spans, "token", "left_semi").join(second.select("id", "second", *_BITS), "id")
-    rest = staged(rest.select("token", "id", "n", "hid", "m", "component", "second", *_BITS), "rest")
+    rest = rest.join(spans, "token", "left_semi").join(second.select("id", *_BITS), "id")
+    rest = staged(rest.select("token", "id", "n", "hid", "m", "component", *_BITS), "rest")
 
     def across(rows: DataFrame, keys: list[str]) -> DataFrame:
         a = rows.select(*keys, F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), "hid", *(F.col(k).alias(f"l_{k}") for k in _BITS))
         b = rows.select(*keys, F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), *(F.col(k).alias(f"r_{k}") for k in _BITS))
         return a.join(b, keys).where("x < y and cx <> cy and x <> hid and y <> hid").where(_close("nx", "ny", percent)).where(_alike("nx", "ny", "l_", "r_", percent)).select("x", "y")
 
-    long = rest.where(F.col("m") > LONG_LIST).select("token", "id", "n", "hid", "component", *_BITS, F.explode("second").alias("other"))
-    apart = long.groupBy("token", "other").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "other")
-    long = long.join(apart, ["token", "other"], "left_semi")
-    more = across(rest.where(F.col("m") <= LONG_LIST), ["token"]).union(across(long, ["token", "other"])).distinct().join(stars, ["x", "y"], "left_anti")
+    long = rest.where(F.col("m") > LONG_LIST)
+    fine = long.select("token", "id", "component").join(second.select("id", F.explode("second").alias("other")), "id").select(F.xxhash64("token", "other").alias("both"), "token", "id", "component")
+    apart = fine.groupBy("both").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("both")
+    long = fine.select("both", "token", "id").join(apart, "both", "left_semi").join(long, ["token", "id"])
+    more = across(rest.where(F.col("m") <= LONG_LIST), ["token"]).union(across(long, ["both"])).distinct().join(stars, ["x", "y"], "left_anti")
     more = staged(more, "across")
     if not more.isEmpty():
         links = links.union(verify(more))

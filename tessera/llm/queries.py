@@ -32,7 +32,7 @@ with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
 s as (
   select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
-    else list_transform(range(1, len(ws) - 2), i -> array_to_string(ws[i:i+3], ' ')) end) g from w),
+    else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) end) g from w),
 n as (select doc_id, count(*) n from s group by doc_id),
 p as (select a.doc_id x, b.doc_id y, count(*) k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
 l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * k >= 85 * (a.n + b.n - k)),
@@ -61,12 +61,12 @@ SQL["op3_decontaminate"] = r"""
 with b as (
   select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark),
 p as (
-  select distinct item_id, least(len(ws), 10) n, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), i -> array_to_string(ws[i:i+9], ' '))) g from b where len(ws) > 0),
+  select distinct item_id, least(len(ws), 10) n, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i: array_to_string(ws[i:i+9], ' '))) g from b where len(ws) > 0),
 d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
 k as (select distinct n from p),
 w as (
-  select doc_id, n, unnest(range(1, len(ws) - n + 2)) i, unnest(list_transform(range(1, len(ws) - n + 2), i -> array_to_string(ws[i:i+n-1], ' '))) g from d, k where len(ws) >= n),
+  select doc_id, n, unnest(range(1, len(ws) - n + 2)) i, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i+n-1], ' '))) g from d, k where len(ws) >= n),
 h as (select w.doc_id, w.i, w.n, p.item_id from w join p on p.n = w.n and p.g = w.g),
 t as (select doc_id, count(distinct j) n_hit from (select doc_id, unnest(range(i, i + n)) j from h) group by doc_id),
 m as (select doc_id, count(*) n_items, string_agg(x, ',' order by x) s from (select distinct doc_id, item_id::varchar x from h) group by doc_id)

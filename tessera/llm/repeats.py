@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._tables import own_columns, staged
+from tessera.llm._tables import only, own_columns, staged
 from tessera.llm._text import _BYTE, U, mix, piece_hashes, slices
 from tessera.llm.suffix_groups import suffix_array
 
@@ -315,7 +315,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ).where("h is not null").select("*", "h.upper", F.xxhash64("gram", "h.upper", "h.half").alias("group"))
     shared = halves.groupBy("group").agg(F.count("*").alias("m")).where("m > 1").select("group")
     wanted = halves.join(shared, "group").groupBy("key").agg(F.collect_list(F.struct("group", "gram", "context", "upper", "at", "left", "right")).alias("wanted"))
-    fetched = source.select("key", "text").join(wanted, "key").mapInArrow(_contexts(length), _CONTEXTS)
+    wanted = staged(wanted, "wanted")
+    fetched = only(source.select("key", "text"), wanted.select("key"), "key").join(wanted, "key").mapInArrow(_contexts(length), _CONTEXTS)
     fetched = fetched.repartition("group").dropDuplicates(["group", "context"]).sortWithinPartitions("group")
     solved = staged(fetched.mapInArrow(_solved(length), _FOUND), "solved")
 
