@@ -50,6 +50,13 @@ def only(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(keys) if few else keys, key, "left_semi")
 
 
+def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is null or not among the keys."""
+    keys = staged(keys.where(f"{key} is not null").distinct(), "gone")
+    few = keys.count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, key, "left_anti")
+
+
 def own_columns(df: DataFrame, **names: str) -> DataFrame:
     """Only the columns that an operator needs, under its own names, so that
     extra columns of the input cannot clash with them.

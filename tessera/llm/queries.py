@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._tables import table
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.jaccard_join import jaccard_join
+from tessera.llm.packing import pack
+from tessera.llm.quality import judge_quality
 from tessera.llm.repeats import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +83,17 @@ from d left join t on t.doc_id = d.doc_id left join m on m.doc_id = d.doc_id
 def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"), length=400)
     return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(pack(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN))
+
+
+def packed_digest(pieces: DataFrame) -> DataFrame:
+    return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", F.col("queue").alias("source"), "window")
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host_col="source", path_col="lang").withColumnRenamed("id", "doc_id")

@@ -278,16 +278,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for to, value in zip(out, (rest.decode("utf-8", "ignore"), len(text), len(text) - len(rest), len(merged) // 2, hashlib.sha256(rest).hexdigest(), merged), strict=True):
                 to.append(value)
         types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=["id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+        columns = [batch.column("id").cast(pa.int64()), *(pa.array(x, t) for x, t in zip(out, types, strict=True))]
+        names = ["id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+        if "carry" in batch.schema.names:
+            columns, names = [*columns, batch.column("carry")], [*names, "carry"]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, carry: list[str] | None = None) -> DataFrame:
     """Cut every byte covered by a `length`-byte string that also starts elsewhere.
 
     Returns one row per input row: id, text (what is left; a character that
     was cut in two is dropped), n_bytes, n_removed, n_spans (maximal removed
     runs), kept_sha256 (of the remaining bytes), spans (byte ranges, flat).
 
+    With carry, these columns of the input come back in a struct of that name.
+
     Strings are judged on the input and never cross texts.  A null text is
     empty.  Texts shorter than `length` stay whole.  Of repeated texts every
     one is cut, rows that repeat id and text included.  Null ids are kept.
@@ -326,4 +332,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = spans.union(again.where("not agree").join(reach, ["gram", "context"]).select("key", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("stop")))
     spans = spans.distinct().groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     spans = staged(spans, "spans")
-    return source.join(spans, "key", "left").mapInArrow(_cut, _CUT)
+    if carry:
+        source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carry")).withColumn("key", F.xxhash64("id", "text"))
+    schema = _CUT + (f", carry {source.schema['carry'].dataType.simpleString()}" if carry else "")
+    return source.join(spans, "key", "left").mapInArrow(_cut, schema)
