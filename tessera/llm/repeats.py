@@ -306,7 +306,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = staged(source.where(F.octet_length("text") >= length).select("key", "text").mapInArrow(_anchors(length), _ANCHORS), "anchors")
 
     seen = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1").select("gram", (F.col("a") == F.col("b")).alias("agree"))
-    again = staged(anchors.join(seen, "gram"), "again")
+    again = staged(anchors.join(staged(seen, "seen"), "gram"), "again")
     kinds = staged(
         again.where("not agree").groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "at", "left", "right", "before", "after")).alias("r")).select("gram", "context", "n", "r.*"),
         "kinds",
