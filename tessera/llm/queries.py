@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._tables import table
+from tessera.llm._tables import shared_dir, table
+from tessera.llm.chat import format_chats
 from tessera.llm.decontaminate import decontaminate
+from tessera.llm.html_text import extract_text
 from tessera.llm.jaccard_join import jaccard_join
 from tessera.llm.packing import pack
 from tessera.llm.quality import judge_quality
 from tessera.llm.repeats import remove_repeats
+from tessera.llm.sharding import shuffle_into_shards
+from tessera.llm.url_filters import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -97,3 +102,38 @@ def packed_digest(pieces: DataFrame) -> DataFrame:
 @query
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host_col="source", path_col="lang").withColumnRenamed("id", "doc_id")
+
+
+@query
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+    judged = filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), rules)
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", F.array_join("mined", " ").alias("mined"))
+
+
+@query
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extract_text(table(spark, sf_dir, "pages"))
+    return texts.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex[:12]}"
+    text = F.coalesce("text", F.lit(""))
+    shuffled = shuffle_into_shards(table(spark, sf_dir, "documents"), path, shards=8)
+    return shuffled.select(
+        F.col("id").alias("doc_id"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = format_chats(table(spark, sf_dir, "conversations"))
+    return chats.select(F.col("conv").alias("conv_id"), F.col("block.wide").alias("block"), "n_turns", "n_merged", "n_relabelled", "n_inserted", "cost", "rendered")
