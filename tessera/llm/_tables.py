@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Shuffle files go as soon as a staged table is written, and whole texts travel to Python in small batches.
+_WHILE_STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +32,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    before = spark.conf.get(_CLEAN, None)
+    before = {k: spark.conf.get(k, None) for k in _WHILE_STAGING}
     try:
-        spark.conf.set(_CLEAN, "true")
+        for k, v in _WHILE_STAGING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

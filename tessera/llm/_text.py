@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes handled at once.  A single longer text is one slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=U) * U(2) + U(1)

@@ -189,9 +189,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lists = named.join(nodes, "id", "left_semi")
 
     # Posting lists of the first order with two members or more.
-    tokens = lists.select("id", "n", F.explode("first").alias("token"))
-    heads = tokens.groupBy("token").agg(F.min(F.struct("id", "n")).alias("head"), F.max("id").alias("last"), F.count("*").alias("m")).where("head.id <> last")
-    posted = staged(tokens.join(heads, "token").select("token", "id", "n", F.col("head.id").alias("hid"), F.col("head.n").alias("hn"), "m"), "posted")
+    tokens = lists.select("id", F.explode("first").alias("token"))
+    heads = tokens.groupBy("token").agg(F.min("id").alias("hid"), F.max("id").alias("last"), F.count("*").alias("m")).where("hid <> last").drop("last")
+    posted = staged(tokens.join(staged(heads, "heads"), "token").select("token", "id", "hid", "m"), "posted")
 
     second = staged(lists.join(posted.select("id").distinct(), "id", "left_semi").select("id", "n", "second", *_BITS), "second")
 
@@ -200,21 +200,21 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Pairs x, y that share a prefix token under the second order and reach the similarity."""
-        pairs = pairs.join(under("l_", "x"), "x").join(under("r_", "y"), "y").where(_alike("l_n", "r_n", "l_", "r_", percent))
+        pairs = pairs.join(under("l_", "x"), "x").join(under("r_", "y"), "y").where(_close("l_n", "r_n", percent)).where(_alike("l_n", "r_n", "l_", "r_", percent))
         pairs = staged(pairs.where(F.arrays_overlap("l_second", "r_second")).select("x", "y"), "candidates")
         ids = staged(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "ids")
         texts = only(source, ids, "id")
         pairs = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y")
         return staged(pairs.mapInArrow(_verified(n_words, percent), "x long, y long").distinct(), "links")
 
-    stars = posted.where("id <> hid").where(_close("n", "hn", percent)).select(F.col("hid").alias("x"), F.col("id").alias("y")).distinct()
+    stars = posted.where("id <> hid").select(F.col("hid").alias("x"), F.col("id").alias("y")).distinct()
     links = verify(stars)
     found = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
 
     # Lists that still span components: pairs across components.
     rest = posted.where("m > 2").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     spans = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    rest = rest.join(spans, "token", "left_semi").join(second.select("id", *_BITS), "id")
+    rest = rest.join(spans, "token", "left_semi").join(second.select("id", "n", *_BITS), "id")
     rest = staged(rest.select("token", "id", "n", "hid", "m", "component", *_BITS), "rest")
 
     def across(rows: DataFrame, keys: list[str]) -> DataFrame:
