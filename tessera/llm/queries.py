@@ -14,6 +14,7 @@ from tessera.llm.chat import format_chats
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.html_text import extract_text
 from tessera.llm.jaccard_join import jaccard_join
+from tessera.llm.neighbours import nearest
 from tessera.llm.packing import pack
 from tessera.llm.quality import judge_quality
 from tessera.llm.repeats import remove_repeats
@@ -137,3 +138,9 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = format_chats(table(spark, sf_dir, "conversations"))
     return chats.select(F.col("conv").alias("conv_id"), F.col("block.wide").alias("block"), "n_turns", "n_merged", "n_relabelled", "n_inserted", "cost", "rendered")
+
+
+@query
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
