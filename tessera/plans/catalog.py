@@ -4,11 +4,375 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import text as X
+from tessera.operators import graph, index, ranking, sections, verify
+from tessera.plans.views import daily_events, document_lines, order_rows, part_carriers, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+_LINES = r"lines as (select doc_id doc, unnest(string_split(text, chr(10))) as text, unnest(range(1, len(string_split(text, chr(10))) + 1))::bigint as line from documents)"
+_ROWS = r"""lines as (select o_custkey doc, o_orderkey line, concat_ws(' | ', 'ORD-' || lpad(o_orderkey::varchar, 6, '0'), strftime(o_orderdate, '%Y-%m-%d'), '$' || printf('%.2f', o_totalprice), o_orderstatus, o_orderpriority) as text from orders)"""
+_BLANK = "trim(text, ' ') = ''"
+_HEADING = r"(not contains(text, chr(10)) and (regexp_matches(text, '^[0-9]+(?:\.[0-9]+)*\.? +[A-Z]') or (regexp_matches(text, '[A-Z].*[A-Z].*[A-Z].*[A-Z]') and not regexp_matches(text, '[a-z]'))))"
+_NUMBER = r"regexp_matches(trim(text, ' '), '^-?[0-9][0-9,]*(?:\.[0-9]+)?$')"
+_ROW = rf"(not contains(text, chr(10)) and (contains(text, ' | ') or {_NUMBER}))"
+_BLOCKS = rf"""{_LINES},
+marked as (select *, sum(case when {_BLANK} then 1 else 0 end) over (partition by doc order by line rows unbounded preceding) island from lines),
+blocks as (select doc, min(line) line, count(*) n_lines, string_agg(text, chr(10) order by line) as text from marked where not ({_BLANK}) group by doc, island)"""
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _occurrences(pattern: str) -> str:
+    return f"found as (select doc, line, unnest(regexp_extract_all(text, '{pattern}')) surface, unnest(range(1, len(regexp_extract_all(text, '{pattern}')) + 1)) n from lines)"
+
+
+def _grouped(key: str, where: str = "true", having: str = "true") -> str:
+    return f"""select {key} as value, count(*) n, arg_min(surface, (doc, line, n)) surface, array_to_string(list_sort(list(distinct doc)), ',') docs,
+  array_to_string(list_sort(list(distinct doc || '#l' || line)), ',') anchors from found where {where} group by 1 having {having}"""
+
+
+def _flat(found: DataFrame) -> DataFrame:
+    return found.select("value", "n", "surface", F.array_join("docs", ",").alias("docs"), F.array_join("anchors", ",").alias("anchors"))
+
+
+@query(f"with {_BLOCKS} select doc, line, n_lines, text from blocks")
+def q01_sections_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.blocks(document_lines(spark, sf_dir))
+
+
+@query(f"with {_LINES} select doc, line, last_value(case when {_HEADING} then text end ignore nulls) over (partition by doc order by line rows unbounded preceding) heading from lines")
+def q02_heading_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.headed(document_lines(spark, sf_dir)).select("doc", "line", "heading")
+
+
+@query(f"""with {_LINES}, m as (select *, sum(case when {_HEADING} or {_ROW} then 1 else 0 end) over (partition by doc order by line rows unbounded preceding) stop,
+row_number() over (partition by doc order by line) n from lines) select doc, line, text, n from m where stop = 0 and n <= 10""")
+def q03_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.front_matter(document_lines(spark, sf_dir)).select("doc", "line", "text", F.col("n").cast("long").alias("n"))
+
+
+_RUNS = f"""{_LINES}, r as (select *, line - row_number() over (partition by doc order by line) island from lines where {_ROW}),
+runs as (select doc, min(line) over (partition by doc, island) run, line, text, max(contains(text, ' | ')) over (partition by doc, island) barred from r),
+cells as (select doc, run, line, unnest(string_split(text, ' | ')) as text, unnest(range(1, len(string_split(text, ' | ')) + 1))::int cell from runs where barred),
+numbered as (select *, case when {_NUMBER} then replace(trim(text, ' '), ',', '')::double end number from cells)"""
+
+
+@query(f"with {_RUNS} select doc, run, line, cell, text, number from numbered")
+def q04_line_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.line_cells(sections.line_runs(document_lines(spark, sf_dir)))
+
+
+@query(f"""with {_RUNS.replace(_LINES, _ROWS.replace("concat_ws(' | ', 'ORD-'", "concat_ws(' | ', case when o_orderkey % 5 = 0 then 'Total' else o_custkey::varchar end, 'ORD-'"))}
+select doc, run, line, cell, number from numbered where number is not null""")
+def q04b_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.when(F.col("line") % 5 == 0, F.lit("Total")).otherwise(F.col("doc").cast("string"))
+    rows = order_rows(spark, sf_dir).withColumn("text", F.concat_ws(" | ", key, "text"))
+    return sections.line_cells(sections.line_runs(rows)).where("number is not null").select("doc", "run", "line", "cell", "number")
+
+
+@query(rf"with {_LINES}, {_occurrences('[A-Za-z0-9]+(?:[-_/][A-Za-z0-9]+)+')} {_grouped('upper(surface)', where="regexp_matches(surface, '[0-9]')")}")
+def q05_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(index.identifiers(document_lines(spark, sf_dir)))
+
+
+@query(rf"with {_LINES}, {_occurrences('[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}')} {_grouped('surface', having='count(distinct doc) >= 2')}")
+def q06_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(index.names(document_lines(spark, sf_dir)))
+
+
+@query(f"""with {_LINES}, t as (select unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) w from lines),
+c as (select lower(w) word, count(*) filter (regexp_matches(w, '^[A-Z]{{2,}}$')) n_upper, count(*) filter (regexp_matches(w, '^[a-z]+$')) n_lower from t
+where regexp_matches(w, '^[A-Z]{{2,}}$') or regexp_matches(w, '^[a-z]+$') group by 1)
+select word, n_upper, n_lower from c where n_upper > 0 and n_lower >= n_upper""")
+def q07_ordinary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.ordinary_words(document_lines(spark, sf_dir))
+
+
+@query(f"with {_ROWS}, {_occurrences('[0-9]{4}-[0-9]{2}-[0-9]{2}')} {_grouped('surface', where='try_cast(surface as date) is not null')}")
+def q08_row_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(index.dates(order_rows(spark, sf_dir)))
+
+
+@query(rf"with {_ROWS}, {_occurrences(r'\$[0-9][0-9,]*(?:\.[0-9]+)?')} {_grouped("replace(replace(surface, '$', ''), ',', '')::double")}")
+def q09_row_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(index.amounts(order_rows(spark, sf_dir)))
+
+
+@query(f"""with {_BLOCKS.replace(_LINES, _ROWS).replace('lines as (', 'lines as (', 1)}
+select doc, min(line) first_line, max(line) last_line, count(*) n_blocks, sum(n_lines)::bigint n_lines from blocks group by doc""")
+def q10_room_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = sections.blocks(order_rows(spark, sf_dir))
+    return own.groupBy("doc").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count("*").alias("n_blocks"), F.sum("n_lines").alias("n_lines"))
+
+
+_STATUS = {"draft": ["F", "O"], "final": ["P"], "urgent": ["1-URGENT", "2-HIGH"]}
+
+
+@query(rf"""with {_ROWS}, k as (select * from (values ('draft', '\b(?:F|O)\b'), ('final', '\b(?:P)\b'), ('urgent', '\b(?:1-URGENT|2-HIGH)\b')) v(status, p)),
+f as (select doc, line, status, unnest(regexp_extract_all(text, p)) surface, unnest(range(1, len(regexp_extract_all(text, p)) + 1)) n from lines, k),
+r as (select *, row_number() over (partition by doc, status order by line, n, surface) i from f)
+select doc, status, line, surface from r where i = 1""")
+def q11_status_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.status_claims(order_rows(spark, sf_dir), _STATUS)
+
+
+@query("""with c as (select (o_orderkey // 3)::bigint identifier, o_custkey doc, case when o_orderstatus = 'F' then 'draft' else 'final' end status, o_orderdate::date as day from orders),
+p as (select d.identifier, d.doc draft, f.doc final, d.day draft_day, f.day final_day from c d join c f on d.identifier = f.identifier and d.status = 'draft' and f.status = 'final' and d.day < f.day and d.doc <> f.doc),
+a as (select draft, final, draft_day, final_day, min(identifier) identifier from (select *, count(*) over (partition by identifier) m from p) where m = 1 group by all),
+t as (select doc from (select draft doc from a union all select final from a) group by doc having count(*) > 1)
+select * from a where draft not in (select doc from t) and final not in (select doc from t)""")
+def q12_version_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "draft").otherwise("final")
+    claims = o.select(F.expr("o_orderkey div 3").alias("identifier"), F.col("o_custkey").alias("doc"), status.alias("status"), F.to_date("o_orderdate").alias("day"))
+    return index.version_pairs(claims)
+
+
+@query("""with p as (select distinct user_id series, (extract(epoch from date_trunc('day', ts)) / 86400)::bigint period from events),
+s as (select series, period, period - lag(period) over (partition by series order by period) step from p)
+select series, min(step) step, count(*) n from s group by series having count(*) >= 3 and min(step) = max(step) and min(step) > 0""")
+def q13_constant_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("series"), F.unix_date(F.to_date("ts")).cast("long").alias("period")).distinct()
+    return index.constant_steps(e)
+
+
+_DAILY = 's as (select event_type series, ts::date as "at", round(sum(value), 4) as value from events group by 1, 2)'
+
+
+@query(f"""with {_DAILY}, a as (select *, value - lag(value) over w step, row_number() over w n from s window w as (partition by series order by "at")),
+b as (select *, quantile_cont(abs(step), 0.5) over (partition by series order by "at" rows between unbounded preceding and 1 preceding) usual from a),
+c as (select *, row_number() over (partition by series order by "at") r from b where n > 4 and abs(step) > 2 * usual)
+select series, "at", round(value, 6) as value, round(step, 6) step, round(usual, 6) usual from c where r = 1""")
+def q14_turn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.turn_index(daily_events(spark, sf_dir))
+
+
+@query(f"""with {_DAILY}, a as (select *, value - lag(value) over (partition by series order by "at") step from s),
+m as (select series, min("at") "at" from a where step < 0 group by series)
+select a.series, a."at", round(a.value - a.step, 6) before, round(a.value, 6) after from a join m on a.series = m.series and a."at" = m.at""")
+def q15_series_break(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("series").orderBy("at")
+    steps = daily_events(spark, sf_dir).withColumn("step", F.col("value") - F.lag("value").over(w)).where("step < 0")
+    first = steps.groupBy("series").agg(F.min(F.struct("at", "value", "step")).alias("x"))
+    return first.select("series", "x.at", F.round(F.col("x.value") - F.col("x.step"), 6).alias("before"), F.round("x.value", 6).alias("after"))
+
+
+_CARRIED = "c as (select distinct 'identifier' kind, l_partkey::varchar as value, l_suppkey doc from lineitem)"
+_EDGES = f"""{_CARRIED}, h as (select kind, value, count(*) carriers from c group by 1, 2 having count(*) between 2 and (select greatest(2, (count(*) * 0.5)::int) from supplier)),
+e as (select a.doc a, b.doc b, a.kind, a.value, round(1.0 / carriers, 6)::double weight from c a join c b on a.kind = b.kind and a.value = b.value and a.doc < b.doc join h on h.kind = a.kind and h.value = a.value)"""
+_NEAR = """twoway as (select a doc, b other, weight from e union all select b, a, weight from e),
+near as (select doc, other, round(sum(weight), 6) weight from twoway group by 1, 2)"""
+
+
+@query(f"with {_CARRIED} select kind, value, count(*) carriers, min(doc) first_doc from c group by 1, 2")
+def q16_carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_carriers(spark, sf_dir).groupBy("kind", "value").agg(F.count("*").alias("carriers"), F.min("doc").alias("first_doc"))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    most = graph.breadth(table(spark, sf_dir, "supplier").count())
+    return graph.value_edges(part_carriers(spark, sf_dir), most, graph.KIND_WEIGHTS["identifier"])
+
+
+@query(f"with {_EDGES} select a, b, kind, value, weight from e")
+def q17_value_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir)
+
+
+@query("""with d as (select distinct o_custkey doc, o_orderdate::date as day from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'P'),
+s as (select distinct day as first from d), w as (select first, doc, day from s join d on day between first and first + 7),
+h as (select first, count(distinct doc) population from w group by 1 having count(distinct doc) between 2 and 40),
+p as (select w.first, w.doc, w.day, population, x.doc x from w join h on w.first = h.first join w x on x.first = w.first and x.day = x.first where w.doc <> x.doc),
+r as (select least(doc, x) a, greatest(doc, x) b, first from_day, day to_day, round(0.9 / population, 6)::double weight,
+ row_number() over (partition by least(doc, x), greatest(doc, x) order by round(0.9 / population, 6) desc, first, day) i from p)
+select a, b, from_day, to_day, weight from r where i = 1""")
+def q18_date_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'")
+    return graph.date_edges(o.select(F.col("o_custkey").alias("doc"), F.to_date("o_orderdate").alias("day")), most=40)
+
+
+@query(f"with {_EDGES}, {_NEAR} select doc, count(*) n_others, round(sum(weight), 6) degree from near group by doc")
+def q19_adjacency_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(graph.adjacency(_edges(spark, sf_dir)))
+
+
+@query(f"""with {_EDGES}, {_NEAR}, m as (select doc, other, max(weight) weight from twoway group by 1, 2),
+r as (select doc, weight, row_number() over (partition by doc order by weight desc, other) i from m)
+select doc, round(sum(weight), 6) pull from r where i <= 3 group by doc order by pull desc, doc limit 25""")
+def q20_seed_pull_top25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.seed_pull(_edges(spark, sf_dir)).orderBy(F.desc("pull"), "doc").limit(25)
+
+
+@query(f"""with {_EDGES}, {_NEAR}, deg as (select doc, round(sum(weight), 6) degree from near group by doc),
+d0 as (select other seed, doc, weight direct from near where other in (1, 2, 3)),
+d1 as (select * from d0 union all select seed, seed, max(direct) * 1.5 from d0 group by seed),
+d as (select seed, doc, direct / max(direct) over (partition by seed) nearness from d1),
+s as (select d.seed, n.doc, sum(n.weight * d.nearness / deg.degree) spread from near n join d on n.other = d.doc join deg on deg.doc = d.doc group by 1, 2),
+z as (select seed, doc, spread / max(spread) over (partition by seed) spread from s)
+select coalesce(z.seed, d.seed) seed, coalesce(z.doc, d.doc) doc, round(coalesce(nearness, 0) + coalesce(z.spread, 0), 6) score from z full join d on z.seed = d.seed and z.doc = d.doc""")
+def q21_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = spark.createDataFrame([(1,), (2,), (3,)], "doc long")
+    return graph.scores(graph.adjacency(_edges(spark, sf_dir)), seeds)
+
+
+@query(f"""with {_EDGES}, r as (select *, row_number() over (partition by a, b order by weight desc, kind, value) i from e)
+select a, b, string_agg(value, ', ' order by i) why from r where i <= 3 group by a, b""")
+def q22_reasons_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reasons(_edges(spark, sf_dir))
+
+
+_COMMON = ", ".join(f"'{w}'" for w in X.COMMON_WORDS)
+
+
+def _content(what: str) -> str:
+    return f"list_distinct(list_filter(regexp_extract_all(lower({what}), '[a-z0-9]+'), lambda w: length(w) >= 3 and w not in ({_COMMON})))"
+
+
+@query(f"""with h as (select doc_id anchor, unnest({_content('text')}) w from documents), k as (select item_id ask, unnest({_content('text')}) w from benchmark),
+s as (select ask, anchor, count(*) shared from k join h using (w) group by 1, 2), r as (select *, row_number() over (partition by ask order by shared desc, anchor) i from s)
+select ask, anchor, shared from r where i = 1""")
+def q26_closest_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("anchor"), "text")
+    return ranking.closest_section(docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ask"), "text"))
+
+
+def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return verify.located(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote"), "text"), docs)
+
+
+@query("select item_id as quote, doc_id doc, instr(d.text, b.text)::bigint as at from benchmark b join documents d on contains(d.text, b.text) where trim(b.text) <> ''")
+def q27_quote_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _located(spark, sf_dir)
+
+
+@query("""with f as (select distinct item_id from benchmark b where exists (select 1 from documents d where contains(d.text, b.text)))
+select (select count(distinct item_id) from benchmark) n, count(*) n_found, round(100.0 * count(*) / (select count(distinct item_id) from benchmark), 2)::double recall from f""")
+def q28_planted_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fact"))
+    return verify.recall(facts, _located(spark, sf_dir).select(F.col("quote").alias("fact")))
+
+
+@query("""select lang, count(*) n, count(*) filter (toxic = 1) n_toxic, round(100 * avg((quality = 1)::int), 2)::double good_rate from documents join labels using (doc_id) group by lang""")
+def q29_label_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
+    return j.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.round(100 * F.avg((F.col("quality") == 1).cast("int")), 2).alias("good_rate"))
+
+
+@query(f"with {_CARRIED} select value, count(distinct doc) n from c group by value order by n, value limit 40")
+def q31_rarest_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rarest(part_carriers(spark, sf_dir))
+
+
+@query("""with r as (select source, doc_id, row_number() over (partition by source order by n_chars desc, doc_id) rank, ceil(n_chars / 4)::bigint as cost from documents),
+t as (select *, sum(cost) over (partition by source order by rank rows unbounded preceding) total from r)
+select source, doc_id, rank::int rank, cost, total::bigint total from t where total <= 20000 or rank = 1""")
+def q32_prefix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
+    return ranking.choose(d.select("source", "doc_id", rank.alias("rank"), F.ceil(F.col("n_chars") / 4).alias("cost")), 20_000, ["source"]).select("source", "doc_id", "rank", "cost", "total")
+
+
+@query("""with f as (select o_custkey doc, max(o_totalprice) as value from orders group by 1), g as (select o_custkey doc, max(o_orderkey) filter (o_totalprice = m) k from (select *, max(o_totalprice) over (partition by o_custkey) m from orders) group by 1)
+select f.doc, f.value, min(o.o_orderkey) anchor from f join orders o on o.o_custkey = f.doc and o.o_totalprice = f.value group by 1, 2""")
+def q33_largest_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return ranking.largest_per_doc(o.select(F.col("o_custkey").alias("doc"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("anchor")))
+
+
+@query("""with s as (select o_orderkey k, 60 as "days", o_orderdate::date as day from orders where o_orderpriority = '1-URGENT'), a as (select l_orderkey k, min(l_shipdate)::date done_day from lineitem group by 1)
+select k as "key", "days", day, done_day, datediff('day', day, done_day)::int - "days" late from s join a using (k) where datediff('day', day, done_day) > "days" """)
+def q34_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stated = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("key"), F.lit(60).alias("days"), F.to_date("o_orderdate").alias("day"))
+    done = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.to_date("l_shipdate").alias("day"))
+    return ranking.stated_against_done(stated, done)
+
+
+@query("""with r as (select o_orderpriority g, o_orderkey k, row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) turn from orders),
+f as (select * from r order by turn, g limit 60) select g as priority, k as o_orderkey, turn::int turn, row_number() over (order by turn, g)::int place from f""")
+def q37_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), "o_orderkey", "o_totalprice")
+    return ranking.round_robin(o, "priority", [F.desc("o_totalprice"), F.col("o_orderkey")], 60).select("priority", "o_orderkey", "turn", "place")
+
+
+@query(f"""with {_LINES}, c as (select doc_id id, case when doc_id % 3 = 0 then 'none' when doc_id % 3 = 1 then doc_id || '#l1' else (doc_id + 500) || '#l' || (doc_id % 7) end citation from documents),
+p as (select *, regexp_extract(citation, '^(.+)#l[0-9]+$', 1) doc from c)
+select id, citation, case when doc = '' then 'no citation' when doc not in (select doc_id::varchar from documents) then 'no such document' else 'no such line' end reason from p
+where doc = '' or doc not in (select doc_id::varchar from documents) or citation not in (select doc || '#l' || line from lines)""")
+def q39_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, id_ = table(spark, sf_dir, "documents"), F.col("doc_id")
+    citation = F.when(id_ % 3 == 0, F.lit("none")).when(id_ % 3 == 1, X.line_anchor(id_, F.lit(1))).otherwise(X.line_anchor(id_ + 500, id_ % 7))
+    anchors = document_lines(spark, sf_dir).select(X.line_anchor(F.col("doc"), F.col("line")).alias("anchor"))
+    return verify.failed_citations(d.select(id_.alias("id"), citation.alias("citation")), anchors, d.select(id_.alias("doc")))
+
+
+_NUMBERS = "list_distinct(list_transform(regexp_extract_all(text, '[0-9][0-9,]*(?:[.][0-9]+)?'), lambda x: replace(x, ',', '')))"
+
+
+@query(f"""with {_ROWS}, said as (select line id, doc + 1 doc, unnest({_NUMBERS}) number from lines), held as (select distinct doc, unnest({_NUMBERS}) number from lines)
+select id, number from said s where not exists (select 1 from held h where h.doc = s.doc and h.number = s.number)""")
+def q40_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = order_rows(spark, sf_dir)
+    return verify.unsupported_numbers(rows.select(F.col("line").alias("id"), (F.col("doc") + 1).alias("doc"), "text"), rows.select("doc", "text"))
+
+
+def _rung(k: int) -> str:
+    return rf"regexp_matches(lower(text), '\b(?:{'|'.join(verify.RUNGS[k])})\b')"
+
+
+@query(f"select lang, case when {_rung(2)} then 3 when {_rung(1)} then 2 when {_rung(0)} then 1 else 0 end::int rung, count(*) n from documents group by 1, 2")
+def q41_certainty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("lang", verify.rung(F.col("text")).alias("rung")).agg(F.count("*").alias("n"))
+
+
+@query(r"""with f as (select doc_id doc, left(text, 120) as text from documents), r as (select doc_id doc, text from documents where doc_id % 4 <> 0)
+select doc, text from f where not exists (select 1 from r where r.doc = f.doc and contains(trim(regexp_replace(r.text, '\s+', ' ', 'g')), trim(regexp_replace(f.text, '\s+', ' ', 'g'))))""")
+def q42_uncarried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return verify.uncarried(d.select("doc", F.left("text", F.lit(120)).alias("text")), d.where("doc % 4 <> 0"))
+
+
+@query("""with b as (select conv_id, turn, role, text, len(string_split(text, chr(10))) n from conversations)
+select conv_id, turn, unnest([n + 1, n + 2])::bigint line, unnest(['From: ' || role, 'Subject: conversation ' || conv_id]) as text from b""")
+def q44_mail_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of a message are numbered after its body."""
+    c = table(spark, sf_dir, "conversations")
+    headers = F.array(F.concat(F.lit("From: "), "role"), F.concat(F.lit("Subject: conversation "), F.col("conv_id").cast("string")))
+    return c.select("conv_id", "turn", F.size(F.split("text", "\n")).alias("n"), F.posexplode(headers).alias("pos", "text")).select("conv_id", "turn", (F.col("n") + F.col("pos") + 1).cast("long").alias("line"), "text")
+
+
+@query("""select event_type, event_id, round(1000000 - sum(value) over (partition by event_type order by ts, event_id rows unbounded preceding), 6) balance from events""")
+def q45_running_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("id"), F.col("ts").alias("at"), F.col("value").alias("amount"))
+    return ranking.running_balance(e, 1_000_000, "event_type").select("event_type", F.col("id").alias("event_id"), "balance")
+
+
+@query(f"""with recursive {_LINES}, s as (select doc, line, length(text)::bigint n from lines),
+p as (select doc, line, n chars, 1::bigint piece from s where line = 1
+ union all select s.doc, s.line, case when p.chars + 1 + s.n <= 2000 then p.chars + 1 + s.n else s.n end, case when p.chars + 1 + s.n <= 2000 then p.piece else p.piece + 1 end from p join s on s.doc = p.doc and s.line = p.line + 1)
+select doc, piece, min(line) "first", max(line) "last", count(*) n_sections, max(chars) chars from p group by doc, piece""")
+def q47_packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.packed_pieces(document_lines(spark, sf_dir), 2000)
+
+
+@query("select event_type, ts::date as day, count(*) n, round(sum(value), 4) as value from events group by 1, 2")
+def q49_daily_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return QUERIES["q21_scores"](spark, sf_dir)
