@@ -47,42 +47,41 @@ _SECOND = U(0x8CB92BA72F3D8DD7)
 #: A set's parity sketch is so many 64-bit words: bit k says whether an odd
 #: number of its tokens fall on k.  Two sketches differ in at most as many bits
 #: as the sets have tokens that only one of them has.
-SKETCH = 8
+SKETCH = 16
 _BITS = [f"b{k}" for k in range(SKETCH)]
 _SETS = "id long, n long, c1 long, c2 long, first array<long>, second array<long>, " + ", ".join(f"{b} long" for b in _BITS)
 
 
-#: Cells of the table of token frequencies, and the share of texts from which a cell counts as frequent.
+#: Cells of the table of token frequencies, and texts from which a token counts as frequent.
 CELLS = 1 << 22
-FREQUENT = 500
+FREQUENT = 48
 
 
 def _frequencies(n_words: int):
-    """Cells that a task saw often, with the number of its texts that have them; cell -1 counts texts."""
+    """Cells that a task saw more often than chance fills them, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, texts = np.zeros(CELLS, dtype=np.uint32), 0
+        seen, total = np.zeros(CELLS, dtype=np.uint32), 0
         for batch in batches:
             for tokens in shingle_sets(batch.column(0), n_words):
                 np.add.at(seen, (tokens & U(CELLS - 1)).astype(np.int64), 1)
-                texts += 1
-        cells = np.flatnonzero(seen >= max(2, texts // (2 * FREQUENT)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, -1)), pa.array(np.append(seen[cells], texts).astype(np.int64))], names=["cell", "seen"])
+                total += len(tokens)
+        cells = np.flatnonzero(seen >= max(2, 2 + 3 * total // CELLS))
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(seen[cells].astype(np.int64))], names=["cell", "seen"])
 
     return run
 
 
 def frequent_cells(texts: DataFrame, n_words: int) -> bytes:
-    """A bitmap of CELLS bits (a fixed 512 KB) of the tokens that very many texts have.
+    """A bitmap of CELLS bits (a fixed 512 KB) of the tokens that many texts have.
 
     It decides only which tokens come last in the orders.  Any choice gives
     the same links; this one keeps shared passages out of the prefixes.
     """
-    cells = texts.mapInArrow(_frequencies(n_words), "cell long, seen long").groupBy("cell").agg(F.sum("seen").alias("seen"))
-    cells = staged(cells, "cells")
-    least = max(64, (cells.where("cell = -1").agg(F.max("seen")).first()[0] or 0) // FREQUENT)
+    cells = staged(texts.mapInArrow(_frequencies(n_words), "cell long, seen long").groupBy("cell").agg(F.sum("seen").alias("seen")), "cells")
+    least = max(FREQUENT, 8 * (cells.agg(F.sum("seen")).first()[0] or 0) // CELLS)
     bits = np.zeros(CELLS, dtype=bool)
-    bits[[r["cell"] for r in cells.where((F.col("cell") >= 0) & (F.col("seen") >= least)).select("cell").toLocalIterator()]] = True
+    bits[[r["cell"] for r in cells.where(F.col("seen") >= least).select("cell").toLocalIterator()]] = True
     return np.packbits(bits).tobytes()
 
 
@@ -107,7 +106,7 @@ def _sets(n_words: int, percent: int, frequent: bytes):
             sizes, one, two, first, second, sketches = [], [], [], [], [], []
             for tokens in shingle_sets(batch.column(1), n_words):
                 sizes.append(len(tokens))
-                odd = np.bincount((tokens >> U(64 - 9)).astype(np.int64), minlength=64 * SKETCH) & 1
+                odd = np.bincount((tokens >> U(64 - 10)).astype(np.int64), minlength=64 * SKETCH) & 1
                 sketches.append(np.packbits(odd.astype(bool)).view(np.int64))
                 last = late[(tokens & U(CELLS - 1)).astype(np.int64)]
                 other = _second_order(tokens)
@@ -196,12 +195,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     second = staged(lists.join(posted.select("id").distinct(), "id", "left_semi").select("id", "n", "second", *_BITS), "second")
 
     def under(prefix: str, name: str) -> DataFrame:
-        return second.select(F.col("id").alias(name), F.col("n").alias(f"{prefix}n"), F.col("second").alias(f"{prefix}second"), *(F.col(b).alias(f"{prefix}{b}") for b in _BITS))
+        return second.select(F.col("id").alias(name), F.col("n").alias(f"{prefix}n"), *(F.col(b).alias(f"{prefix}{b}") for b in _BITS))
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Pairs x, y that share a prefix token under the second order and reach the similarity."""
         pairs = pairs.join(under("l_", "x"), "x").join(under("r_", "y"), "y").where(_close("l_n", "r_n", percent)).where(_alike("l_n", "r_n", "l_", "r_", percent))
-        pairs = staged(pairs.where(F.arrays_overlap("l_second", "r_second")).select("x", "y"), "candidates")
+        pairs = staged(pairs.select("x", "y"), "alike")
+        pairs = pairs.join(second.select(F.col("id").alias("x"), F.col("second").alias("sx")), "x").join(second.select(F.col("id").alias("y"), F.col("second").alias("sy")), "y")
+        pairs = staged(pairs.where(F.arrays_overlap("sx", "sy")).select("x", "y"), "candidates")
         ids = staged(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "ids")
         texts = only(source, ids, "id")
         pairs = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y")
