@@ -62,3 +62,39 @@ def scaled_value(surface: Column) -> Column:
     at = lambda g: F.regexp_extract(F.lower(F.trim(surface)), r"^\$?([0-9][0-9,]*(?:\.[0-9]+)?) ?(k|m|mn|bn|thousand|million|billion)?$", g)
     scale = F.when(at(2).isin("k", "thousand"), 1e3).when(at(2).isin("m", "mn", "million"), 1e6).when(at(2).isin("bn", "billion"), 1e9).otherwise(1.0)
     return F.when(at(1) != "", F.replace(at(1), F.lit(","), F.lit("")).cast("double") * scale)
+
+
+# Units and scales as written.
+_AMOUNT = r"^(?:[a-z][a-z -]* \()?([$])?([0-9][0-9,]*(?:[.][0-9]+)?)\)?[ -]?(k|m|mn|bn|thousand|million|billion)?[ -]?(%|percent|records?|months?|days?)?$"
+
+
+def amount(surface: Column) -> Column:
+    """struct(value, unit) of a written amount: USD, percent, records, months, days or no unit; null if it is none."""
+    at = lambda g: F.regexp_extract(F.lower(F.trim(surface)), _AMOUNT, g)
+    scale = F.when(at(3).isin("k", "thousand"), 1e3).when(at(3).isin("m", "mn", "million"), 1e6).when(at(3).isin("bn", "billion"), 1e9).otherwise(1.0)
+    unit = F.when(at(1) == "$", "USD").when(at(4).isin("%", "percent"), "percent").when(at(4) != "", F.concat(F.regexp_replace(at(4), "s$", ""), F.lit("s")))
+    return F.when(at(2) != "", F.struct((F.replace(at(2), F.lit(","), F.lit("")).cast("double") * scale).alias("value"), unit.alias("unit")))
+
+
+def header_scale(header: Column) -> Column:
+    """What a column header multiplies its figures by: `($M)`, `(USD bn)`, `in thousands`; else 1."""
+    h = F.lower(header)
+    return F.when(h.rlike(r"[($ ](m|mn|millions?)\)|in millions"), 1e6).when(h.rlike(r"[($ ](bn|billions?)\)|in billions"), 1e9).when(h.rlike(r"[($ ](k|thousands?)\)|in thousands|'000"), 1e3).otherwise(1.0)
+
+
+def day(surface: Column) -> Column:
+    """The day that a text writes, in ISO form with or without a time, or with an English month; else null."""
+    text = F.trim(surface)
+    iso = F.try_to_date(F.regexp_extract(text, rf"^\[?({ISO_DAY})(?:[T ][^\]]*)?\]?$", 1), "yyyy-MM-dd")
+    plain = F.regexp_replace(text, r"^([A-Za-z]+) ([0-9]{1,2}), ([0-9]{4})$", "$2 $1 $3")
+    named = F.when(plain.rlike(r"^[0-9]{1,2} [A-Za-z]+ [0-9]{4}$"), plain)
+    return F.coalesce(iso, F.try_to_date(named, "d MMMM yyyy"), F.try_to_date(named, "d MMM yyyy"))
+
+
+def word_runs(text: Column, n: int) -> Column:
+    """The distinct runs of n content words in order, joined by spaces."""
+    kept = F.filter(words(text), lambda w: (F.length(w) >= 3) & ~w.isin(*COMMON_WORDS))
+    runs = kept
+    for k in range(1, n):
+        runs = F.zip_with(runs, F.slice(kept, k + 1, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(F.filter(runs, lambda r: r.isNotNull()))

@@ -67,3 +67,24 @@ def running_balance(spend: DataFrame, start: float, group: str) -> DataFrame:
     """Rows (group, at, id, amount) with what is left of `start` after each."""
     w = Window.partitionBy(group).orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
     return spend.withColumn("balance", F.round(F.lit(start) - F.sum("amount").over(w), 6))
+
+
+def shared_runs(left: DataFrame, right: DataFrame, runs: F.Column) -> DataFrame:
+    """For each left row (a, text) that shares a run of content words with right rows (b, text):
+    the first b, and how many runs they share.  Runs are joined with runs.
+    """
+    own = left.select("a", F.explode(runs).alias("run"))
+    other = right.select("b", F.explode(runs).alias("run"))
+    both = own.join(other, "run").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return both.groupBy("a").agg(F.min(F.struct("b", "shared")).alias("first")).select("a", "first.b", "first.shared")
+
+
+def first_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in a total order."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("r", rank).where("r = 1").drop("r")
+
+
+def top_per_group(rows: DataFrame, by: str, order: list, most: int) -> DataFrame:
+    """The first rows of each group in an order, with their rank."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= most)

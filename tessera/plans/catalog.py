@@ -374,5 +374,66 @@ def q49_daily_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
 
 
+def _kept(what: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({what}), '[a-z0-9]+'), lambda w: length(w) >= 3 and w not in ({_COMMON}))"
+
+
+_RUN3 = "list_distinct(list_transform(range(1, greatest(len(k) - 1, 1)), lambda i: array_to_string(k[i:i+2], ' ')))"
+
+
+@query(f"""with kl as (select item_id a, {_kept('text')} k from benchmark), kr as (select doc_id b, {_kept('text')} k from documents),
+l as (select a, unnest({_RUN3}) run from kl), r as (select b, unnest({_RUN3}) run from kr),
+s as (select a, b, count(*) shared from l join r using (run) group by 1, 2)
+select a as item_id, min(b) doc_id, arg_min(shared, b) shared from s group by a""")
+def q25_shared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("a"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("b"), "text")
+    return ranking.shared_runs(items, docs, X.word_runs(F.col("text"), 3)).select(F.col("a").alias("item_id"), F.col("b").alias("doc_id"), "shared")
+
+
+@query(rf"""with {_LINES}, k as (select doc, line, trim(regexp_replace(text, '\s+', ' ', 'g')) folded from lines),
+r as (select *, row_number() over (partition by doc, folded order by line) i from k where folded <> '')
+select doc, line, folded from r where i = 1""")
+def q30_distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folded = document_lines(spark, sf_dir).select("doc", "line", X.collapsed(F.col("text")).alias("folded")).where("folded <> ''")
+    return ranking.first_of_each(folded, ["doc", "folded"], ["line"])
+
+
+@query("""with s as (select s_nationkey k, count(*) n, max(s_acctbal) most from supplier group by 1), c as (select c_nationkey k, count(*) n, max(c_acctbal) most from customer group by 1)
+select s.k supplier_nation, c.k customer_nation, s.most supplier_most, c.most customer_most from s join c on s.k <> c.k and c.most > s.most join nation n on n.n_nationkey = s.k join nation m on m.n_nationkey = c.k where n.n_regionkey = m.n_regionkey""")
+def q36_opposed_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest figures of one side held against larger ones of the other, within a region."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+
+    def side(name: str, key: str, value: str, as_: str) -> DataFrame:
+        own = table(spark, sf_dir, name).groupBy(F.col(key).alias(f"{as_}_nation")).agg(F.max(value).alias(f"{as_}_most"))
+        return own.join(nation, F.col(f"{as_}_nation") == F.col("n_nationkey")).select(f"{as_}_nation", f"{as_}_most", F.col("n_regionkey").alias("region"))
+
+    both = side("supplier", "s_nationkey", "s_acctbal", "supplier").join(side("customer", "c_nationkey", "c_acctbal", "customer"), "region")
+    return both.where("supplier_nation <> customer_nation and customer_most > supplier_most").drop("region")
+
+
+@query("""with r as (select o_custkey doc, o_orderkey anchor, o_totalprice as value, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) rank from orders)
+select doc, anchor, value, rank::int rank from r where rank <= 3""")
+def q38_figures_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("anchor"), F.col("o_totalprice").alias("value"))
+    return ranking.top_per_group(o, "doc", [F.desc("value"), F.col("anchor")], 3)
+
+
+@query("""with p as (select page_id, unnest(string_split(html, '<h')) part, unnest(range(1, len(string_split(html, '<h')) + 1))::int n from pages)
+select page_id, n, length(part)::bigint chars, regexp_extract(part, '^([1-6])>', 1) as level from p""")
+def q43_page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages cut at headings (and other elements whose names begin alike)."""
+    parts = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split("html", "<h")).alias("pos", "part"))
+    return parts.select("page_id", (F.col("pos") + 1).cast("int").alias("n"), F.length("part").cast("long").alias("chars"), F.regexp_extract("part", "^([1-6])>", 1).alias("level"))
+
+
+@query("""with r as (select o_custkey doc, count(*) n, max(o_totalprice) most from orders where o_orderpriority in ('1-URGENT', '2-HIGH') group by 1)
+select doc, n, most from r order by n desc, most desc, doc limit 25""")
+def q46_consequence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+    return o.groupBy(F.col("o_custkey").alias("doc")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most")).orderBy(F.desc("n"), F.desc("most"), "doc").limit(25)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["q21_scores"](spark, sf_dir)

@@ -2,6 +2,7 @@ import datetime as dt
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import graph, index, ranking, sections, verify
@@ -99,3 +100,19 @@ def test_quotes_are_found_where_they_stand(spark):
     quotes = spark.createDataFrame([(1, "one two three"), (2, "none of these"), (3, "")], "quote long, text string")
     docs = spark.createDataFrame([(7, "x one two three"), (8, "one two"), (9, None)], "doc long, text string")
     assert [tuple(r) for r in verify.located(quotes, docs).collect()] == [(1, 7, 3)]
+
+
+def test_amounts_days_and_headers(spark):
+    want = {
+        "$12,400,000": (12_400_000.0, "USD"), "912.8m": (912_800_000.0, None), "912,800,000 records": (912_800_000.0, "records"), "1.1bn": (1.1e9, None), "30.1%": (30.1, "percent"),
+        "45-day": (45.0, "days"), "45 days": (45.0, "days"), "36-month": (36.0, "months"), "twenty-four (24) months": (24.0, "months"), "": None, "TB": None, "no digits here": None,
+    }
+    got = spark.createDataFrame([(k,) for k in want], "s string").select("s", X.amount(F.col("s")).alias("a")).collect()
+    assert {r["s"]: r["a"] and (round(r["a"]["value"], 3), r["a"]["unit"]) for r in got} == want
+    days = {"18 October 2025": "2025-10-18", "11 Dec 2025": "2025-12-11", "October 18, 2025": "2025-10-18", "2025-10-18T02:14:07Z": "2025-10-18", "[2025-10-23 09:10 UTC]": "2025-10-23"}
+    days |= dict.fromkeys(["2025-13-40", "18 Octember 2025", "October", "2025", ""])
+    got = spark.createDataFrame([(k,) for k in days], "s string").select("s", X.day(F.col("s")).cast("string").alias("d")).collect()
+    assert {r["s"]: r["d"] for r in got} == days
+    scales = {"Revenue ($M)": 1e6, "Cost (USD bn)": 1e9, "in thousands": 1e3, "Count": 1.0}
+    got = spark.createDataFrame([(k,) for k in scales], "s string").select("s", X.header_scale(F.col("s")).alias("x")).collect()
+    assert {r["s"]: r["x"] for r in got} == scales
