@@ -9,11 +9,13 @@ in the near-duplicate stage.  An empty table passes through as empty.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._tables import staged, table, without
+from tessera.llm._tables import staged, table, tuned, without
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.jaccard_join import jaccard_join
 from tessera.llm.packing import pack
@@ -57,12 +59,20 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed_digest(pack(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN))
 
 
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tuned(spark)
+        return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", quality),
-    ("n-gram Jaccard join", near_duplicates),
-    ("suffix-array dedup", repeated_strings),
-    ("benchmark decontamination", benchmark_passages),
-    ("packing", packing),
+    ("quality classifier", _stage(quality)),
+    ("n-gram Jaccard join", _stage(near_duplicates)),
+    ("suffix-array dedup", _stage(repeated_strings)),
+    ("benchmark decontamination", _stage(benchmark_passages)),
+    ("packing", _stage(packing)),
 ]
 
 #: Neither the classifier nor the suffix array nor BPE can be said in SQL.

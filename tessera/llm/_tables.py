@@ -8,8 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Shuffle files go as soon as a staged table is written, and whole texts travel to Python in small batches.
-_WHILE_STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+#: Whole texts travel to Python in small batches.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+#: Besides, shuffle files go as soon as a staged table is written.
+_WHILE_STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | SMALL_BATCHES
+
+
+def tuned(spark: SparkSession) -> None:
+    """Settings of a session that runs the queries or the pipeline here."""
+    for k, v in SMALL_BATCHES.items():
+        spark.conf.set(k, v)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes handled at once.  A single longer text is one slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=U) * U(2) + U(1)
@@ -88,6 +88,14 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         first = last
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches; memory that Arrow holds back is released between them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
 class Words:
     """Words of a slice: starts, ends, and where each text's words begin in them."""
 

@@ -53,27 +53,35 @@ _SETS = "id long, n long, c1 long, c2 long, first array<long>, second array<long
 
 
 #: Cells of the table of token frequencies, and texts from which a token counts as frequent.
-CELLS = 1 << 22
-FREQUENT = 48
+CELLS = 1 << 23
+FREQUENT = 24
+#: Texts after which a task hands on what it has counted (16 bits hold them).
+_COUNTED = 60_000
 
 
 def _frequencies(n_words: int):
     """Cells that a task saw more often than chance fills them, and how often."""
 
+    def counted(seen: np.ndarray, total: int) -> pa.RecordBatch:
+        cells = np.flatnonzero(seen >= 2 + max(0, int(np.ceil(3 * total / CELLS - 0.1))))
+        return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(seen[cells].astype(np.int64))], names=["cell", "seen"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = np.zeros(CELLS, dtype=np.uint32), 0
+        seen, total, texts = np.zeros(CELLS, dtype=np.uint16), 0, 0
         for batch in batches:
             for tokens in shingle_sets(batch.column(0), n_words):
+                if texts == _COUNTED:
+                    yield counted(seen, total)
+                    seen[:], total, texts = 0, 0, 0
                 np.add.at(seen, (tokens & U(CELLS - 1)).astype(np.int64), 1)
-                total += len(tokens)
-        cells = np.flatnonzero(seen >= max(2, 2 + 3 * total // CELLS))
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(seen[cells].astype(np.int64))], names=["cell", "seen"])
+                total, texts = total + len(tokens), texts + 1
+        yield counted(seen, total)
 
     return run
 
 
 def frequent_cells(texts: DataFrame, n_words: int) -> bytes:
-    """A bitmap of CELLS bits (a fixed 512 KB) of the tokens that many texts have.
+    """A bitmap of CELLS bits (a fixed 1 MB) of the tokens that many texts have.
 
     It decides only which tokens come last in the orders.  Any choice gives
     the same links; this one keeps shared passages out of the prefixes.
@@ -82,7 +90,7 @@ def frequent_cells(texts: DataFrame, n_words: int) -> bytes:
     least = max(FREQUENT, 8 * (cells.agg(F.sum("seen")).first()[0] or 0) // CELLS)
     bits = np.zeros(CELLS, dtype=bool)
     bits[[r["cell"] for r in cells.where(F.col("seen") >= least).select("cell").toLocalIterator()]] = True
-    return np.packbits(bits).tobytes()
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 def _second_order(tokens: np.ndarray) -> np.ndarray:
@@ -101,14 +109,15 @@ def _prefix(ordered: np.ndarray, last: np.ndarray, percent: int) -> np.ndarray:
 
 def _sets(n_words: int, percent: int, frequent: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = np.unpackbits(np.frombuffer(frequent, dtype=np.uint8)).view(bool)
+        late = np.frombuffer(frequent, dtype=np.uint8)
         for batch in batches:
             sizes, one, two, first, second, sketches = [], [], [], [], [], []
             for tokens in shingle_sets(batch.column(1), n_words):
                 sizes.append(len(tokens))
                 odd = np.bincount((tokens >> U(64 - 10)).astype(np.int64), minlength=64 * SKETCH) & 1
                 sketches.append(np.packbits(odd.astype(bool)).view(np.int64))
-                last = late[(tokens & U(CELLS - 1)).astype(np.int64)]
+                cell = tokens & U(CELLS - 1)
+                last = (late[(cell >> U(3)).astype(np.int64)] >> (cell & U(7)).astype(np.uint8)) & 1 > 0
                 other = _second_order(tokens)
                 order = np.argsort(other)
                 other = other[order]

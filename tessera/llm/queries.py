@@ -9,7 +9,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._tables import shared_dir, table
+from tessera.llm._tables import shared_dir, table, tuned
 from tessera.llm.chat import format_chats
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.html_text import extract_text
@@ -26,7 +26,11 @@ SQL: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tuned(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
     return f
 
 

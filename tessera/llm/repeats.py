@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._tables import only, own_columns, staged
-from tessera.llm._text import _BYTE, U, mix, piece_hashes, slices
+from tessera.llm._text import _BYTE, U, mix, piece_hashes, slices, small
 from tessera.llm.suffix_groups import suffix_array
 
 #: Contexts whose suffixes are sorted together, if no single group has more.
@@ -125,7 +125,7 @@ def _contexts(length: int):
     half = (length - size) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows: list[list] = [[], [], [], [], [], []]
             for text, wanted in zip(batch.column("text").cast(pa.binary()), batch.column("wanted"), strict=True):
                 text = text.as_py()
@@ -260,7 +260,7 @@ _CUT = "id long, text string, n_bytes long, n_removed long, n_spans long, kept_s
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         out: list[list] = [[], [], [], [], [], []]
         for text, starts, stops in zip(batch.column("text").cast(pa.binary()), batch.column("starts"), batch.column("stops"), strict=True):
             text = text.as_py() or b""
