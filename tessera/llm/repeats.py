@@ -327,7 +327,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     solved = staged(fetched.mapInArrow(_solved(length), _FOUND), "solved")
 
     whole = kinds.where("n > 1").select("gram", "context", F.greatest(F.lit(0), F.lit(side) - F.col("right")).alias("low"), F.col("left").alias("high"))
-    reach = whole.union(solved).groupBy("gram", "context").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    # Written first: next to a grouping, Spark could not split a very common context in the join.
+    reach = staged(whole.union(solved).groupBy("gram", "context").agg(F.min("low").alias("low"), F.max("high").alias("high")), "reach")
     spans = again.where("agree").select("key", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + size + F.col("right")).alias("stop"))
     spans = spans.union(again.where("not agree").join(reach, ["gram", "context"]).select("key", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("stop")))
     spans = spans.distinct().groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
