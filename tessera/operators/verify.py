@@ -9,21 +9,35 @@ from tessera.functions.text import collapsed
 
 # Certainty words, weakest rung first.
 RUNGS = (("may", "might", "could", "possibly"), ("likely", "probably", "appears", "suggests"), ("is", "are", "was", "were", "will", "shows"))
+#: Characters by which parts of words are looked up.
+GRAM = 3
 
 
 def located(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents that hold a quote verbatim: quote, doc, at (character, from 1).
 
     quotes: quote, text.  docs: doc, text.  A quote's longest word chooses the
-    documents to look into, so that quotes meet only texts with that word.
+    documents to look into, so that quotes meet only texts with that word.  The
+    first and last word of a quote may be parts of words: a quote without a word
+    between them is looked for in the different words (and runs of white space)
+    of all documents, by its first characters, and then where those stand.
+    Empty quotes and quotes of spaces only are left out.
     """
-    token = lambda t: F.regexp_extract_all(t, F.lit(r"\S+"), 0)
-    wanted = quotes.where(F.trim("text") != "").withColumn("w", F.expr(r"array_max(transform(regexp_extract_all(text, '\\S+', 0), (x, i) -> struct(if(i = 0 or i = size(regexp_extract_all(text, '\\S+', 0)) - 1, 0, length(x)) as n, x as x))).x"))
-    inside = F.size(token(F.col("text"))) >= 3
-    held = docs.select("doc", F.explode(F.array_distinct(token(F.col("text")))).alias("w"))
-    near = wanted.where(inside).join(held, "w").select("quote", F.col("text").alias("sought"), "doc")
-    found = near.join(docs, "doc").withColumn("at", F.expr("instr(text, sought)")).where("at > 0")
-    return found.select("quote", "doc", F.col("at").cast("long").alias("at"))
+    words = F.regexp_extract_all("text", F.lit(r"\S+"), 0)
+    longest = lambda a: F.array_max(F.transform(a, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    wanted = quotes.where(F.trim("text") != "").select(F.col("text").alias("sought"), words.alias("words")).distinct()
+    inside = F.size("words") >= 3
+    held = docs.select("doc", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\S+|\s+"), 0))).alias("w"))
+    near = wanted.where(inside).select("sought", longest(F.slice("words", 2, F.size("words") - 2)).alias("w"))
+    short = wanted.where(~inside).select("sought", F.coalesce(longest(F.col("words")), F.col("sought")).alias("part"))
+    if not short.isEmpty():
+        starts = lambda k: F.sequence(F.lit(1), F.greatest(F.length("w") - (k - 1), F.lit(1)))
+        grams = F.array_distinct(F.concat(*(F.transform(starts(k), lambda at: F.substr("w", at, F.lit(k))) for k in range(1, GRAM + 1))))
+        parts = held.select("w").distinct().select("w", F.explode(grams).alias("gram"))
+        hit = short.withColumn("gram", F.left("part", F.lit(GRAM))).join(parts, "gram").where(F.contains("w", "part"))
+        near = near.unionByName(hit.select("sought", "w"))
+    found = near.join(held, "w").select("sought", "doc").distinct().join(docs, "doc").withColumn("at", F.expr("instr(text, sought)")).where("at > 0")
+    return quotes.join(found.select("sought", "doc", "at"), quotes["text"] == F.col("sought")).select("quote", "doc", F.col("at").cast("long").alias("at"))
 
 
 def failed_citations(cited: DataFrame, anchors: DataFrame, docs: DataFrame) -> DataFrame:

@@ -102,6 +102,27 @@ def test_quotes_are_found_where_they_stand(spark):
     assert [tuple(r) for r in verify.located(quotes, docs).collect()] == [(1, 7, 3)]
 
 
+def test_short_quotes_are_found_where_they_stand(spark):
+    texts = ["one", "one two", "ne tw", "o", "tw", " two", "e ", "two\nthree", "\n", "é x", "zzz", "one"]
+    quotes = list(enumerate(texts, 1))
+    docs = [(7, "x one two three"), (8, "none twofold"), (9, None), (10, "two\nthree"), (11, "café xy"), (12, ""), (7, "one")]
+    got = verify.located(spark.createDataFrame(quotes, "quote long, text string"), spark.createDataFrame(docs, "doc long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((q, d, t.find(x) + 1) for q, x in quotes for d, t in docs if t and x in t)
+
+
+def test_recall_of_short_and_blank_quotes_equals_sql(spark, tmp_path):
+    items = [(1, "two"), (2, ""), (3, "  "), (4, "     "), (5, None), (6, "wo th"), (7, "q"), (8, "\n")]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).toPandas().to_parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "one two three  four"), (2, None)], "doc_id long, text string").toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    for name in ("q27_quote_location", "q28_planted_recall"):
+        found = QUERIES[name](spark, str(tmp_path))
+        want = con.execute(SQL[name]).df()[found.columns]
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.itertuples(index=False)))
+
+
 def test_amounts_days_and_headers(spark):
     want = {
         "$12,400,000": (12_400_000.0, "USD"), "912.8m": (912_800_000.0, None), "912,800,000 records": (912_800_000.0, "records"), "1.1bn": (1.1e9, None), "30.1%": (30.1, "percent"),
