@@ -20,6 +20,8 @@ is not full.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from tessera.llm._tables import own_columns, staged
 from tessera.llm._text import small
 from tessera.llm.tokens import encoded
 
-#: Queues at most; further sources share queues by hash.
+#: Queues of one schedule at most; the smallest of further sources share queues.
 MOST_QUEUES = 1024
 #: Tokens of a bucket, within which offsets are running sums.
 BUCKET_TOKENS = 2_000_000
@@ -67,8 +69,8 @@ class Phase:
         dues[weights.index(max(weights))] += units - sum(dues)
         self.first = first
         self.whole, self.part = [d // CYCLE for d in dues], [d % CYCLE for d in dues]
-        self.whole_before = [sum(self.whole[:k]) for k in range(len(dues))]
-        self.part_before = [sum(self.part[:k]) for k in range(len(dues))]
+        self.whole_before = [0, *accumulate(self.whole)]
+        self.part_before = [0, *accumulate(self.part)]
 
     def taken(self, t: int, k: int) -> int:
         """Tokens that queue k has given after t windows."""
@@ -79,24 +81,28 @@ class Phase:
 
     def window_of(self, offset: int, k: int) -> int:
         """The window, counted from first, that has the queue's token at this offset."""
-        t = offset * CYCLE // (self.whole[k] * CYCLE + self.part[k])
-        while self.taken(t, k) > offset:
-            t -= 1
-        while self.taken(t + 1, k) <= offset:
-            t += 1
-        return t
+        low = offset // (self.whole[k] * CYCLE + self.part[k]) * CYCLE
+        high = low + CYCLE - 1
+        while low < high:
+            t = (low + high) // 2
+            low, high = (low, t) if self.taken(t + 1, k) > offset else (t + 1, high)
+        return low
 
     def place(self, t: int, k: int) -> int:
         """Where the queue's tokens begin in a window."""
         return self.whole_before[k] + (self.part_before[k] - t % CYCLE + CYCLE - 1) // CYCLE
 
 
+def _dues(tokens: dict, weights: dict[str, float] | None) -> dict:
+    return {q: max(1, round(weights.get(q, 0) * (1 << 20))) if weights else n for q, n in tokens.items()}
+
+
 def schedule(tokens: dict[str, int], weights: dict[str, float] | None, size: int) -> dict[str, list[tuple]]:
     """For each queue its stretches, ascending: (from, to, phase, its number there) over many
     windows, or (from, to, window, place in it) within one.
     """
     left = {q: n for q, n in sorted(tokens.items()) if n}
-    due = {q: max(1, round((weights or {}).get(q, 0) * (1 << 20))) if weights else n for q, n in left.items()}
+    due = _dues(left, weights)
     given = dict.fromkeys(left, 0)
     stretches: dict[str, list[tuple]] = {q: [] for q in left}
     window = 0
@@ -160,13 +166,56 @@ def _cuts(stretches: list[tuple], start: int, n: int, size: int) -> Iterator[tup
         low += at == end
 
 
-def _pieces(stretches: dict[str, list[tuple]], window: int, length: int):
+def arrange(tokens: dict[str, int], weights: dict[str, float] | None, size: int) -> dict[str, tuple[tuple[list[tuple], int], ...]]:
+    """For each queue the schedules that its tokens go through, innermost first: stretches, and size of a window.
+
+    More queues than a window can be divided among fall into the larger ones and
+    groups of the others; a group is scheduled as one queue, and within it its members.
+    """
+    left = {q: n for q, n in sorted(tokens.items()) if n}
+    most = min(MOST_QUEUES, isqrt(size * CYCLE // 2))
+    if len(left) <= most:
+        return {q: ((parts, size),) for q, parts in schedule(left, weights, size).items()}
+    due = _dues(left, weights)
+    all_tokens, all_due = sum(left.values()), sum(due.values())
+    ranked = sorted(left, key=lambda q: (-max(left[q] / all_tokens, due[q] / all_due), q))
+    small_ones, shared = ranked[most // 2 :], most - most // 2
+    groups = [small_ones[k::shared] for k in range(shared)]
+    # Outer queues are numbered, as names of sources may be anything.
+    members = [[q] for q in ranked[: most // 2]] + [g for g in groups if g]
+    outer = {f"{k:06d}": sum(left[q] for q in g) for k, g in enumerate(members)}
+    outer_due = {f"{k:06d}": sum(due[q] for q in g) for k, g in enumerate(members)}
+    found = schedule(outer, {k: d / (1 << 20) for k, d in outer_due.items()} if weights else None, size)
+    out = {}
+    for k, g in zip(outer, members, strict=True):
+        here = ((found[k], size),)
+        if len(g) == 1:
+            out[g[0]] = here
+            continue
+        inner = max(size * outer_due[k] // all_due, 2 * min(len(g), MOST_QUEUES) ** 2 // CYCLE + 1)
+        out |= {q: path + here for q, path in arrange({q: left[q] for q in g}, weights, inner).items()}
+    return out
+
+
+def _places(path: tuple[tuple[list[tuple], int], ...], start: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+    """As _cuts, through all schedules of a queue."""
+    (stretches, size), *further = path
+    for at, took, window, place in _cuts(stretches, start, n, size):
+        if not further:
+            yield at, took, window, place
+            continue
+        begin = window * size + place
+        for spot, length, w, p in _places(further, begin, took):
+            yield at + spot - begin, length, w, p
+
+
+def _pieces(paths: dict[str, tuple], window: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             out: list[list] = [[] for _ in range(9)]
             for id_, queue, n, begin, ids in zip(*(batch.column(c).to_pylist() for c in ("id", "queue", "n", "begin", "ids")), strict=True):
                 wide = np.frombuffer(ids, dtype="<u2").astype("<u4")
-                for at, took, w, place in _cuts(stretches[queue], begin, n, window):
+                for at, took, w, place in _places(paths[queue], begin, n):
                     while took:
                         here = min(took, length - place % length)
                         start = at - begin
@@ -209,9 +258,6 @@ def pack(
     source = own_columns(docs, id=id_col, text=text_col, queue=source_col).select("id", F.coalesce(F.col("queue").cast("string"), F.lit("")).alias("queue"), F.xxhash64("id").alias("h"), "text")
     tokens = staged(source.mapInArrow(_tokenised(ranks_file, pattern), _TOKENS), "tokens")
     totals = tokens.groupBy("queue").agg(F.sum("n").alias("n"))
-    if totals.count() > MOST_QUEUES:
-        tokens = tokens.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MOST_QUEUES)).cast("string"))
-        totals = tokens.groupBy("queue").agg(F.sum("n").alias("n"))
     sums = {r["queue"]: r["n"] for r in totals.collect()}
     buckets = 1 + sum(sums.values()) // BUCKET_TOKENS
     tokens = tokens.withColumn("bucket", F.pmod("h", F.lit(buckets)))
@@ -220,4 +266,4 @@ def pack(
     within = Window.partitionBy("queue", "bucket").orderBy("id", "n", "ids").rowsBetween(Window.unboundedPreceding, -1)
     placed = tokens.select("id", "queue", "bucket", "n", "ids", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("inside"))
     placed = placed.join(offsets, ["queue", "bucket"]).select("id", "queue", "n", (F.col("base") + F.col("inside")).alias("begin"), "ids")
-    return placed.mapInArrow(_pieces(schedule(sums, weights, window), window, length), _PIECES)
+    return placed.mapInArrow(_pieces(arrange(sums, weights, window), window, length), _PIECES)

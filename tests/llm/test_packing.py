@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm.packing import _cuts, pack, schedule
+from tessera.llm.packing import _cuts, _places, arrange, pack, schedule
 from tessera.llm.tokens import encoded
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -54,6 +54,40 @@ def test_shares_hold_in_every_window():
     assert all(abs(got[w, q] - s) <= 1 for w in range(300) for q, s in (("a", 500), ("b", 300), ("c", 200)))
 
 
+def test_many_sources_keep_their_shares_and_names():
+    rng = random.Random(3)
+    few = {f"s{k}": rng.randint(1, 60) for k in range(150)} | {"big": 6000, "wide": 3000}
+    for tokens, size in ((few, 16), (few, 1000), ({f"s{k}": rng.randint(900, 1100) for k in range(1500)} | {"big": 3_000_000}, 65_536)):
+        for weights in (None, {"big": 0.5, "s1": 0.25, "s2": 0.25}):
+            paths = arrange(tokens, weights, size)
+            assert paths.keys() == tokens.keys()
+            got, spans = {}, []
+            for q, n in tokens.items():
+                end = 0
+                for at, took, window, place in _places(paths[q], 0, n):
+                    assert at == end and took > 0 and place + took <= size
+                    end += took
+                    spans.append((window * size + place, took))
+                    got[q, window] = got.get((q, window), 0) + took
+                assert end == n
+            spot = 0
+            for first, took in sorted(spans):
+                assert first == spot
+                spot += took
+            if size == 65_536 and weights is None:
+                whole = sum(tokens.values())
+                for w in range(whole // size - 4):
+                    assert abs(got["big", w] - size * tokens["big"] / whole) <= 17  # one token, and what rounding takes from 1024 queues: a 64th of a token from each
+                    assert all(abs(got.get((f"s{k}", w), 0) - size * tokens[f"s{k}"] / whole) <= 40 for k in range(1500))
+
+
+def test_packed_pieces_name_their_source_with_many_sources(spark):
+    rows = [(k, "alpha beta " * (k % 7), f"s{k % 1100}") for k in range(2200)]
+    pieces = pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), RANKS, public_tokenizers.PATTERN, length=64, window_sequences=4).select("id", "queue", "length", "doc_tokens").collect()
+    assert all(p["queue"] == f"s{p['id'] % 1100}" for p in pieces)
+    assert sum(p["length"] for p in pieces) == sum({p["id"]: p["doc_tokens"] for p in pieces}.values())
+
+
 def test_pack_round_trip(spark):
     rng = random.Random(4)
     rows = [(k, " ".join(rng.choice(["alpha", "beta", "é", "12"]) for _ in range(rng.choice([0, 3, 40, 700]))), rng.choice(["s", "t", None]), 1) for k in range(60)]
