@@ -1,12 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
-A text node's tag path is the chain of elements from the root to it.  For all
-pages of a host, text length, punctuation and link text are added up per path.
-Text per node and punctuation per node are smoothed along the order in which
-paths come on a page, fused into one score, and paths below a threshold are
-dropped.  What a page says about itself overrides the statistics: only text
-within an article or main element counts if there is one, and navigation,
-asides, footers, forms, adverts, notices and comments never do.
+A text node's tag path is the chain of block elements from the root to it,
+with their classes but without ids, which vary.  For all pages of a host, text
+length, punctuation and link text are added up per path.  Text per node and
+punctuation per node are smoothed along the order in which paths come on a
+page, fused into one score, and paths below a threshold are dropped.  What a
+page says about itself is evidence that raises or lowers the score: text within
+an article or main element needs less, and each element around it that is named
+as navigation, aside, footer, form, advert, notice or comments divides it.
 """
 
 from __future__ import annotations
@@ -32,7 +33,15 @@ CHROME = frozenset("nav aside footer form menu dialog".split())
 CHROME_WORDS = frozenset(
     "ad ads advert advertisement adverts alert aside banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright dialog disqus footer form gdpr legal login menu modal nav navbar navigation newsletter notice notification pager pagination popup promo related respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+# Words of these that are other people's text even if it comes in articles.
+OTHERS_WORDS = frozenset("ad ads advert comment comments disqus promo related respond sponsored".split())
+# Words that make a class name tell of the layout or of a state, not of the element's own kind.
+STATE_WORDS = frozenset("closed container content disabled enabled has is layout no off on one open page site two with without wrap wrapper".split())
+# Elements that do not begin a path of their own.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 CONTENT = frozenset(("article", "main"))
+#: What text within content is worth, and text within each element named as chrome.
+CONTENT_WORTH, CHROME_WORTH = 4.0, 0.05
 #: A path stays if its fused score is at least this share of the host's best.
 THRESHOLD = 0.1
 
@@ -42,31 +51,59 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
-def _place(tag: str, attributes: str, above: int) -> tuple[str, int]:
-    """An element's step in the path, and its zone: -1 not content, 1 within an article, else 0."""
-    names = set()
+def _place(tag: str, attributes: str, inside: bool) -> tuple[str, int, bool]:
+    """An element's step in the path, whether it is named as chrome (1 by a word, 2 by its element), and whether it is content."""
+    names, words, said = set(), set(), set()
     if attributes and "=" in attributes:
         for m in _NAMED.finditer(attributes):
-            names.update(_WORDS.findall((m[2] or m[3] or m[4] or "").lower()))
+            for token in (m[2] or m[3] or m[4] or "").lower().split():
+                parts = _WORDS.findall(token)
+                words.update(parts)
+                if m[1].lower() != "id":
+                    names.update(x for x in parts if x.isalpha())
+                if not STATE_WORDS.intersection(parts):
+                    said.update(parts)
     step = f"{tag}.{'.'.join(sorted(names))}" if names else tag
-    if above < 0 or tag in CHROME or names & CHROME_WORDS or tag == "header" and above < 1 or "header" in names and tag != "header" and above < 1 or _HIDDEN.search(attributes or ""):
-        return step, -1
-    return step, 1 if above or tag in CONTENT or "main" in names and tag != "body" else 0
+    if tag in ("html", "body"):
+        return step, 0, False
+    content = tag in CONTENT or "main" in words
+    if tag in CHROME or tag == "header" and not inside or _HIDDEN.search(attributes or ""):
+        return step, 2, content
+    marked = said & (OTHERS_WORDS if content else CHROME_WORDS) or "header" in said and tag != "header" and not inside and not content
+    return step, int(bool(marked)), content
 
 
-def text_nodes(page: str) -> list[tuple[str, int, int, str]]:
-    """(path, zone, block, raw text) of the text nodes outside scripts, styles and the like, in order."""
-    nodes: list[tuple[str, int, int, str]] = []
-    stack: list[tuple[str, str, int]] = [("", "", 0)]
+def text_nodes(page: str) -> list[tuple[str, int, int, bool, str]]:
+    """(path, zone, block, in a link, raw text) of the text nodes outside scripts, styles and the like, in order.
+
+    The zone is 1 within content, 0 elsewhere, or minus the number of elements
+    around the text that are named as chrome.  A word does not mark what holds the
+    main element, nor (but for comments and the like) what holds an article.
+    """
+    nodes, gone = _walked(page)
+    out = []
+    for path, (inside, marks), block, link, text in nodes:
+        n = sum(1 for m in marks if m not in gone)
+        zone = -min(n, 3) if n else int(inside)
+        out.append((f"{path}#{zone}", zone, block, link, text))
+    return out
+
+
+def _walked(page: str) -> tuple[list[tuple], set[int]]:
+    nodes: list[tuple] = []
+    # Of each open element: name, path, (within content, numbers of the marked elements around), in a link.
+    stack: list[tuple[str, str, tuple, bool]] = [("", "", (False, ()), False)]
+    marked: list[int] = []  # of each marked element: 0 by its element, 1 by a word, 2 by a word for other people's text
+    cleared: set[int] = set()
     at, block = 0, 0
     while True:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
-            _, path, zone = stack[-1]
-            nodes.append((path, zone, block, html.unescape(text)))
+            _, path, zone, link = stack[-1]
+            nodes.append((path, zone, block, link, html.unescape(text)))
         if not m:
-            return nodes
+            return nodes, cleared
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
@@ -86,11 +123,11 @@ def text_nodes(page: str) -> list[tuple[str, int, int, str]]:
             if end:
                 at = end.end()
             elif tag in ("script", "style"):
-                return nodes
+                return nodes, cleared
             continue
         if tag == "br" or tag in VOID:
             if tag == "br" and nodes:
-                nodes.append((stack[-1][1], stack[-1][2], block, " "))
+                nodes.append((*stack[-1][1:3], block, stack[-1][3], " "))
             continue
         if tag in CLOSES_P or tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
             gone = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ("p",))
@@ -100,26 +137,29 @@ def text_nodes(page: str) -> list[tuple[str, int, int, str]]:
                     break
                 if stack[k][0] in BLOCK:
                     break
-        _, path, zone = stack[-1]
-        step, zone = _place(tag, m[3], zone)
+        _, path, (inside, marks), link = stack[-1]
+        step, kind, content = _place(tag, m[3], inside)
         if not (m[3] or "").endswith("/") or tag in BLOCK:
-            stack.append((tag, f"{path}/{step}", zone))
+            if content and not kind:
+                cleared.update(k for k in marks if marked[k] == 1 or marked[k] == 2 and tag == "main")
+            if kind:
+                marks = (*marks, len(marked))
+                marked.append(0 if kind == 2 else 2 if OTHERS_WORDS.intersection(_WORDS.findall((m[3] or "").lower())) else 1)
+            stack.append((tag, path if tag in INLINE else f"{path}/{step}", (inside or content, marks), link or tag == "a"))
 
 
-_NODES = "id long, url string, host string, nodes array<struct<path:string,zone:int,block:int,text:string>>"
+_NODES = "id long, url string, host string, nodes array<struct<path:string,zone:int,block:int,link:boolean,text:string>>"
 _PUNCTUATION = r"[^.,;:!?。、,!?;:…¡¿]"
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("path", pa.string()), ("zone", pa.int32()), ("block", pa.int32()), ("text", pa.string())]))
+    kind = pa.list_(pa.struct([("path", pa.string()), ("zone", pa.int32()), ("block", pa.int32()), ("link", pa.bool_()), ("text", pa.string())]))
     for batch in batches:
         for first in range(0, batch.num_rows, 256):
             part = batch.slice(first, 256)
             pages = []
             for page in part.column("html").to_pylist():
-                nodes = text_nodes(page or "")
-                inside = any(zone > 0 and text.strip() for _, zone, _, text in nodes)
-                pages.append([{"path": p, "zone": z if z or not inside else -1, "block": b, "text": t} for p, z, b, t in nodes if z >= 0 and (z or not inside)])
+                pages.append([{"path": p, "zone": z, "block": b, "link": a, "text": t} for p, z, b, a, t in text_nodes(page or "")])
             yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), part.column("url"), part.column("host"), pa.array(pages, kind)], names=["id", "url", "host", "nodes"])
 
 
@@ -151,15 +191,16 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     parsed = staged(source.select("id", "url", url_host(F.col("url")).alias("host"), "html").mapInArrow(_parsed, _NODES), "nodes")
     nodes = parsed.select("host", F.posexplode("nodes").alias("pos", "node")).where(F.trim("node.text") != "")
     stats = nodes.groupBy("host", F.col("node.path").alias("path"), F.col("node.zone").alias("zone")).agg(
-        F.count("*").alias("n"), F.sum(F.length("node.text")).alias("chars"), F.sum(F.length(F.regexp_replace("node.text", _PUNCTUATION, ""))).alias("points"), F.avg("pos").alias("pos")
+        F.count("*").alias("n"), F.sum(F.length("node.text")).alias("chars"), F.sum(F.length(F.regexp_replace("node.text", _PUNCTUATION, ""))).alias("points"), F.avg("pos").alias("pos"), F.sum(F.when(F.col("node.link"), F.length("node.text")).otherwise(0)).alias("linked")
     )
     along = Window.partitionBy("host").orderBy("pos", "path")
     near = lambda c: (F.lag(c, 1, 0.0).over(along) + 2 * F.col(c) + F.lead(c, 1, 0.0).over(along)) / 4
-    linked = F.when(F.col("path").rlike(r"/a(\.[^/]*)?(/|$)"), 1.0).otherwise(0.0)
+    worth = F.when(F.col("zone") > 0, F.lit(CONTENT_WORTH)).otherwise(F.pow(F.lit(CHROME_WORTH), -F.col("zone")))
     scored = stats.withColumn("by_text", F.col("chars") / F.col("n")).withColumn("by_points", F.col("points") / F.col("n"))
-    scored = scored.withColumn("score", F.sqrt(near("by_text") * (near("by_points") + 0.1)) * (1 - linked))
-    best = F.max("score").over(Window.partitionBy("host"))
-    kept = scored.withColumn("best", best).where((F.col("zone") > 0) | (F.col("score") >= threshold * F.col("best")) & (F.col("score") > 0))
+    scored = scored.withColumn("score", F.sqrt(near("by_text") * (near("by_points") + 0.1)) * (1 - F.col("linked") / F.col("chars")))
+    # The bar is set by the best path as it is, not by what content is worth beyond that.
+    best = F.max(F.col("score") * F.least(worth, F.lit(1.0))).over(Window.partitionBy("host"))
+    kept = scored.withColumn("best", best).where((F.col("score") * worth >= threshold * F.col("best")) & (F.col("score") > 0))
     kept = staged(kept.groupBy("host").agg(F.collect_set("path").alias("kept")).select(F.col("host").alias("of"), "kept"), "kept")
     kept = F.broadcast(kept) if kept.agg(F.coalesce(F.sum(F.size("kept")), F.lit(0))).first()[0] <= BROADCAST_KEYS // 10 else kept
     return parsed.join(kept, F.col("host") == F.col("of"), "left").select("id", "url", "nodes", "kept").mapInArrow(_joined, "id long, url string, text string, n_blocks long")

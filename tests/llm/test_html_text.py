@@ -17,3 +17,25 @@ def test_pages(spark):
     assert got[3] == got[None] == got[6] == ""
     assert got[5] == "only one, line"
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+BODY = "<p>The body is long, with commas, and more of them, as texts are.</p><p>It goes on, in a second part, <a href='/x'>with a link</a>, and ends.</p>"
+TEXT = "The body is long, with commas, and more of them, as texts are.\nIt goes on, in a second part, with a link, and ends."
+
+
+def test_names_of_elements_are_evidence_only(spark):
+    pages = [
+        f"<body><article><p>A teaser, short, with points.</p></article><div class='text'>{BODY}</div><nav><a href='/'>Home</a></nav></body>",
+        f"<body class='one-sidebar comments-open'><div class='text'>{BODY}</div><div class='sidebar'><p>Side, text.</p></div></body>",
+        f"<body><div class='has-sidebar'>{BODY}</div><footer>Foot, note.</footer></body>",
+        f"<body><div class='sidebar-left'><main>{BODY}</main></div><footer>Foot, note.</footer></body>",
+        f"<body><div class='modal'>{BODY}</div></body>",
+    ]
+    got = {r["id"]: r["text"] for r in extract_text(spark.createDataFrame([(k, f"http://h{k}.org/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    assert got == {0: f"A teaser, short, with points.\n{TEXT}"} | dict.fromkeys(range(1, 5), TEXT)
+
+
+def test_statistics_of_a_host_choose_within_articles(spark):
+    pages = [(k, "http://h.org/", f"<article id='post-{k}'><div><p>{'Words, and more words, in a row. ' * 9}</p></div><ul><li><a href='/{k}'>More</a></li></ul></article>") for k in range(9)]
+    got = extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in got} == {("Words, and more words, in a row. " * 9).strip()}
