@@ -3,11 +3,13 @@
 Level 1, the document: two additive logistic models (good or bad, toxic or
 not) over binned text statistics and word evidence, fitted on a bounded sample
 of labelled rows.  Level 2, the site: expected rates by host and by path of a
-host, from the evidence of *all* documents there and from all labels, by
-grouped aggregation.  A host's rate is shrunk towards the global one, a path's
+host, of good and of toxic documents, from *all* documents there, by grouped
+aggregation: a labelled document counts with its labels, all others with their
+evidence.  A host's rate is shrunk towards the global one, a path's
 towards its host's; how much is estimated from how far rates differ between
 sites beyond what their sizes explain.  A document's posterior odds are its
-own odds times its path's odds relative to the global ones.
+own odds times its path's odds relative to the global ones, for quality and
+toxicity alike.
 """
 
 from __future__ import annotations
@@ -248,21 +250,23 @@ def judge_quality(
     chance = lambda c: 1 / (1 + F.exp(-F.col(c)))
     clip = lambda c: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), c))
     logit = lambda c: F.log(clip(c) / (1 - clip(c)))
-    paths = staged(scored.groupBy("host", "path").agg(F.sum(chance("good")).alias("total"), F.count("*").alias("n")), "paths")
-    whole = paths.agg(F.sum("total").alias("total"), F.sum("n").alias("n")).first()
-    prior = min(max((whole["total"] or 0.5) / (whole["n"] or 1), 1e-6), 1 - 1e-6)
-    hosts = paths.groupBy("host").agg(F.sum("total").alias("host_total"), F.sum("n").alias("host_n"))
-    strength = _strength(hosts, "host_total", "host_n", F.lit(prior))
-    hosts = hosts.withColumn("host_quality", _rate(F.col("host_total"), F.col("host_n"), F.lit(prior), F.lit(strength)))
-    hosts = hosts.select(F.col("host").alias("of_host"), "host_quality")
-    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).select("host", "path", "total", "n", "host_quality")
-    paths = staged(paths, "paths")
-    strength = _strength(paths, "total", "n", F.col("host_quality"))
-    paths = staged(paths.select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "host_quality", _rate(F.col("total"), F.col("n"), F.col("host_quality"), F.lit(strength)).alias("path_quality")), "sites")
+    given = marks.groupBy(F.col("id").alias("of_id")).agg(F.count("*").alias("n_labels"), F.count_if(F.col("quality") > 0).alias("n_good"), F.count_if(F.col("toxic") > 0).alias("n_toxic"))
+    seen = scored.join(F.broadcast(given) if n <= BROADCAST_KEYS else given, F.col("id") == F.col("of_id"), "left")
+    told = lambda label, c: F.sum(F.coalesce(F.col(label).cast("double"), chance(c)))
+    paths = staged(seen.groupBy("host", "path").agg(told("n_good", "good").alias("good"), told("n_toxic", "toxic").alias("toxic"), F.sum(F.coalesce("n_labels", F.lit(1))).alias("n")), "paths")
+    whole = paths.agg(F.sum("good").alias("good"), F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).first()
+    prior = {k: min(max((whole[k] or 0.5) / (whole["n"] or 1), 1e-6), 1 - 1e-6) for k in ("good", "toxic")}
+    sums = staged(paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("toxic").alias("toxic"), F.sum("n").alias("n")), "hosts")
+    strength = {k: F.lit(_strength(sums, k, "n", F.lit(p))) for k, p in prior.items()}
+    hosts = sums.select(F.col("host").alias("of_host"), *(_rate(F.col(k), F.col("n"), F.lit(p), strength[k]).alias(f"host_{k}") for k, p in prior.items()))
+    paths = staged(paths.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).drop("of_host"), "paths")
+    strength = {k: F.lit(_strength(paths, k, "n", F.col(f"host_{k}"))) for k in prior}
+    rates = (_rate(F.col(k), F.col("n"), F.col(f"host_{k}"), strength[k]).alias(to) for k, to in (("good", "path_quality"), ("toxic", "path_toxic")))
+    paths = staged(paths.select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), F.col("host_good").alias("host_quality"), *rates), "sites")
 
     sites = F.broadcast(paths) if paths.count() <= BROADCAST_KEYS else paths
     joined = scored.join(sites, F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path")), "left")
-    odds = F.col("good") + logit(F.col("path_quality")) - logit(F.lit(prior))
+    posterior = lambda c, site: 1 / (1 + F.exp(-(F.col(c) + logit(F.col(site)) - logit(F.lit(prior[c])))))
     return joined.select(
-        "id", "host", "path", "host_quality", "path_quality", (1 / (1 + F.exp(-odds))).alias("p_quality"), chance("toxic").alias("p_toxic")
-    ).withColumn("keep", (F.col("p_quality") >= least_quality - 1e-9) & (F.col("p_toxic") <= most_toxic))
+        "id", "host", "path", "host_quality", "path_quality", posterior("good", "path_quality").alias("p_quality"), posterior("toxic", "path_toxic").alias("p_toxic")
+    ).withColumn("keep", (F.col("p_quality") >= least_quality - 1e-9) & (F.col("p_toxic") <= most_toxic + 1e-9))

@@ -44,3 +44,15 @@ def test_no_labels_and_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["keep"] for r in judge_quality(docs, none).collect()] == [True]
     assert judge_quality(docs.limit(0), none).count() == 0
+
+
+def test_labels_of_a_site_correct_what_its_texts_say(spark):
+    rows, labels = room(random.Random(5), 300)
+    plain = "word1 word2 word3 " * 10
+    rows += [(1000 + k, plain, "worst" if k % 2 else "best", "p", 1) for k in range(200)]
+    # Most labels fall outside the training sample; the last ten documents of each site have none.
+    labels += [(1000 + k, 1 - k % 2, k % 2) for k in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n int")
+    got = {r["id"]: r for r in judge_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), training_rows=150).collect()}
+    assert got[1199]["host_quality"] < 0.3 < 0.7 < got[1198]["host_quality"]
+    assert got[1199]["p_quality"] < got[1198]["p_quality"] and got[1199]["p_toxic"] > 4 * got[1198]["p_toxic"]
