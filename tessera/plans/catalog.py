@@ -204,6 +204,18 @@ def q18_date_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.date_edges(o.select(F.col("o_custkey").alias("doc"), F.to_date("o_orderdate").alias("day")), most=40)
 
 
+@query("""with d as (select distinct o_custkey doc, o_orderdate::date as day from orders), s as (select distinct day as first from d), w as (select first, doc, day from s join d on day between first and first + 7),
+h as (select first, count(distinct doc) population from w group by 1 having count(distinct doc) between 2 and (select greatest(2, count(*) // 2) from customer)),
+p as (select w.first, w.doc, w.day, population, x.doc x from w join h on w.first = h.first join w x on x.first = w.first and x.day = x.first where w.doc <> x.doc),
+r as (select least(doc, x) a, greatest(doc, x) b, first from_day, day to_day, round(0.9 / population, 6)::double weight,
+ row_number() over (partition by least(doc, x), greatest(doc, x) order by round(0.9 / population, 6) desc, first, day) i from p)
+select a, b, from_day, to_day, weight from r where i = 1""")
+def q18b_date_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders, and windows of up to half of all customers; q18 has the urgent open ones and windows of up to 40."""
+    o, most = table(spark, sf_dir, "orders"), graph.breadth(table(spark, sf_dir, "customer").count())
+    return graph.date_edges(o.select(F.col("o_custkey").alias("doc"), F.to_date("o_orderdate").alias("day")), most)
+
+
 @query(f"with {_EDGES}, {_NEAR} select doc, count(*) n_others, round(sum(weight), 6) degree from near group by doc")
 def q19_adjacency_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(graph.adjacency(_edges(spark, sf_dir)))

@@ -88,6 +88,13 @@ def test_values_that_are_too_common_do_not_link(spark):
     assert graph.value_edges(carriers, 4).count() == 7
 
 
+def test_date_edges_of_all_orders_pass_forty_documents(spark, tmp_path):
+    day = dt.date(2025, 1, 1)
+    spark.createDataFrame([(k, day) for k in range(50)], "o_custkey long, o_orderdate date").toPandas().to_parquet(f"{tmp_path}/orders.parquet")
+    spark.range(100).toPandas().to_parquet(f"{tmp_path}/customer.parquet")
+    assert QUERIES["q18b_date_edges_all"](spark, str(tmp_path)).count() == 50 * 49 // 2
+
+
 def test_turn_and_prefix(spark):
     rows = [("s", k, float(v)) for k, v in enumerate([0, 1, 2, 3, 4, 9, 10])]
     got = ranking.turn_index(spark.createDataFrame(rows, "series string, at long, value double")).collect()
