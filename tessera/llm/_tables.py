@@ -48,7 +48,42 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    _staged(spark).append(path)
+    return out
+
+
+def _staged(spark: SparkSession) -> list[str]:
+    """Paths of the session's staged tables that are still there."""
+    if not hasattr(spark, "_tessera_staged"):
+        spark._tessera_staged = []
+    return spark._tessera_staged
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    have = _staged(spark)
+    for path in paths:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        if path in have:
+            have.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no later job reads: what was read from them is written."""
+    for df in tables:
+        _delete(df.sparkSession, [df._staged_at])
+
+
+def discard_all(spark: SparkSession, before: set[str]) -> None:
+    """Delete the staged tables of these paths that are still there."""
+    _delete(spark, [p for p in _staged(spark) if p in before])
+
+
+def staged_now(spark: SparkSession) -> set[str]:
+    """Paths of the session's staged tables."""
+    return set(_staged(spark))
 
 
 #: Keys that are sent to every task at most; more are matched by a shuffled join.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._tables import staged
+from tessera.llm._tables import discard, staged
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pointed = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = staged(least.select("u", F.col("m").alias("v")).union(pointed).where("u <> v").distinct(), "edges")
+        old, edges = edges, staged(least.select("u", F.col("m").alias("v")).union(pointed).where("u <> v").distinct(), "edges")
+        discard(old)
         now = _state(edges)
         if now == before:
             break

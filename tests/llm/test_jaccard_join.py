@@ -60,7 +60,8 @@ def test_against_all_pairs(spark):
 
 
 def test_long_lists_are_refined(spark, monkeypatch):
-    monkeypatch.setattr(J, "LONG_LIST", 2)
+    for name, value in (("SHORT_LIST", 2), ("STARS", 1), ("LONG_LIST", 1)):
+        monkeypatch.setattr(J, name, value)
     monkeypatch.setattr(J, "FREQUENT", 10**9)
     check(spark, corpus(random.Random(9)), 3, 80)
 
