@@ -92,7 +92,7 @@ from d left join t on t.doc_id = d.doc_id left join m on m.doc_id = d.doc_id
 @query
 def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"), length=400)
-    return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
 @query

@@ -15,7 +15,9 @@ of about a third of that length), the same one wherever the string occurs.  So
    with another one, are brought together by gram and half.  A suffix array,
    built by linear grouping over their byte blocks, finds the suffixes that
    agree for as many blocks as a string of `length` bytes must hold; the byte
-   offsets within these blocks are then settled exactly;
+   offsets within these blocks are then settled exactly.  A group with more
+   contexts than a task should hold is settled without being gathered, by
+   counts of its strings' hashes at each offset;
 4. the spans found go back to the texts, which are cut.
 
 Hashes have 64 bits; agreeing strings always agree in them.
@@ -25,18 +27,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._tables import only, own_columns, staged
+from tessera.llm._tables import BROADCAST_KEYS, discard, only, own_columns, staged
 from tessera.llm._text import _BYTE, U, mix, piece_hashes, slices, small
 from tessera.llm.suffix_groups import suffix_array
 
 #: Contexts whose suffixes are sorted together, if no single group has more.
 CONTEXTS_AT_ONCE = 2000
+#: Contexts of a group that is gathered, at most.
+LARGEST_GROUP = 30_000
 _PLACE_BITS = 28
 _ODD = U(0xA0761D6478BD642F)
 
@@ -115,8 +120,24 @@ def _anchors(length: int):
 
 
 _ANCHORS = "key long, at int, left int, right int, gram long, context long, before int, after int"
-_CONTEXTS = "group long, gram long, context long, upper boolean, lefts binary, rights binary"
-_FOUND = "gram long, context long, low int, high int"
+#: What a kind of context carries along: itself, how often it occurs, and where it does first.
+_KIND = "gram long, context long, n long, key long, at int"
+_CONTEXTS = f"group long, {_KIND}, upper boolean, lefts binary, rights binary"
+_FOUND = f"{_KIND}, low int, high int"
+_STRINGS = f"{_KIND}, d int, string long"
+_KIND_NAMES = ("gram", "context", "n", "key", "at")
+_KIND_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+
+
+def _wanted(batches: Iterator[pa.RecordBatch], size: int, half: int) -> Iterator[tuple[dict, bytes, bytes]]:
+    """The wanted contexts of each text, with their bytes before and behind the gram."""
+    for batch in small(batches):
+        for text, wanted in zip(batch.column("text").cast(pa.binary()), batch.column("wanted"), strict=True):
+            text = text.as_py()
+            for w in wanted.as_py():
+                a, b = w["at"], w["at"] + size
+                left, right = (w["left"], min(w["right"], half)) if w["upper"] else (min(w["left"], half), w["right"])
+                yield w, text[a - left : a], text[b : b + right]
 
 
 def _contexts(length: int):
@@ -125,17 +146,36 @@ def _contexts(length: int):
     half = (length - size) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            rows: list[list] = [[], [], [], [], [], []]
-            for text, wanted in zip(batch.column("text").cast(pa.binary()), batch.column("wanted"), strict=True):
-                text = text.as_py()
-                for w in wanted.as_py():
-                    a, b = w["at"], w["at"] + size
-                    left, right = (w["left"], min(w["right"], half)) if w["upper"] else (min(w["left"], half), w["right"])
-                    for to, value in zip(rows, (w["group"], w["gram"], w["context"], w["upper"], text[a - left : a], text[b : b + right]), strict=True):
-                        to.append(value)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=["group", "gram", "context", "upper", "lefts", "rights"])
+        rows = _wanted(batches, size, half)
+        while part := list(islice(rows, CONTEXTS_AT_ONCE)):
+            kinds = [pa.array([w[c] for w, _, _ in part], t) for c, t in zip(_KIND_NAMES, _KIND_TYPES, strict=True)]
+            sides = [pa.array([x[k] for x in part], pa.binary()) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([w["group"] for w, _, _ in part], pa.int64()), *kinds, pa.array([w["upper"] for w, _, _ in part], pa.bool_()), *sides], names=["group", *_KIND_NAMES, "upper", "lefts", "rights"])
+
+    return run
+
+
+def _strings(length: int):
+    """A hash of every string of `length` bytes around the grams of the wanted contexts."""
+    size = gram_size(length)
+    side = length - size
+    half = side // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _wanted(batches, size, half)
+        while part := list(islice(rows, CONTEXTS_AT_ONCE // 20)):
+            of, ds, hashes = [], [], []
+            for k, (w, left, right) in enumerate(part):
+                low, high = max(half + 1 if w["upper"] else 0, side - len(right)), min(side if w["upper"] else half, len(left))
+                if high >= low:
+                    data = np.frombuffer(left + right, dtype=np.uint8)
+                    d = np.arange(low, high + 1)
+                    of.append(np.full(len(d), k))
+                    ds.append(d)
+                    hashes.append(piece_hashes(data, len(left) - d, len(left) - d + side))
+            at = np.concatenate(of) if of else np.zeros(0, np.int64)
+            kinds = [pa.array([w[c] for w, _, _ in part], t).take(pa.array(at)) for c, t in zip(_KIND_NAMES, _KIND_TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays([*kinds, pa.array(np.concatenate(ds) if ds else at, pa.int32()), pa.array(np.concatenate(hashes).view(np.int64) if hashes else at)], names=[*_KIND_NAMES, "d", "string"])
 
     return run
 
@@ -227,10 +267,8 @@ def _solved(length: int):
             rows["group"].to_numpy(), rows["upper"].to_numpy(), rows["lefts"].to_pylist(), rows["rights"].to_pylist(), side
         )
         good = high >= 0
-        return pa.RecordBatch.from_arrays(
-            [pa.array(rows["gram"].to_numpy()[good]), pa.array(rows["context"].to_numpy()[good]), pa.array(low[good].astype(np.int32)), pa.array(high[good].astype(np.int32))],
-            names=["gram", "context", "low", "high"],
-        )
+        kinds = [pa.array(rows[c].to_numpy()[good]) for c in _KIND_NAMES]
+        return pa.RecordBatch.from_arrays([*kinds, pa.array(low[good].astype(np.int32)), pa.array(high[good].astype(np.int32))], names=[*_KIND_NAMES, "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by group; whole groups are solved together.
@@ -259,33 +297,37 @@ def _solved(length: int):
 _CUT = "id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small(batches):
-        out: list[list] = [[], [], [], [], [], []]
-        for text, starts, stops in zip(batch.column("text").cast(pa.binary()), batch.column("starts"), batch.column("stops"), strict=True):
-            text = text.as_py() or b""
-            merged: list[int] = []
-            for a, b in sorted(zip(starts.as_py() or (), stops.as_py() or (), strict=True)):
-                if merged and a <= merged[-1]:
-                    merged[-1] = max(merged[-1], b)
-                else:
-                    merged += [a, b]
-            kept, at = [], 0
-            for a, b in zip(merged[::2], merged[1::2], strict=True):
-                kept.append(text[at:a])
-                at = b
-            rest = b"".join([*kept, text[at:]])
-            for to, value in zip(out, (rest.decode("utf-8", "ignore"), len(text), len(text) - len(rest), len(merged) // 2, hashlib.sha256(rest).hexdigest(), merged), strict=True):
-                to.append(value)
-        types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
-        columns = [batch.column("id").cast(pa.int64()), *(pa.array(x, t) for x, t in zip(out, types, strict=True))]
-        names = ["id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
-        if "carry" in batch.schema.names:
-            columns, names = [*columns, batch.column("carry")], [*names, "carry"]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, carry: list[str] | None = None) -> DataFrame:
+def _cut(least_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            out: list[list] = [[], [], [], [], [], []]
+            for text, starts, stops in zip(batch.column("text").cast(pa.binary()), batch.column("starts"), batch.column("stops"), strict=True):
+                text = text.as_py() or b""
+                merged: list[int] = []
+                for a, b in sorted(zip(starts.as_py() or (), stops.as_py() or (), strict=True)):
+                    if merged and a <= merged[-1]:
+                        merged[-1] = max(merged[-1], b)
+                    else:
+                        merged += [a, b]
+                pairs = [(a, b) for a, b in zip(merged[::2], merged[1::2], strict=True) if not least_words or len(text[a:b].split()) >= least_words]
+                kept, at = [], 0
+                for a, b in pairs:
+                    kept.append(text[at:a])
+                    at = b
+                rest = b"".join([*kept, text[at:]])
+                for to, value in zip(out, (rest.decode("utf-8", "ignore"), len(text), len(text) - len(rest), len(pairs), hashlib.sha256(rest).hexdigest(), [x for p in pairs for x in p]), strict=True):
+                    to.append(value)
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
+            columns = [batch.column("id").cast(pa.int64()), *(pa.array(x, t) for x, t in zip(out, types, strict=True))]
+            names = ["id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+            if "carry" in batch.schema.names:
+                columns, names = [*columns, batch.column("carry")], [*names, "carry"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, carry: list[str] | None = None, least_words: int = 0) -> DataFrame:
     """Cut every byte covered by a `length`-byte string that also starts elsewhere.
 
     Returns one row per input row: id, text (what is left; a character that
@@ -293,6 +335,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs), kept_sha256 (of the remaining bytes), spans (byte ranges, flat).
 
     With carry, these columns of the input come back in a struct of that name.
+    With least_words, maximal runs of fewer words stay.
 
     Strings are judged on the input and never cross texts.  A null text is
     empty.  Texts shorter than `length` stay whole.  Of repeated texts every
@@ -306,34 +349,50 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = staged(source.where(F.octet_length("text") >= length).select("key", "text").mapInArrow(_anchors(length), _ANCHORS), "anchors")
 
     seen = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1").select("gram", (F.col("a") == F.col("b")).alias("agree"))
-    again = staged(anchors.join(staged(seen, "seen"), "gram"), "again")
+    seen = staged(seen, "seen")
+    again = staged(anchors.join(seen, "gram"), "again")
+    discard(anchors, seen)
     kinds = staged(
         again.where("not agree").groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "at", "left", "right", "before", "after")).alias("r")).select("gram", "context", "n", "r.*"),
         "kinds",
     )
     # A string with up to half of the side before the gram needs the half behind it; one with more, the half before it.
     halves = kinds.select(
-        "gram", "context", "key", "at", "left", "right",
+        *_KIND_NAMES, "left", "right",
         F.explode(F.array(
             F.when(F.col("right") >= half, F.struct(F.lit(False).alias("upper"), F.col("after").alias("half"))),
             F.when(F.col("left") >= half, F.struct(F.lit(True).alias("upper"), F.col("before").alias("half"))),
         )).alias("h"),
     ).where("h is not null").select("*", "h.upper", F.xxhash64("gram", "h.upper", "h.half").alias("group"))
-    shared = halves.groupBy("group").agg(F.count("*").alias("m")).where("m > 1").select("group")
-    wanted = halves.join(shared, "group").groupBy("key").agg(F.collect_list(F.struct("group", "gram", "context", "upper", "at", "left", "right")).alias("wanted"))
-    wanted = staged(wanted, "wanted")
-    fetched = only(source.select("key", "text"), wanted.select("key"), "key").join(wanted, "key").mapInArrow(_contexts(length), _CONTEXTS)
-    fetched = fetched.repartition("group").dropDuplicates(["group", "context"]).sortWithinPartitions("group")
-    solved = staged(fetched.mapInArrow(_solved(length), _FOUND), "solved")
-
-    whole = kinds.where("n > 1").select("gram", "context", F.greatest(F.lit(0), F.lit(side) - F.col("right")).alias("low"), F.col("left").alias("high"))
+    shared = staged(halves.groupBy("group").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+
+    def fetched(groups: DataFrame) -> DataFrame:
+        """Texts with the contexts of these groups that are wanted of them."""
+        wanted = halves.join(groups.select("group"), "group").withColumn("of", F.col("key")).groupBy("of").agg(F.collect_list(F.struct("group", *_KIND_NAMES, "upper", "left", "right")).alias("wanted"))
+        wanted = staged(wanted.withColumnRenamed("of", "key"), "wanted")
+        return only(source.select("key", "text"), wanted.select("key"), "key").join(wanted, "key")
+
+    contexts = fetched(shared.where(f"m <= {LARGEST_GROUP}")).mapInArrow(_contexts(length), _CONTEXTS)
+    # Rows that repeat id and text bring the same contexts.
+    contexts = contexts.repartition("group").dropDuplicates(["group", "context"]).sortWithinPartitions("group")
+    solved = staged(contexts.mapInArrow(_solved(length), _FOUND), "solved")
+    large = shared.where(f"m > {LARGEST_GROUP}")
+    if not large.isEmpty():
+        strings = staged(fetched(large).mapInArrow(_strings(length), _STRINGS), "strings")
+        twice = staged(strings.groupBy("gram", "d", "string").agg(F.min("context").alias("a"), F.max("context").alias("b")).where("a <> b").select("gram", "d", "string"), "twice")
+        solved = solved.union(strings.join(twice, ["gram", "d", "string"]).groupBy(*_KIND_NAMES).agg(F.min("d").alias("low"), F.max("d").alias("high")))
+
+    # What occurs once has its span here; only kinds that occur again go back to their places.
+    reach = solved.where("n > 1").select("gram", "context", "low", "high").union(kinds.where("n > 1").select("gram", "context", F.greatest(F.lit(0), F.lit(side) - F.col("right")).alias("low"), F.col("left").alias("high")))
     # Written first: next to a grouping, Spark could not split a very common context in the join.
-    reach = staged(whole.union(solved).groupBy("gram", "context").agg(F.min("low").alias("low"), F.max("high").alias("high")), "reach")
+    reach = staged(reach.groupBy("gram", "context").agg(F.min("low").alias("low"), F.max("high").alias("high")), "reach")
+    span = lambda rows: rows.select("key", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("stop"))
     spans = again.where("agree").select("key", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + size + F.col("right")).alias("stop"))
-    spans = spans.union(again.where("not agree").join(reach, ["gram", "context"]).select("key", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("stop")))
-    spans = spans.distinct().groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    spans = staged(spans, "spans")
+    spans = spans.union(span(solved.where("n = 1"))).union(span(again.where("not agree").join(reach, ["gram", "context"])))
+    spans = staged(spans.distinct().groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")), "spans")
+    discard(again, kinds, shared, reach)
     if carry:
         source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carry")).withColumn("key", F.xxhash64("id", "text"))
     schema = _CUT + (f", carry {source.schema['carry'].dataType.simpleString()}" if carry else "")
-    return source.join(spans, "key", "left").mapInArrow(_cut, schema)
+    few = (spans.agg(F.sum(F.size("starts") + 1)).first()[0] or 0) <= BROADCAST_KEYS
+    return source.join(F.broadcast(spans) if few else spans, "key", "left").mapInArrow(_cut(least_words), schema)
