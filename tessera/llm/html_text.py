@@ -45,7 +45,8 @@ CONTENT_WORTH, CHROME_WORTH = 4.0, 0.05
 #: A path stays if its fused score is at least this share of the host's best.
 THRESHOLD = 0.1
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+# A quote that does not close before the next tag is a stray one and holds nothing back.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>|<[!?][^>]*>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
@@ -201,6 +202,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     # The bar is set by the best path as it is, not by what content is worth beyond that.
     best = F.max(F.col("score") * F.least(worth, F.lit(1.0))).over(Window.partitionBy("host"))
     kept = scored.withColumn("best", best).where((F.col("score") * worth >= threshold * F.col("best")) & (F.col("score") > 0))
-    kept = staged(kept.groupBy("host").agg(F.collect_set("path").alias("kept")).select(F.col("host").alias("of"), "kept"), "kept")
-    kept = F.broadcast(kept) if kept.agg(F.coalesce(F.sum(F.size("kept")), F.lit(0))).first()[0] <= BROADCAST_KEYS // 10 else kept
-    return parsed.join(kept, F.col("host") == F.col("of"), "left").select("id", "url", "nodes", "kept").mapInArrow(_joined, "id long, url string, text string, n_blocks long")
+    kept = staged(kept.select("host", "path"), "kept")
+    if kept.count() <= BROADCAST_KEYS // 10:
+        lists = kept.groupBy("host").agg(F.collect_list("path").alias("kept")).select(F.col("host").alias("of"), "kept")
+        with_kept = parsed.join(F.broadcast(lists), F.col("host") == F.col("of"), "left")
+    else:  # a page's own paths meet the kept ones, so that no host's are gathered
+        keyed = parsed.withColumn("key", F.xxhash64("id", "url", "nodes"))
+        own = keyed.select("key", "host", F.explode("nodes.path").alias("path")).distinct().join(kept, ["host", "path"])
+        with_kept = keyed.join(own.groupBy("key").agg(F.collect_list("path").alias("kept")), "key", "left")
+    return with_kept.select("id", "url", "nodes", "kept").mapInArrow(_joined, "id long, url string, text string, n_blocks long")

@@ -124,8 +124,14 @@ def _visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lists(edges: DataFrame, size: int) -> DataFrame:
-    """u, list: its best neighbours, best first."""
-    return edges.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(F.struct("s", "v")), False), 1, size).alias("list"))
+    """u, list: its best neighbours, best first.
+
+    Each task cuts its own rows of a node before they are shuffled, so that a
+    node in very many lists is never gathered whole.
+    """
+    rank = F.dense_rank().over(Window.partitionBy("u").orderBy(F.desc("s"), F.desc("v")))
+    few = edges.select("u", "v", "s").withColumn("r", rank).where(F.col("r") <= size)
+    return few.groupBy("u").agg(F.sort_array(F.collect_set(F.struct("s", "v")), False).alias("list"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -255,7 +255,7 @@ def pack(
     is packed.  An empty table gives no pieces.  Other columns are ignored.
     """
     window = length * window_sequences
-    source = own_columns(docs, id=id_col, text=text_col, queue=source_col).select("id", F.coalesce(F.col("queue").cast("string"), F.lit("")).alias("queue"), F.xxhash64("id").alias("h"), "text")
+    source = own_columns(docs, id=id_col, text=text_col, queue=source_col).select("id", F.coalesce(F.col("queue").cast("string"), F.lit("")).alias("queue"), F.xxhash64("id", "text").alias("h"), "text")
     tokens = staged(source.mapInArrow(_tokenised(ranks_file, pattern), _TOKENS), "tokens")
     totals = tokens.groupBy("queue").agg(F.sum("n").alias("n"))
     sums = {r["queue"]: r["n"] for r in totals.collect()}

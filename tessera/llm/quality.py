@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm._tables import BROADCAST_KEYS, own_columns, staged
 from tessera.llm._text import ALNUM, NOT_SPACE, U, Words, byte_class, slices
 
-#: Labelled rows that the document models are fitted on, chosen by hash.
+#: Labelled rows that the document models are fitted on, at most, chosen by hash.
 TRAINING_ROWS = 8_000
 #: Words with evidence that a model keeps.
 EVIDENT_WORDS = 2_000
@@ -240,9 +240,8 @@ def judge_quality(
     source = own_columns(docs, id=id_col, text=text_col, host=host_col, path=path_col)
     marks = own_columns(labels, id=id_col, quality=quality_col, toxic=toxic_col).where("id is not null and quality is not null and toxic is not null")
     n = marks.count()
-    share = min(1.0, training_rows / max(n, 1))
-    sample = marks.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    rows = source.select("id", "text").join(F.broadcast(sample), "id").orderBy("id", "quality", "toxic", F.xxhash64("text")).select("text", "quality", "toxic").toLocalIterator()
+    sample = marks.orderBy(F.xxhash64("id", F.lit(17)), "id", "quality", "toxic").limit(training_rows)
+    rows = source.select("id", "text").join(F.broadcast(sample), "id").orderBy(F.xxhash64("id", F.lit(17)), "id", "quality", "toxic", F.xxhash64("text")).select("text", "quality", "toxic").limit(training_rows).collect()
     rows = [(r["text"], int(r["quality"] > 0), int(r["toxic"] > 0)) for r in rows]
     good, toxic = fit([(t, q) for t, q, _ in rows]), fit([(t, x) for t, _, x in rows])
 

@@ -19,6 +19,10 @@ from tessera.llm._tables import own_columns, staged
 
 #: Bytes of text that a bucket holds on average.
 BUCKET_BYTES = 8 << 20
+#: Rows alike in id and text beyond which they are dealt to several buckets.
+MANY_ALIKE = 1000
+#: Buckets whose places are summed up together.
+_GROUP = 1 << 12
 
 _SHUFFLED = "id long, text string, bucket long, place long"
 
@@ -53,16 +57,29 @@ def shuffle_into_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text
     always give the same result.
 
     Null ids and texts are records like others.  Rows that are alike in both
-    are interchangeable.  An empty table writes no rows.  Other columns are
-    ignored.
+    are interchangeable; where there are many, they are dealt out evenly, by
+    their place in the files.  An empty table writes no rows.  Other columns
+    are ignored.
     """
     source = own_columns(docs, id=id_col, text=text_col)
     total = source.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     buckets = 1 + int(total) // bucket_bytes
-    source = source.withColumn("tie", F.xxhash64("text")).withColumn("bucket", F.pmod(F.xxhash64("id", "tie", F.lit(seed)), F.lit(buckets)))
+    source = source.withColumn("tie", F.xxhash64("text"))
+    alike = staged(source.groupBy("id", "tie").agg(F.count("*").alias("n")).where(F.col("n") > MANY_ALIKE).select(F.col("id").alias("i"), F.col("tie").alias("t")), "alike")
+    dealt = lambda df, *salt: df.select("id", "text", "tie", F.pmod(F.xxhash64("id", "tie", F.lit(seed), *salt), F.lit(buckets)).alias("bucket"))
+    if alike.isEmpty():
+        source = dealt(source)
+    else:
+        marked = source.join(alike, F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")), "left")
+        # Written, as the numbers of rows are not the same in every job.
+        source = staged(dealt(marked, F.when(F.col("t").isNotNull(), F.monotonically_increasing_id())), "dealt")
     sizes = staged(source.groupBy("bucket").agg(F.count("*").alias("n")), "sizes")
     count = sizes.agg(F.sum("n")).first()[0] or 0
-    bases = sizes.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    # Running sums of groups of buckets, then of buckets within a group.
+    sizes = sizes.withColumn("group", F.floor(F.col("bucket") / _GROUP))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sizes.groupBy("group").agg(F.sum("n").alias("n")).select("group", before(Window.orderBy("group")).alias("first"))
+    bases = sizes.select("bucket", "group", before(Window.partitionBy("group").orderBy("bucket")).alias("inside")).join(groups, "group").select("bucket", (F.col("first") + F.col("inside")).alias("base"))
     shuffled = source.repartition("bucket").groupBy("bucket").applyInArrow(_shuffled(seed), _SHUFFLED)
     at = F.col("base") + F.col("place")
     first = lambda shard: F.expr(f"({shard} * {count} + {shards - 1}) div {shards}")

@@ -47,12 +47,13 @@ def encoded(column: pa.Array, ranks_file: str, pattern: str) -> Iterator[np.ndar
         hashes, where, which = np.unique(piece_hashes(data, starts, ends), return_index=True, return_inverse=True)
         raw, ids = data.tobytes(), []
         for h, a, b in zip(hashes.tolist(), starts[where].tolist(), ends[where].tolist(), strict=True):
-            got = known.get(h)
-            if got is None:
-                got = np.array(encoder.encode_ordinary(raw[a:b].decode()), dtype=np.uint16).tobytes()
+            piece = raw[a:b]
+            kept, got = known.get(h, (None, None))
+            if kept != piece:
+                got = np.array(encoder.encode_ordinary(piece.decode()), dtype=np.uint16).tobytes()
                 if len(known) >= _REMEMBERED:
                     known.clear()
-                known[h] = got
+                known[h] = piece, got
             ids.append(got)
         sizes = np.array([len(x) for x in ids], dtype=np.int64) // 2
         pool, at = np.frombuffer(b"".join(ids), dtype=np.uint16), np.cumsum(sizes) - sizes

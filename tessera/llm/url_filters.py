@@ -2,8 +2,8 @@
 
 URLs are baskets of tokens: scheme, host labels, path segments, file endings,
 query keys.  Spark's FP-growth mines, from labelled URLs, the combinations of
-tokens that go with bad pages.  Rules that reach a least support, confidence
-and lift are kept, a longer one only if it is surer than any rule it contains.
+tokens that go with bad pages.  Rules that reach a least support (a share of
+the labelled URLs, and a number of them), confidence and lift are kept, a longer one only if it is surer than any rule it contains.
 They are matched by inverted index: a rule lies under its rarest token, and a
 URL is compared only with the rules under its own tokens.  Fixed rules by host
 and path come before the mined ones.
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tessera.llm._tables import BROADCAST_KEYS, own_columns, staged
 
 _BAD = "label=bad"
+#: Labelled URLs that must have all tokens of a rule and be bad, however few there are.
+LEAST_ROWS = 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,15 +49,17 @@ def url_tokens(url: Column) -> Column:
     )
 
 
-def mine_rules(urls: DataFrame, least_support: float = 0.002, least_confidence: float = 0.6, least_lift: float = 1.5) -> DataFrame:
+def mine_rules(urls: DataFrame, least_support: float = 0.002, least_confidence: float = 0.6, least_lift: float = 1.5, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Rules (tokens, confidence, support, lift) from labelled URLs (url, bad).
 
-    Rows with a null url or label are left out.  No labels, no rules.
+    Rows with a null url or label are left out; repeated rows count each time.
+    Fewer labelled URLs than least_rows give no rules.
     """
     named = staged(urls.where("url is not null and bad is not null").select(F.concat(url_tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array())).alias("items")), "baskets")
-    if named.isEmpty():
+    n = named.count()
+    if n < max(least_rows, 1):
         return named.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double, lift double")
-    model = FPGrowth(itemsCol="items", minSupport=least_support, minConfidence=least_confidence).fit(named)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(least_support, (least_rows - 0.5) / n)), minConfidence=least_confidence).fit(named)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(_BAD))).where(F.col("lift") >= least_lift)
     rules = staged(rules.select(F.sort_array("antecedent").alias("tokens"), "confidence", "support", "lift"), "rules")
     # A rule goes if a shorter one within it is as sure.  Shorter rules are found by leaving out one token at a time.

@@ -39,3 +39,24 @@ def test_statistics_of_a_host_choose_within_articles(spark):
     pages = [(k, "http://h.org/", f"<article id='post-{k}'><div><p>{'Words, and more words, in a row. ' * 9}</p></div><ul><li><a href='/{k}'>More</a></li></ul></article>") for k in range(9)]
     got = extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert {r["text"] for r in got} == {("Words, and more words, in a row. " * 9).strip()}
+
+
+def test_many_pages_of_a_host_and_paths_joined(spark, monkeypatch):
+    pages = [(k, "http://h.org/", f"<div class='text'><p>Page {k} says this, and that, at some length, with points.</p></div><div class='n{k}'><a href='/'>x{k}</a></div>") for k in range(120)]
+    frame = spark.createDataFrame([*pages, (3, "http://h.org/", pages[3][2]), (None, None, pages[5][2])], "page_id long, url string, html string")
+    once = sorted((str(r["id"]), r["text"]) for r in extract_text(frame).collect())
+    monkeypatch.setattr("tessera.llm.html_text.BROADCAST_KEYS", 0)
+    assert sorted((str(r["id"]), r["text"]) for r in extract_text(frame).collect()) == once
+    assert all(t == f"Page {5 if k == 'None' else k} says this, and that, at some length, with points." for k, t in once)
+
+
+def test_a_stray_quote_in_a_tag_loses_no_text(spark):
+    page = "<article><p class=\"a>First, with a stray quote.</p><p>Second, after it, \"quoted\" here.</p><p title='x>y'>Third, and last.</p></article>"
+    (got,) = extract_text(spark.createDataFrame([(1, "http://h.org", page)], "page_id long, url string, html string")).collect()
+    assert "Second, after it" in got["text"] and "Third, and last." in got["text"]
+
+
+def test_a_very_long_page(spark):
+    page = "<article>" + "".join(f"<p>Paragraph {k}, with some words, and a point.</p>" for k in range(20_000)) + "</article><nav>Menu</nav>"
+    (got,) = extract_text(spark.createDataFrame([(1, "http://h.org", page)], "page_id long, url string, html string")).collect()
+    assert got["text"].count("\n") == 19_999 and "Menu" not in got["text"]
