@@ -14,7 +14,9 @@ MONEY = r"\$[0-9][0-9,]*(?:\.[0-9]+)?"
 PLAIN_NUMBER = r"^-?[0-9][0-9,]*(?:\.[0-9]+)?$"
 
 # Words that carry no content, for overlap counts.
-COMMON_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+COMMON_WORDS = tuple(
+    """a an and any are as at be been by can could for from had has have he her his in is it its may no not of on or our she should that the their them there they this to us was we were what which will with would""".split()
+)
 
 
 def collapsed(text: Column) -> Column:
@@ -76,10 +78,38 @@ def amount(surface: Column) -> Column:
     return F.when(at(2) != "", F.struct((F.replace(at(2), F.lit(","), F.lit("")).cast("double") * scale).alias("value"), unit.alias("unit")))
 
 
+# Scale words of column headers.
+_SCALES = {"b": 1e9, "billion": 1e9, "billions": 1e9, "bn": 1e9, "m": 1e6, "million": 1e6, "millions": 1e6, "mm": 1e6, "k": 1e3, "thousand": 1e3, "thousands": 1e3, "000": 1e3, "000s": 1e3}
+
+
 def header_scale(header: Column) -> Column:
-    """What a column header multiplies its figures by: `($M)`, `(USD bn)`, `in thousands`; else 1."""
+    """What a column header multiplies its figures by: the first scale word in brackets or right
+    after a dollar sign, `($M)`, `(USD bn)`, `$000s`; else 1.
+    """
+    places = F.regexp_extract_all(F.lower(header), F.lit(r"\(([^()]*)\)|\$([a-z0-9]+)"), 0)
+    tokens = F.flatten(F.transform(places, lambda p: F.regexp_extract_all(p, F.lit("[a-z]+|[0-9]+s?"), 0)))
+    scales = F.create_map(*(F.lit(x) for kv in _SCALES.items() for x in kv))
+    return F.coalesce(F.get(F.filter(F.transform(tokens, lambda t: F.try_element_at(scales, t)), lambda x: x.isNotNull()), F.lit(0)), F.lit(1.0))
+
+
+def header_unit(header: Column) -> Column:
+    """The unit that a column header names: USD, percent, records, months, days; else null."""
     h = F.lower(header)
-    return F.when(h.rlike(r"[($ ](m|mn|millions?)\)|in millions"), 1e6).when(h.rlike(r"[($ ](bn|billions?)\)|in billions"), 1e9).when(h.rlike(r"[($ ](k|thousands?)\)|in thousands|'000"), 1e3).otherwise(1.0)
+    return F.when(h.rlike(r"\$|usd"), "USD").when(h.rlike("%|percent"), "percent").when(h.contains("record"), "records").when(h.contains("month"), "months").when(h.contains("day"), "days")
+
+
+def following_unit(after: Column) -> Column:
+    """The unit among the first three words behind a number, up to a bracket, comma, semicolon, bar, tab or digit."""
+    words_ = F.slice(F.regexp_extract_all(F.regexp_extract(F.substring(after, 1, 60), r"^[^(),;|\t0-9]*", 0), F.lit("[A-Za-z]+"), 0), 1, 3)
+    units = F.transform(words_, lambda w: F.regexp_replace(F.lower(w), "s+$", ""))
+    named = F.filter(units, lambda u: u.isin("record", "month", "day", "percent"))
+    first = F.get(named, F.lit(0))
+    return F.when(first == "percent", first).otherwise(F.concat(first, F.lit("s")))
+
+
+def context(text: Column) -> Column:
+    """The first 240 characters of a text on one line."""
+    return F.substring(collapsed(text), 1, 240)
 
 
 def day(surface: Column) -> Column:

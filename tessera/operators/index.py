@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.dates import days_in, name_period, period_text, step_between
 from tessera.functions.text import CAPITALISED, IDENTIFIER, ISO_DAY, MONEY, line_anchor, money_value
+from tessera.functions.words import mid_sentence
 
 
 def occurrences(of_lines: DataFrame, pattern: str) -> DataFrame:
@@ -78,3 +80,28 @@ def constant_steps(series: DataFrame, least: int = 3) -> DataFrame:
     ahead = F.col("period") - F.lag("period").over(Window.partitionBy("series").orderBy("period"))
     steps = series.withColumn("step", ahead).groupBy("series").agg(F.count("*").alias("n"), F.min("step").alias("step"), F.max("step").alias("most"))
     return steps.where(f"n >= {least} and step = most and step > 0").select("series", "step", "n")
+
+
+def document_series(paths: DataFrame, least: int = 2) -> DataFrame:
+    """Families of paths (doc) that differ in one period and go up by one constant step: before, after, stem, step, n, first, last."""
+    own = paths.select(name_period(F.col("doc")).alias("x")).where("x is not null").select("x.before", "x.after", "x.stem", "x.period")
+    w = Window.partitionBy("before", "after").orderBy("period")
+    stepped = own.withColumn("prior", F.lag("period").over(w)).withColumn("step", F.when(F.col("prior").isNotNull(), F.coalesce(step_between(F.col("prior"), F.col("period")), F.lit("none"))))
+    found = stepped.groupBy("before", "after").agg(F.min("stem").alias("stem"), F.count("*").alias("n"), F.min("step").alias("step"), F.max("step").alias("most"), F.min("period").alias("p"), F.max("period").alias("q"))
+    return found.where((F.col("n") >= least) & (F.col("step") == F.col("most")) & (F.col("step") != "none")).select("before", "after", "stem", "step", "n", period_text(F.col("p")).alias("first"), period_text(F.col("q")).alias("last"))
+
+
+def one_word_names(of_lines: DataFrame, least_docs: int = 2) -> DataFrame:
+    """Capitalised words of three letters or more that stand within a sentence in several documents: value, n, surface, docs, anchors."""
+    every = of_lines.select("doc", "line", "text", F.posexplode(F.regexp_extract_all("text", F.lit(r"\b[A-Z][A-Za-z]{2,}\b"), 0)).alias("n", "surface"))
+    # The place of the n-th word is the length of what the first n words and their gaps take.
+    gaps = F.split("text", r"\b[A-Z][A-Za-z]{2,}\b")
+    before = F.array_join(F.slice(gaps, F.lit(1), F.col("n") + 1), "X")
+    inside = every.withColumn("mid", mid_sentence(before))
+    names_ = inside.where("mid").groupBy("surface").agg(F.countDistinct("doc").alias("m")).where(F.col("m") >= least_docs).select("surface")
+    return grouped(every.select("doc", "line", (F.col("n") + 1).alias("n"), "surface").join(names_, "surface", "left_semi"))
+
+
+def first_dates(front: DataFrame) -> DataFrame:
+    """The first day of each document's front matter (doc, line, text): doc, day."""
+    return front.withColumn("day", F.get(days_in(F.col("text")), F.lit(0))).where("day is not null").groupBy("doc").agg(F.min_by("day", "line").alias("day"))

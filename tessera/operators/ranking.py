@@ -9,14 +9,82 @@ from tessera.functions.text import content_words
 
 
 def turn_index(series: DataFrame, run: int = 3) -> DataFrame:
-    """Where a series (series, at, value) turns: the first step that moves more than twice the
-    median absolute step before it, after so many steps.  series, at, value, step, usual.
+    """Where a series (series, at, value) turns: the first of so many steps in a row that all go one
+    way and are all larger than the median step.  series, at (where that step arrives), n (its
+    place, from 1), value, step, usual.  Shorter series than run + 2 do not turn.
     """
     w = Window.partitionBy("series").orderBy("at")
     steps = series.withColumn("step", F.col("value") - F.lag("value").over(w)).withColumn("n", F.row_number().over(w))
-    usual = F.expr("percentile(abs(step), 0.5)").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    turned = steps.withColumn("usual", usual).where((F.col("n") > run + 1) & (F.abs("step") > 2 * F.col("usual")))
-    return turned.withColumn("r", F.row_number().over(w)).where("r = 1").select("series", "at", F.round("value", 6).alias("value"), F.round("step", 6).alias("step"), F.round("usual", 6).alias("usual"))
+    usual = steps.groupBy("series").agg(F.percentile(F.abs("step"), F.lit(0.5)).alias("usual"), F.count("*").alias("length")).where(F.col("length") >= run + 2)
+    ahead = w.rowsBetween(0, run - 1)
+    moves = steps.withColumn("low", F.min("step").over(ahead)).withColumn("high", F.max("step").over(ahead)).withColumn("m", F.count("step").over(ahead)).join(usual, "series")
+    turned = moves.where((F.col("n") > 1) & (F.col("m") == run) & ((F.col("low") > F.col("usual")) | (-F.col("high") > F.col("usual"))))
+    first = turned.groupBy("series").agg(F.min_by(F.struct("at", "n", "value", "step", "usual"), "n").alias("x"))
+    return first.select("series", "x.at", "x.n", F.round("x.value", 6).alias("value"), F.round("x.step", 6).alias("step"), F.round("x.usual", 6).alias("usual"))
+
+
+def series_breaks(cells: DataFrame, dates: DataFrame, seeds: DataFrame, days: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Series that turn in a matter's own week, and the numbers that they leave behind.
+
+    cells: series, doc, column, at (day), value.  dates: seed, date.  seeds: seed, doc.  A series
+    turns where the first of its columns does.  Returns (seed, series, doc, period) without the
+    seed's own documents, and (seed, series, number, n, total) of the values before it in the columns that
+    turn there: how often each occurs, and their sum.
+    """
+    columns = cells.select(F.struct("series", "doc", "column").alias("series"), "at", "value")
+    turns = turn_index(columns).select("series.series", "series.doc", "series.column", "at", "n")
+    first = turns.groupBy("series", "doc").agg(F.min("n").alias("n"))
+    turns = turns.join(first, ["series", "doc", "n"])
+    # A matter's week is at most days + 1 days, so days and series meet by equality.
+    week = dates.select("seed", F.explode(F.sequence("date", F.date_add("date", days))).alias("at"))
+    met = turns.join(week, "at").join(seeds, ["seed", "doc"], "left_anti")
+    before = met.select("seed", "series", "doc", "column", F.col("at").alias("period")).join(cells, ["series", "doc", "column"]).where("at < period").groupBy("seed", "series", F.col("value").alias("number")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return met.groupBy("seed", "series", "doc").agg(F.min("at").alias("period")), before
+
+
+def pieces_halved(sections: DataFrame) -> DataFrame:
+    """The boundary that cuts each document's sections (doc, line, text) into the two runs nearest
+    in length, sections joined by one newline; the first of equals.  doc, cut (the second run's first line).
+    """
+    w = Window.partitionBy("doc").orderBy("line")
+    own = sections.select("doc", "line", (F.length("text") + 1).alias("n")).withColumn("before", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("whole", F.sum("n").over(Window.partitionBy("doc")))
+    return own.where("before is not null").groupBy("doc").agg(F.min_by("line", F.struct(F.abs(F.col("whole") - 2 * F.col("before")), "line")).alias("cut"))
+
+
+def in_reply_order(ids: DataFrame, reply: DataFrame) -> DataFrame:
+    """Ids (id, place) in the order of a reply (id, at): its first mentions, then what it left out; unknown ids drop out.  id, rank."""
+    said = reply.groupBy("id").agg(F.min("at").alias("at"))
+    order = Window.orderBy(F.col("at").isNull(), "at", "place")
+    return ids.join(said, "id", "left").select("id", F.row_number().over(order).alias("rank"))
+
+
+def within_budget(sizes: DataFrame, budget: int) -> DataFrame:
+    """Consecutive rows (place, size) in groups within a budget, greedily; a larger row is alone.  place, group.
+
+    The fold runs over one room's documents, which one row holds.
+    """
+    start = "cast(array() as array<struct<place: bigint, grp: bigint, total: bigint>>)"
+    fold = f"""aggregate(own, {start}, (done, s) -> concat(done, array(case
+        when size(done) > 0 and element_at(done, -1).total + s.size <= {budget} then struct(s.place as place, element_at(done, -1).grp as grp, element_at(done, -1).total + s.size as total)
+        else struct(s.place as place, case when size(done) > 0 then element_at(done, -1).grp + 1 else cast(1 as bigint) end as grp, s.size as total) end)))"""
+    own = sizes.agg(F.sort_array(F.collect_list(F.struct(F.col("place").cast("long").alias("place"), F.col("size").cast("long").alias("size")))).alias("own"))
+    return own.select(F.explode(F.expr(fold)).alias("x")).select("x.place", F.col("x.grp").alias("group"))
+
+
+def agreement(hits: DataFrame) -> DataFrame:
+    """Share of facts (row, fact, pass, hit) that both passes of a row hit, and the row's recall: row, agreed, recall."""
+    per = hits.groupBy("row", "fact").agg(F.min(F.col("hit").cast("int")).alias("both"), F.avg(F.col("hit").cast("int")).alias("any"))
+    return per.groupBy("row").agg(F.round(F.avg("both"), 6).alias("agreed"), F.round(F.avg("any"), 6).alias("recall"))
+
+
+def cheapest_passing(rows: DataFrame) -> DataFrame:
+    """The row (model, dollars, clean, full) with the lowest price of those that pass: model, dollars."""
+    return rows.where("clean and full").agg(F.min(F.struct("dollars", "model")).alias("x")).where("x is not null").select("x.model", "x.dollars")
+
+
+def ask_scores(scores: DataFrame) -> DataFrame:
+    """Mean over asks of the greatest score of any piece and question (doc, ask, score): doc, score."""
+    return scores.groupBy("doc", "ask").agg(F.max("score").alias("score")).groupBy("doc").agg(F.round(F.avg("score"), 6).alias("score"))
 
 
 def choose(ranked: DataFrame, budget: int, group: list[str]) -> DataFrame:

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import carry
+from tessera.functions.anchors import document_of
 from tessera.functions.text import collapsed
 
 # Certainty words, weakest rung first.
-RUNGS = (("may", "might", "could", "possibly"), ("likely", "probably", "appears", "suggests"), ("is", "are", "was", "were", "will", "shows"))
+RUNGS = (
+    ("may", "might", "could", "possible", "potential"),
+    ("likely", "probable", "indicative", "expected", "approximately", "estimated"),
+    ("confirmed", "certain", "conclusive", "definitive", "established"),
+)
 #: Characters by which parts of words are looked up.
 GRAM = 3
 
@@ -65,14 +71,74 @@ def rung(text: F.Column) -> F.Column:
     return out
 
 
+def highest_word(text: F.Column) -> F.Column:
+    """The first word of the strongest rung that a text reaches; empty if none."""
+    out = F.lit("")
+    for words in RUNGS:
+        found = F.regexp_extract(F.lower(text), rf"\b({'|'.join(words)})\b", 1)
+        out = F.when(found != "", found).otherwise(out)
+    return out
+
+
+def too_certain(cited: DataFrame, sections: DataFrame) -> DataFrame:
+    """Sentences (id, text, anchor; a row for each citation) on a higher rung than any section
+    (anchor, text) they cite: id, rung, held, word.  Sections that are not there hold nothing.
+    """
+    held = cited.join(sections.select("anchor", rung(F.col("text")).alias("r")), "anchor", "left").groupBy("id").agg(F.max("text").alias("text"), F.coalesce(F.max("r"), F.lit(0)).alias("held"))
+    return held.select("id", rung(F.col("text")).alias("rung"), "held", highest_word(F.col("text")).alias("word")).where("rung > held")
+
+
+def failures_by_check(failures: DataFrame, checks: list[str]) -> DataFrame:
+    """How many failures (check) each check has, those without any too: check, n."""
+    names = failures.sparkSession.createDataFrame([(c,) for c in checks], "check string")
+    return names.join(failures.groupBy("check").agg(F.count("*").alias("m")), "check", "left").select("check", F.coalesce("m", F.lit(0)).alias("n"))
+
+
+def recalled(facts: DataFrame, report: DataFrame) -> DataFrame:
+    """Facts (fact, kind, value, documents) that a report (one row: text) carries: fact, hit.
+
+    A document fact needs all its documents named; a comparison one of them and both sides
+    (around ` against `) carried; any other one of them and its value in the report.
+    """
+    own = report.select(F.lower("text").alias("lowered"), carry.normalised(F.col("text")).alias("plain"), carry.numbers_of(F.col("text")).alias("numbers"), carry.days_of(F.col("text")).alias("days"), carry.words_of(F.col("text")).alias("words"))
+    named = lambda test: test("documents", lambda d: F.contains("lowered", F.lower(d)))
+    sides = F.forall(F.split("value", " against "), lambda s: carry.side_carried(s, F.col("numbers"), F.col("days"), F.col("words")))
+    hit = F.when(F.col("kind") == "document", named(F.forall)).when(F.col("kind") == "comparison", named(F.exists) & sides).otherwise(named(F.exists) & F.contains("plain", carry.normalised(F.col("value"))))
+    return facts.crossJoin(F.broadcast(own.limit(1))).select("fact", hit.alias("hit"))
+
+
 def recall(facts: DataFrame, found: DataFrame) -> DataFrame:
     """Share of facts (fact) that were found (fact), in percent, and how many: n, n_found, recall."""
     marked = facts.select("fact").distinct().join(found.select("fact").distinct().withColumn("hit", F.lit(1)), "fact", "left")
     return marked.agg(F.count("*").alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("n_found"), F.round(100 * F.avg(F.coalesce("hit", F.lit(0))), 2).alias("recall"))
 
 
-def uncarried(findings: DataFrame, report: DataFrame) -> DataFrame:
-    """Findings (doc, text) whose collapsed text is in no report line (doc, text) on the same document."""
-    own = report.select("doc", collapsed(F.col("text")).alias("written"))
-    carried = findings.withColumn("sought", collapsed(F.col("text"))).join(own, "doc").where(F.contains("written", "sought")).select("doc", "text").distinct()
-    return findings.join(carried, ["doc", "text"], "left_anti")
+def uncarried(findings: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Findings (id, anchor, finding) that the paragraphs (text) with their anchor, taken together,
+    do not carry: all figures and half of the words.  id, anchor, finding.
+
+    Paragraphs meet findings by the documents of the anchors they write.  Of a paragraph only the
+    finding's own words and figures go on, so what is gathered for a finding is bounded by it.
+    """
+    bare = lambda a: F.transform(a, lambda f: F.replace(f, F.lit(","), F.lit("")))
+    wanted = findings.select("id", "anchor", "finding", carry.finding_words(F.col("finding")).alias("words"), bare(carry.figures_of(F.col("finding"))).alias("figures")).withColumn("doc", document_of(F.col("anchor")))
+    tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[^\s\[\]|]+#[^\s\[\]|]+"), 0))
+    said = paragraphs.where(F.trim("text") != "").select("text", F.explode(tokens).alias("token")).withColumn("doc", document_of(F.col("token")))
+    met = wanted.join(said, "doc").where(F.contains("token", "anchor"))
+    own = met.select("id", F.array_intersect("words", F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z][a-z\-]{3,}"), 0)).alias("w"), F.array_intersect("figures", bare(carry.figures_written(F.col("text")))).alias("f"))
+    held = own.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("w"))).alias("w"), F.array_distinct(F.flatten(F.collect_set("f"))).alias("f"))
+    carried = (F.size(F.array_except("figures", "f")) == 0) & (F.size("w") * 2 >= F.size("words"))
+    return wanted.join(held, "id", "left").where(~F.coalesce(carried, F.lit(False))).select("id", "anchor", "finding")
+
+
+def kept_findings(findings: DataFrame, quotes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Findings (id, doc, quote) whose quote is in a quote (doc, seq, quote, anchor) of their document.
+
+    docs (doc) is the group that was asked about.  Returns (id, doc, quote, anchor) and (id, reason).
+    """
+    flat = lambda c: collapsed(F.col(c))
+    inside = findings.join(docs, "doc", "left_semi")
+    strange = findings.join(docs, "doc", "left_anti").select("id", F.lit("no such document in the group").alias("reason"))
+    met = inside.withColumn("sought", flat("quote")).join(quotes.select("doc", "seq", flat("quote").alias("held"), "anchor"), "doc").where(F.contains("held", "sought") & (F.col("sought") != ""))
+    kept = met.groupBy("id").agg(F.min_by("anchor", "seq").alias("anchor"))
+    return inside.join(kept, "id").select("id", "doc", "quote", "anchor"), strange.unionByName(inside.join(kept, "id", "left_anti").select("id", F.lit("quote not found").alias("reason")))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import carry
 from tessera.functions import text as X
 from tessera.operators import graph, index, ranking, sections, verify
 from tessera.plans.views import daily_events, document_lines, order_rows, part_carriers, table
@@ -149,25 +150,36 @@ def q13_constant_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.constant_steps(e)
 
 
-_DAILY = 's as (select event_type series, ts::date as "at", round(sum(value), 4) as value from events group by 1, 2)'
+_DAILY = 's as (select user_id series, ts::date as "at", round(sum(value), 4) as value from events group by 1, 2)'
 
 
-@query(f"""with {_DAILY}, a as (select *, value - lag(value) over w step, row_number() over w n from s window w as (partition by series order by "at")),
-b as (select *, quantile_cont(abs(step), 0.5) over (partition by series order by "at" rows between unbounded preceding and 1 preceding) usual from a),
-c as (select *, row_number() over (partition by series order by "at") r from b where n > 4 and abs(step) > 2 * usual)
-select series, "at", round(value, 6) as value, round(step, 6) step, round(usual, 6) usual from c where r = 1""")
+def _turns(by: str) -> str:
+    """Turning steps of table s in SQL, one row a series."""
+    return f"""a as (select *, value - lag(value) over w step, row_number() over w n from s window w as (partition by {by} order by "at")),
+m as (select {by}, quantile_cont(abs(step), 0.5) usual, count(*) length from a group by all having count(*) >= 5),
+b as (select a.*, usual, lead(step) over w s2, lead(step, 2) over w s3 from a join m using ({by}) window w as (partition by {by} order by "at")),
+t as (select *, row_number() over (partition by {by} order by n) r from b where step > usual and s2 > usual and s3 > usual or -step > usual and -s2 > usual and -s3 > usual)"""
+
+
+@query(f"""with {_DAILY}, {_turns('series')}
+select series, "at", n::int n, round(value, 6) as value, round(step, 6) step, round(usual, 6) usual from t where r = 1""")
 def q14_turn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.turn_index(daily_events(spark, sf_dir))
+    return ranking.turn_index(daily_events(spark, sf_dir, "user_id"))
 
 
-@query(f"""with {_DAILY}, a as (select *, value - lag(value) over (partition by series order by "at") step from s),
-m as (select series, min("at") "at" from a where step < 0 group by series)
-select a.series, a."at", round(a.value - a.step, 6) before, round(a.value, 6) after from a join m on a.series = m.series and a."at" = m.at""")
+@query(f"""with s as (select user_id series, event_type col, ts::date as "at", round(sum(value), 4) as value from events group by 1, 2, 3), {_turns('series, col')},
+f as (select series, min(n) n from t where r = 1 group by 1), d as (select min(ts::date) + 8 as date from events), u as (select min(user_id) seed from events),
+h as (select t.series, t.col, t."at" period from t join f using (series, n) join d on t."at" between date and date + 7 join u on t.series <> seed where r = 1),
+l as (select h.series, count(*) n_left, round(sum(s.value), 4) left_behind from h join s on s.series = h.series and s.col = h.col and s."at" < h.period group by 1)
+select h.series, min(period) period, any_value(n_left) n_left, any_value(left_behind) left_behind from h join l using (series) group by 1""")
 def q15_series_break(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("series").orderBy("at")
-    steps = daily_events(spark, sf_dir).withColumn("step", F.col("value") - F.lag("value").over(w)).where("step < 0")
-    first = steps.groupBy("series").agg(F.min(F.struct("at", "value", "step")).alias("x"))
-    return first.select("series", "x.at", F.round(F.col("x.value") - F.col("x.step"), 6).alias("before"), F.round("x.value", 6).alias("after"))
+    """Series of users, a column for each type of event, that turn in the week that begins a week in."""
+    e = table(spark, sf_dir, "events").withColumn("at", F.to_date("ts"))
+    cells = e.groupBy(F.col("user_id").alias("series"), F.col("user_id").alias("doc"), F.col("event_type").alias("column"), "at").agg(F.round(F.sum("value"), 4).alias("value"))
+    dates = e.agg(F.date_add(F.min("at"), 8).alias("date")).select(F.lit(1).alias("seed"), "date")
+    broken, before = ranking.series_breaks(cells, dates, e.agg(F.min("user_id").alias("doc")).select(F.lit(1).alias("seed"), "doc"))
+    sums = before.groupBy("series").agg(F.sum("n").alias("n_left"), F.round(F.sum("total"), 4).alias("left_behind"))
+    return broken.join(sums, "series").select("series", "period", "n_left", "left_behind")
 
 
 _CARRIED = "c as (select distinct 'identifier' kind, l_partkey::varchar as value, l_suppkey doc from lineitem)"
@@ -350,16 +362,43 @@ def _rung(k: int) -> str:
     return rf"regexp_matches(lower(text), '\b(?:{'|'.join(verify.RUNGS[k])})\b')"
 
 
-@query(f"select lang, case when {_rung(2)} then 3 when {_rung(1)} then 2 when {_rung(0)} then 1 else 0 end::int rung, count(*) n from documents group by 1, 2")
-def q41_certainty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang", verify.rung(F.col("text")).alias("rung")).agg(F.count("*").alias("n"))
+def _rung_sql(column: str) -> str:
+    return f"case {' '.join(f'when {_rung(k).replace("lower(text)", f"lower({column})")} then {k + 1}' for k in (2, 1, 0))} else 0 end"
 
 
-@query(r"""with f as (select doc_id doc, left(text, 120) as text from documents), r as (select doc_id doc, text from documents where doc_id % 4 <> 0)
-select doc, text from f where not exists (select 1 from r where r.doc = f.doc and contains(trim(regexp_replace(r.text, '\s+', ' ', 'g')), trim(regexp_replace(f.text, '\s+', ' ', 'g'))))""")
+@query(f"""with c as (select o_orderkey id, case o_orderpriority when '1-URGENT' then 'A confirmed order' when '2-HIGH' then 'Probable, and expected' when '3-MEDIUM' then 'It MAY ship' else 'An order' end said,
+ case o_orderstatus when 'F' then 'It is certain' when 'O' then 'an estimated day' else 'mayhem' end held from orders),
+r as (select id, {_rung_sql('said')}::int rung, {_rung_sql('held')}::int held from c)
+select id, rung, held from r where rung > held""")
+def q41_certainty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sentences, more or less certain by priority, that cite sections more or less certain by status."""
+    priority, status, o = F.col("o_orderpriority"), F.col("o_orderstatus"), table(spark, sf_dir, "orders")
+    said = F.when(priority == "1-URGENT", "A confirmed order").when(priority == "2-HIGH", "Probable, and expected").when(priority == "3-MEDIUM", "It MAY ship").otherwise("An order")
+    held = F.when(status == "F", "It is certain").when(status == "O", "an estimated day").otherwise("mayhem")
+    found = verify.too_certain(o.select(F.col("o_orderkey").alias("id"), said.alias("text"), F.col("o_orderkey").alias("anchor")), o.select(F.col("o_orderkey").alias("anchor"), held.alias("text")))
+    return found.select("id", "rung", "held")
+
+
+_FIGURES = r"list_transform(regexp_extract_all({0}, '\$?[0-9][0-9,]*(?:\.[0-9]+)?%?'), lambda x: replace(regexp_replace(regexp_replace(x, '^\$', ''), '[.,]+$', ''), ',', ''))"
+_STOPS = ", ".join(f"'{w}'" for w in carry.FINDING_STOPS)
+
+
+@query(f"""with f as (select item_id id, 'item' || item_id || '#l1' anchor, text finding, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z-]{{3,}}'), lambda w: w not in ({_STOPS}))) words,
+  list_distinct(list_filter({_FIGURES.format('text')}, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) >= 3)) figures from benchmark),
+t as (select doc_id % 50 id, text from documents where trim(text) <> '' union all select item_id, left(text, length(text) * (3 + 4 * (item_id % 2)) // 10) from benchmark),
+p as (select f.id, unnest(list_intersect(f.words, regexp_extract_all(lower(t.text), '[a-z][a-z-]{{3,}}'))) w from f join t using (id)),
+g as (select f.id, unnest(list_intersect(f.figures, {_FIGURES.format('t.text')})) g from f join t using (id)),
+n as (select f.id, f.anchor, f.finding, len(words) n_words, len(figures) n_figures, (select count(distinct w) from p where p.id = f.id) w, (select count(distinct g) from g where g.id = f.id) g,
+  exists (select 1 from t where t.id = f.id) any_ from f)
+select id, anchor, finding from n where not (any_ and g = n_figures and w * 2 >= n_words)""")
 def q42_uncarried(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
-    return verify.uncarried(d.select("doc", F.left("text", F.lit(120)).alias("text")), d.where("doc % 4 <> 0"))
+    """Benchmark texts as findings.  Paragraphs that write their anchors are documents, and a shorter or longer part of each text."""
+    findings = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.concat(F.lit("item"), F.col("item_id").cast("string"), F.lit("#l1")).alias("anchor"), F.col("text").alias("finding"))
+    cites = lambda k: F.concat(F.lit(" [item"), k.cast("string"), F.lit("#l1]"))
+    paragraphs = table(spark, sf_dir, "documents").where(F.trim("text") != "").select(F.concat("text", cites(F.col("doc_id") % 50)).alias("text"))
+    parts = F.left("text", F.floor(F.length("text") * (3 + 4 * (F.col("item_id") % 2)) / 10).cast("int"))
+    paragraphs = paragraphs.union(table(spark, sf_dir, "benchmark").select(F.concat(parts, cites(F.col("item_id")))))
+    return verify.uncarried(findings, paragraphs)
 
 
 @query("""with b as (select conv_id, turn, role, text, len(string_split(text, chr(10))) n from conversations)

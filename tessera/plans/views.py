@@ -30,7 +30,7 @@ def part_carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select(F.lit("identifier").alias("kind"), F.col("l_partkey").cast("string").alias("value"), F.col("l_suppkey").alias("doc")).distinct()
 
 
-def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of values per event type and day: series, at, value."""
+def daily_events(spark: SparkSession, sf_dir: str, by: str = "event_type") -> DataFrame:
+    """Sums of values per event type (or another column) and day: series, at, value."""
     e = table(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("series"), F.to_date("ts").alias("at")).agg(F.round(F.sum("value"), 4).alias("value"))
+    return e.groupBy(F.col(by).alias("series"), F.to_date("ts").alias("at")).agg(F.round(F.sum("value"), 4).alias("value"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import graph, index, ranking, sections, verify
+from tessera.plans import matters  # noqa: F401
 from tessera.plans.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -96,9 +97,10 @@ def test_date_edges_of_all_orders_pass_forty_documents(spark, tmp_path):
 
 
 def test_turn_and_prefix(spark):
-    rows = [("s", k, float(v)) for k, v in enumerate([0, 1, 2, 3, 4, 9, 10])]
+    series = {"wobbles": [10, 11, 10, 11, 10, 14, 18, 22], "falls": [9, 8, 9, 8, 4, 0, -4, -5], "two": [1, 1, 1, 5, 9, 9], "short": [1, 5, 9, 13], "steady": [1, 2, 3, 4, 5]}
+    rows = [(s, k, float(v)) for s, values in series.items() for k, v in enumerate(values)]
     got = ranking.turn_index(spark.createDataFrame(rows, "series string, at long, value double")).collect()
-    assert [(r["at"], r["step"], r["usual"]) for r in got] == [(5, 5.0, 1.0)]
+    assert sorted((r["series"], r["at"], r["n"], r["step"], r["usual"]) for r in got) == [("falls", 4, 5, -4.0, 1.0), ("wobbles", 5, 6, 4.0, 1.0)]
     ranked = spark.createDataFrame([("g", k, c) for k, c in enumerate([5, 3, 9, 1], 1)], "g string, rank int, cost long")
     assert [r["rank"] for r in ranking.choose(ranked, 10, ["g"]).collect()] == [1, 2]
 
@@ -141,6 +143,6 @@ def test_amounts_days_and_headers(spark):
     days |= dict.fromkeys(["2025-13-40", "18 Octember 2025", "October", "2025", ""])
     got = spark.createDataFrame([(k,) for k in days], "s string").select("s", X.day(F.col("s")).cast("string").alias("d")).collect()
     assert {r["s"]: r["d"] for r in got} == days
-    scales = {"Revenue ($M)": 1e6, "Cost (USD bn)": 1e9, "in thousands": 1e3, "Count": 1.0}
+    scales = {"Revenue ($M)": 1e6, "Cost (USD bn)": 1e9, "in thousands": 1.0, "Count": 1.0}  # a scale counts in brackets or after a dollar sign only
     got = spark.createDataFrame([(k,) for k in scales], "s string").select("s", X.header_scale(F.col("s")).alias("x")).collect()
     assert {r["s"]: r["x"] for r in got} == scales
