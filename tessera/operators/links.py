@@ -8,13 +8,14 @@ claim, quote, anchor).  All matters are worked out in one plan: `seeds` and `ins
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_count
-from tessera.functions.words import fold, name_forms, word_runs
+from tessera.functions.words import fold, folded_words, name_forms, shared_run, word_runs
 from tessera.operators.graph import DATE_WINDOW, KIND_WEIGHTS
 
 # Share of documents from which a value or a window is too common to reach a document,
@@ -28,9 +29,13 @@ TERMINATION_WORDS = r"(?i)\b(terminate|terminates|termination)\b"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows through the folder of spark.checkpoint.dir, so that lineage ends here."""
+    """The rows through the folder of spark.checkpoint.dir, so that lineage ends here; through one of
+    this machine's only where the session names none, as in tests.
+    """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_tessera_folder", None)
+    if not folder:
+        folder = spark._tessera_folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -254,13 +259,53 @@ def money_carried(amounts: DataFrame) -> DataFrame:
     return amounts.where("unit = 'USD'").groupBy("doc").agg(F.max("value").alias("money"))
 
 
-def ranked_matters(consequences: DataFrame, money: DataFrame, pulls: DataFrame) -> DataFrame:
-    """Matters by consequences (seed, doc), then by their documents' money, then by pull (seed, pull): seed, n, most, place."""
+def ranked_matters(consequences: DataFrame, money: DataFrame, pulls: DataFrame, most: int = 25) -> DataFrame:
+    """The first matters by consequences (seed, doc), then by their documents' money, then by pull (seed, pull): seed, n, most, place."""
     sums = consequences.join(money, "doc", "left").groupBy("seed").agg(F.count("*").alias("n"), F.max("money").alias("most"))
     every = pulls.join(sums, "seed", "left").select("seed", "pull", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("most", F.lit(0.0)).alias("most"))
-    return every.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.desc("most"), F.desc("pull"), "seed"))).select("seed", "n", "most", "place")
+    order = [F.desc("n"), F.desc("most"), F.desc("pull"), "seed"]
+    return every.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order))).select("seed", "n", "most", "place")
 
 
 def stands_beside(n_docs: int, size: Column, days_apart: Column) -> Column:
     """A further matter is one of its own: not too few documents, and not too far in time from the first."""
     return (size >= max(2, int(MATTER_SHARE * n_docs))) & (F.abs(days_apart) < MATTER_SPAN)
+
+
+def covenant_links(flags: DataFrame, core: DataFrame, inside: DataFrame, values: DataFrame) -> DataFrame:
+    """Documents whose termination clause shares a run of words with a flag of the core (seed, doc).
+
+    The run tells something (two content words), and the other flag ends an agreement too, or the run
+    names a value that notes write (value).  Flags meet by pairs of neighbouring words, so only
+    flags with a common pair are compared; a document keeps its first flag's first core flag.
+    """
+    own = flags.select("doc", "seq", folded_words(F.col("quote")).alias("words"), F.col("quote").rlike(TERMINATION_WORDS).alias("ends"))
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 1, F.lit(1))), lambda i: F.array_join(F.slice("words", i, F.lit(2)), " ")))
+    ours = own.where("ends").select("doc", "seq", "words", F.explode(pairs).alias("pair"))
+    said = own.join(core, "doc").select("seed", F.col("doc").alias("head"), F.col("seq").alias("head_seq"), F.col("words").alias("said"), F.col("ends").alias("both"), F.explode(pairs).alias("pair"))
+    met = ours.join(said, "pair").drop("pair").distinct().withColumn("run", shared_run(F.col("words"), F.col("said"))).where("run is not null")
+    named = _outside(met, inside).select("*", F.explode(word_runs(F.col("run"))).alias("value")).join(values.select("value").distinct().withColumn("named", F.lit(True)), "value", "left")
+    judged = named.groupBy("seed", "doc", "seq", "head", "head_seq", "run").agg(F.max("both").alias("both"), F.max("named").alias("named")).where("both or named")
+    first = judged.groupBy("seed", "doc").agg(F.min(F.struct("seq", "head", "head_seq", "run")).alias("x"))
+    return first.select("seed", "doc", F.array("x.head").alias("from"), F.lit("covenant").alias("kind"), F.array("x.run").alias("values"))
+
+
+def grown(seeds: DataFrame, rules: list) -> tuple[DataFrame, DataFrame]:
+    """Sets of matters grown from their seeds by rules in order: (seed, doc) and all links.
+
+    A rule takes what is inside so far and returns links; a document's first link stays.
+    """
+    inside, every = seeds.select("seed", "doc"), None
+    for rule in rules:
+        found = written(_outside(rule(inside), inside).select("seed", "doc", "from", "kind", "values"), "links")
+        every = found if every is None else every.unionByName(found)
+        inside = inside.unionByName(found.select("seed", "doc"))
+    return inside, every
+
+
+def ranked_documents(scores: DataFrame, inside: DataFrame) -> DataFrame:
+    """Documents of each matter by score (seed, doc, score): those of its set first, lifted by the greatest score; seed, doc, score, place."""
+    most = scores.groupBy("seed").agg(F.max("score").alias("most"))
+    lifted = scores.join(inside.select("seed", "doc").distinct().withColumn("held", F.lit(True)), ["seed", "doc"], "left").join(most, "seed")
+    lifted = lifted.select("seed", "doc", F.coalesce("held", F.lit(False)).alias("held"), F.round(F.col("score") + F.when(F.col("held"), F.col("most")).otherwise(0.0), 6).alias("score"))
+    return lifted.withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy(~F.col("held"), F.desc("score"), "doc"))).select("seed", "doc", "score", "place")

@@ -87,6 +87,15 @@ def ask_scores(scores: DataFrame) -> DataFrame:
     return scores.groupBy("doc", "ask").agg(F.max("score").alias("score")).groupBy("doc").agg(F.round(F.avg("score"), 6).alias("score"))
 
 
+#: Rows of a side that is sent to all tasks, at most.
+SMALL_SIDE = 200_000
+
+
+def if_small(side: DataFrame) -> DataFrame:
+    """A side to be broadcast if its rows, counted, are few; else as it is."""
+    return F.broadcast(side) if side.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE else side
+
+
 def choose(ranked: DataFrame, budget: int, group: list[str]) -> DataFrame:
     """The longest prefix of each group's ranking (rank, cost) within a budget; the first always."""
     total = F.sum("cost").over(Window.partitionBy(*group).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
@@ -105,11 +114,12 @@ def closest_section(sections: DataFrame, asks: DataFrame) -> DataFrame:
     """The section that shares most content words with each ask, earliest anchor first: ask, anchor, shared.
 
     sections: anchor, text.  asks: ask, text.  Words are joined with words, so
-    no text meets every section.
+    no text meets every section; few asks go to the sections' words, which are
+    then counted where they are before anything is shuffled.
     """
     held = sections.select("anchor", F.explode(content_words(F.col("text"))).alias("w"))
     wanted = asks.select("ask", F.explode(content_words(F.col("text"))).alias("w"))
-    shared = wanted.join(held, "w").groupBy("ask", "anchor").agg(F.count("*").alias("shared"))
+    shared = held.join(if_small(wanted), "w").groupBy("ask", "anchor").agg(F.count("*").alias("shared"))
     best = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("shared"), "anchor"))
     return shared.withColumn("r", best).where("r = 1").select("ask", "anchor", "shared")
 
@@ -143,7 +153,7 @@ def shared_runs(left: DataFrame, right: DataFrame, runs: F.Column) -> DataFrame:
     """
     own = left.select("a", F.explode(runs).alias("run"))
     other = right.select("b", F.explode(runs).alias("run"))
-    both = own.join(other, "run").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    both = other.join(if_small(own), "run").groupBy("a", "b").agg(F.count("*").alias("shared"))
     return both.groupBy("a").agg(F.min(F.struct("b", "shared")).alias("first")).select("a", "first.b", "first.shared")
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import carry
 from tessera.functions.anchors import document_of
+from tessera.functions.rows import strip_citations
 from tessera.functions.text import collapsed
+from tessera.operators.ranking import if_small
 
 # Certainty words, weakest rung first.
 RUNGS = (
@@ -42,7 +44,7 @@ def located(quotes: DataFrame, docs: DataFrame) -> DataFrame:
         parts = held.select("w").distinct().select("w", F.explode(grams).alias("gram"))
         hit = short.withColumn("gram", F.left("part", F.lit(GRAM))).join(parts, "gram").where(F.contains("w", "part"))
         near = near.unionByName(hit.select("sought", "w"))
-    found = near.join(held, "w").select("sought", "doc").distinct().join(docs, "doc").withColumn("at", F.expr("instr(text, sought)")).where("at > 0")
+    found = held.join(if_small(near), "w").select("sought", "doc").distinct().join(docs, "doc").withColumn("at", F.expr("instr(text, sought)")).where("at > 0")
     return quotes.join(found.select("sought", "doc", "at"), quotes["text"] == F.col("sought")).select("quote", "doc", F.col("at").cast("long").alias("at"))
 
 
@@ -58,9 +60,18 @@ def failed_citations(cited: DataFrame, anchors: DataFrame, docs: DataFrame) -> D
 def unsupported_numbers(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """Numbers of claims (id, doc, text) that their document (doc, text) does not write: id, number."""
     numbers = lambda t: F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit("[0-9][0-9,]*(?:[.][0-9]+)?"), 0), lambda x: F.replace(x, F.lit(","), F.lit(""))))
-    said = claims.select("id", "doc", F.explode(numbers(F.col("text"))).alias("number"))
-    held = evidence.select("doc", F.explode(numbers(F.col("text"))).alias("number")).distinct()
-    return said.join(held, ["doc", "number"], "left_anti").select("id", "number")
+    # A document's numbers are put together first, so that claims meet one row of each.
+    held = evidence.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_set(numbers(F.col("text"))))).alias("held"))
+    said = claims.select("id", "doc", numbers(F.col("text")).alias("said")).where(F.size("said") > 0).join(held, "doc", "left")
+    return said.select("id", F.explode(F.array_except("said", F.coalesce("held", F.array().cast("array<string>")))).alias("number"))
+
+
+def unsourced_numbers(cited: DataFrame, sources: DataFrame) -> DataFrame:
+    """Numbers and days of sentences (id, text, anchor; a row a citation) that no section or row they cite (anchor, text) has: id, number."""
+    held = sources.groupBy("anchor").agg(F.collect_set("text").alias("texts")).select("anchor", F.array_union(F.flatten(F.transform("texts", carry.source_numbers)), F.flatten(F.transform("texts", carry.days_of))).alias("held"))
+    own = cited.join(held, "anchor", "left").groupBy("id").agg(F.max("text").alias("text"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("held", F.array().cast("array<string>"))))).alias("held"))
+    said = F.array_union(carry.sentence_numbers(F.col("text")), carry.days_of(strip_citations(F.col("text"))))
+    return own.select("id", F.explode(F.array_except(said, "held")).alias("number"))
 
 
 def rung(text: F.Column) -> F.Column:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import carry
 from tessera.functions import text as X
-from tessera.operators import graph, index, ranking, sections, verify
+from tessera.operators import graph, index, links, ranking, sections, verify
 from tessera.plans.views import daily_events, document_lines, order_rows, part_carriers, table
+from tessera.streaming.progress import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -426,8 +427,7 @@ def q47_packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_type, ts::date as day, count(*) n, round(sum(value), 4) as value from events group by 1, 2")
 def q49_daily_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
+    return progress(table(spark, sf_dir, "events")).select("event_type", F.to_date("start").alias("day"), "n", "value")
 
 
 def _kept(what: str) -> str:
@@ -476,20 +476,29 @@ def q38_figures_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_per_group(o, "doc", [F.desc("value"), F.col("anchor")], 3)
 
 
-@query("""with p as (select page_id, unnest(string_split(html, '<h')) part, unnest(range(1, len(string_split(html, '<h')) + 1))::int n from pages)
-select page_id, n, length(part)::bigint chars, regexp_extract(part, '^([1-6])>', 1) as level from p""")
+_PARTS = r"string_split(regexp_replace(html, '<h([1-6])([ >])', chr(1) || '\1\2', 'g'), chr(1))"
+
+
+@query(rf"""with p as (select page_id, unnest({_PARTS}) part, unnest(range(1, len({_PARTS}) + 1))::int n from pages)
+select page_id, n, length(part)::bigint chars, regexp_extract(part, '^([1-6])[ >]', 1) as level from p""")
 def q43_page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages cut at headings (and other elements whose names begin alike)."""
-    parts = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split("html", "<h")).alias("pos", "part"))
-    return parts.select("page_id", (F.col("pos") + 1).cast("int").alias("n"), F.length("part").cast("long").alias("chars"), F.regexp_extract("part", "^([1-6])>", 1).alias("level"))
+    """Pages cut at their headings."""
+    cut = F.split(F.regexp_replace("html", "<h([1-6])([ >])", "\u0001$1$2"), "\u0001")
+    parts = table(spark, sf_dir, "pages").select("page_id", F.posexplode(cut).alias("pos", "part"))
+    return parts.select("page_id", (F.col("pos") + 1).cast("int").alias("n"), F.length("part").cast("long").alias("chars"), F.regexp_extract("part", "^([1-6])[ >]", 1).alias("level"))
 
 
-@query("""with r as (select o_custkey doc, count(*) n, max(o_totalprice) most from orders where o_orderpriority in ('1-URGENT', '2-HIGH') group by 1)
-select doc, n, most from r order by n desc, most desc, doc limit 25""")
+@query("""with s as (select o_custkey seed, count(*) n, max(o_totalprice) most from orders where o_orderpriority = '1-URGENT' group by 1),
+e as (select c_custkey seed, c_acctbal pull, coalesce(n, 0) n, coalesce(most, 0) most from customer left join s on s.seed = c_custkey)
+select seed, n, most, row_number() over (order by n desc, most desc, pull desc, seed)::int place from e qualify place <= 25""")
 def q46_consequence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
-    return o.groupBy(F.col("o_custkey").alias("doc")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most")).orderBy(F.desc("n"), F.desc("most"), "doc").limit(25)
+    """Customers as matters, their urgent orders as consequences; the first 25 by number, money and balance."""
+    o = table(spark, sf_dir, "orders")
+    consequences = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("seed"), F.col("o_orderkey").alias("doc"))
+    money = links.money_carried(o.select(F.col("o_orderkey").alias("doc"), F.col("o_totalprice").alias("value"), F.lit("USD").alias("unit")))
+    return links.ranked_matters(consequences, money, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seed"), F.col("c_acctbal").alias("pull")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["q21_scores"](spark, sf_dir)
+    """Sets of documents grown from the strongest seeds."""
+    return QUERIES["q67_matter_sets"](spark, sf_dir)

@@ -9,10 +9,10 @@ from tessera.functions import anchors as A
 from tessera.functions import carry
 from tessera.functions import dates as D
 from tessera.functions import rows as R
-from tessera.functions.text import COMMON_WORDS, header_scale, header_unit
+from tessera.functions.text import COMMON_WORDS, amount, header_scale, header_unit
 from tessera.functions.words import fold, folded_words
-from tessera.operators import index, links, ranking, report
-from tessera.plans.catalog import _EDGES, _LINES, _ROWS, _edges, query
+from tessera.operators import graph, index, links, ranking, report
+from tessera.plans.catalog import _EDGES, _LINES, _ROWS, QUERIES, SQL, _edges, query
 from tessera.plans.views import document_lines, order_rows, table
 
 _FOLD = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
@@ -184,3 +184,55 @@ def q63_written_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     references = table(spark, sf_dir, "part").select(F.lit("code").alias("kind"), F.col("p_type").alias("value"))
     values = links.written_values(references, spark.createDataFrame([], "surface string"))
     return links.runs_of(values.withColumn("own", fold(F.col("value"))), "own").groupBy("run").agg(F.count("*").alias("n_values"))
+
+
+@query("""with s as (select s_nationkey matter, s_suppkey doc, case when s_acctbal > 0 then 'There is no material claim' else 'Materiality is still pending' end quote from supplier)
+select a.matter, a.doc said_doc, b.doc open_doc from s a join s b using (matter) where a.doc <> b.doc and a.quote like 'There%' and b.quote like 'Mat%'""")
+def q64_warranties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of a nation that warrant against those that reserve, by the sign of their balance."""
+    quote = F.when(F.col("s_acctbal") > 0, "There is no material claim").otherwise("Materiality is still pending")
+    own = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("matter"), F.col("s_suppkey").alias("doc"), quote.alias("quote"), F.col("s_name").alias("anchor"))
+    return report.warranties(own).select("matter", "said_doc", "open_doc")
+
+
+@query("""with s as (select l_linenumber % 4 k, l_quantity::int q, l_extendedprice p from lineitem)
+select case k when 0 then 'USD' when 1 then 'percent' when 2 then 'days' else '' end unit, count(*) n, round(sum(case when k = 0 then round(p, 2) when k = 3 then q * 1e6 else q end), 2)::double total from s group by 1""")
+def q65_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities and prices of line items, written as amounts and read again."""
+    k, q = F.col("l_linenumber") % 4, F.col("l_quantity").cast("int").cast("string")
+    price = F.concat(F.lit("$"), F.format_number(F.col("l_extendedprice"), 2))
+    surface = F.when(k == 0, price).when(k == 1, F.concat(q, F.lit("%"))).when(k == 2, F.concat(q, F.lit("-day"))).otherwise(F.concat(q, F.lit("m")))
+    own = table(spark, sf_dir, "lineitem").select(amount(surface).alias("a")).select("a.*")
+    return own.groupBy(F.coalesce("unit", F.lit("")).alias("unit")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("""with s as (select distinct p_size, round(p_retailprice)::int price from part)
+select 'p' || p_size || '-' || price id, printf('%g', price::double) number, printf('%g', p_size::double) size from s""")
+def q66_figure_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and prices of parts as figures, with and without currency and unit."""
+    price = F.round("p_retailprice").cast("int").cast("string")
+    own = table(spark, sf_dir, "part").select("p_size", price.alias("price")).distinct()
+    return own.select(F.concat(F.lit("p"), F.col("p_size").cast("string"), F.lit("-"), "price").alias("id"), links.figure_number(F.concat(F.lit("$"), "price", F.lit("m"))).alias("number"), links.figure_number(F.col("p_size")).alias("size"))
+
+
+_DAYS = """c as (select distinct 'd' || o_orderdate::date as value, o_custkey doc from orders),
+h as (select value, count(*) carriers from c group by 1 having count(*) between 2 and (select greatest(2, (count(*) // 2)) from customer)),
+e as (select a.doc a, b.doc b, a.value, round(1.0 / carriers, 6)::double weight from c a join c b on a.value = b.value and a.doc < b.doc join h on h.value = a.value)"""
+
+
+@query(f"""with {_DAYS}, pairs as (select draft, final from ({SQL["q12_version_pairs"]})),
+both_ as (select a doc, b other, weight from e union all select b, a, weight from e), m as (select doc, other, max(weight) weight from both_ group by 1, 2),
+k as (select doc, weight, row_number() over (partition by doc order by weight desc, other) i from m), s as (select doc seed, round(sum(weight), 6) pull from k where i <= 3 group by doc order by pull desc, seed limit 25),
+i1 as (select seed, seed doc, 'seed' kind from s union all select distinct seed, doc, 'shared' from s join both_ on other = seed where doc <> seed),
+p2 as (select draft doc, final other from pairs union all select final, draft from pairs),
+i2 as (select distinct i1.seed, p2.doc, 'version' kind from i1 join p2 on p2.other = i1.doc where not exists (select 1 from i1 x where x.seed = i1.seed and x.doc = p2.doc))
+select seed, doc, kind from i1 union all select seed, doc, kind from i2""")
+def q67_matter_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets grown from the 25 strongest customers: those that ordered on the same days, then other halves of versions."""
+    o = table(spark, sf_dir, "orders")
+    carriers = o.select(F.lit("identifier").alias("kind"), F.concat(F.lit("d"), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("value"), F.col("o_custkey").alias("doc"))
+    edges = links.written(graph.value_edges(carriers, graph.breadth(table(spark, sf_dir, "customer").count())), "edges")
+    seeds = links.written(graph.seed_pull(edges).orderBy(F.desc("pull"), "doc").limit(25).select(F.col("doc").alias("seed"), "doc"), "seeds")
+    shared, versions = links.value_links(edges), QUERIES["q12_version_pairs"](spark, sf_dir).select("draft", "final")
+    _, every = links.grown(seeds, [lambda s: links.shared_links(s, shared), lambda s: links.version_links(versions, s)])
+    return seeds.withColumn("kind", F.lit("seed")).unionByName(every.select("seed", "doc", "kind"))

@@ -6,6 +6,7 @@ from tessera.functions import dates as D
 from tessera.functions import rows as R
 from tessera.functions import text as X
 from tessera.functions import words as W
+from tessera.operators import verify
 
 
 def of(spark, values, f, kind="string"):
@@ -74,3 +75,12 @@ def test_rows(spark):
     assert [tuple(c) for c in cites] == [("D1", "D1#l3"), ("x.pdf", "x.pdf#p2l3"), ("D2", "D2#l4")]
     assert [len(x) for x in of(spark, ["So [D1 | D1#l3]. And [x.pdf#p2l3] [D2 | D2#l4].", "none [D1 | D1#l3] here"], R.trailing_citations)] == [2, 0]
     assert of(spark, ["Yes [D1 | D1#l3].", "No [D1 | D1#l3] x"], R.is_cited) == [True, False]
+
+
+def test_numbers_with_sources(spark):
+    assert of(spark, ["It cost $185,000.00 (30.1%) by 18 October 2025 for DR-069 [D1 | D1#l4]."], carry.sentence_numbers) == [["185000.00", "30.1"]]
+    assert sorted(of(spark, ["a 30.1 b"], carry.source_numbers)[0]) == ["1", "30", "30.1"]
+    assert of(spark, ["Calculation: ($1,200 + 800) / 2 = 1000, range 900 to 1,100", "5 + 6 = 11"], carry.calculation_operands) == [["1200", "800", "900", "1100"], ["5", "6"]]
+    cited = spark.createDataFrame([(1, "It cost 1,200 on 2025-10-18.", "a"), (2, "It cost 7.", "a"), (2, "It cost 7.", "b"), (3, "It cost 9.", "z")], "id int, text string, anchor string")
+    sources = spark.createDataFrame([("a", "cost $1200, 18 October 2025"), ("b", "7 days")], "anchor string, text string")
+    assert sorted(map(tuple, verify.unsourced_numbers(cited, sources).collect())) == [(3, "9")]
