@@ -11,7 +11,7 @@ from tessera.functions import dates as D
 from tessera.functions import rows as R
 from tessera.functions.text import COMMON_WORDS, amount, header_scale, header_unit
 from tessera.functions.words import fold, folded_words
-from tessera.operators import graph, index, links, ranking, report
+from tessera.operators import filings, graph, index, links, ranking, report
 from tessera.plans.catalog import _EDGES, _LINES, _ROWS, QUERIES, SQL, _edges, query
 from tessera.plans.views import document_lines, order_rows, table
 
@@ -236,3 +236,9 @@ def q67_matter_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared, versions = links.value_links(edges), QUERIES["q12_version_pairs"](spark, sf_dir).select("draft", "final")
     _, every = links.grown(seeds, [lambda s: links.shared_links(s, shared), lambda s: links.version_links(versions, s)])
     return seeds.withColumn("kind", F.lit("seed")).unionByName(every.select("seed", "doc", "kind"))
+
+
+@query()
+def q68_filing_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as filings, split at their headings."""
+    return filings.split_filings(document_lines(spark, sf_dir)).select("doc", "number", "file", F.length("text").alias("chars"))
