@@ -9,7 +9,8 @@ evidence.  A host's rate is shrunk towards the global one, a path's
 towards its host's; how much is estimated from how far rates differ between
 sites beyond what their sizes explain.  A document's posterior odds are its
 own odds times its path's odds relative to the global ones, for quality and
-toxicity alike.
+toxicity alike; the path's are those of all other documents there, so that its
+own evidence counts once.
 """
 
 from __future__ import annotations
@@ -257,15 +258,24 @@ def judge_quality(
     prior = {k: min(max((whole[k] or 0.5) / (whole["n"] or 1), 1e-6), 1 - 1e-6) for k in ("good", "toxic")}
     sums = staged(paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("toxic").alias("toxic"), F.sum("n").alias("n")), "hosts")
     strength = {k: F.lit(_strength(sums, k, "n", F.lit(p))) for k, p in prior.items()}
-    hosts = sums.select(F.col("host").alias("of_host"), *(_rate(F.col(k), F.col("n"), F.lit(p), strength[k]).alias(f"host_{k}") for k, p in prior.items()))
+    hosts = sums.select(F.col("host").alias("of_host"), *(F.col(c).alias(f"of_{c}") for c in ("good", "toxic", "n")), *(_rate(F.col(k), F.col("n"), F.lit(p), strength[k]).alias(f"host_{k}") for k, p in prior.items()))
     paths = staged(paths.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).drop("of_host"), "paths")
-    strength = {k: F.lit(_strength(paths, k, "n", F.col(f"host_{k}"))) for k in prior}
-    rates = (_rate(F.col(k), F.col("n"), F.col(f"host_{k}"), strength[k]).alias(to) for k, to in (("good", "path_quality"), ("toxic", "path_toxic")))
-    paths = staged(paths.select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), F.col("host_good").alias("host_quality"), *rates), "sites")
+    within = {k: F.lit(_strength(paths, k, "n", F.col(f"host_{k}"))) for k in prior}
+    sites = paths.select(
+        F.col("host").alias("of_host"), F.col("path").alias("of_path"), F.col("host_good").alias("host_quality"), _rate(F.col("good"), F.col("n"), F.col("host_good"), within["good"]).alias("path_quality"),
+        *(F.col(c).alias(f"path_{c}") for c in ("good", "toxic", "n")), "of_good", "of_toxic", "of_n",
+    )
+    sites = staged(sites, "sites")
+    sites = F.broadcast(sites) if sites.count() <= BROADCAST_KEYS else sites
+    joined = seen.join(sites, F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path")), "left")
+
+    def without_itself(k: str) -> Column:
+        """The rate of the document's path by all others there, shrunk towards its host's by all others."""
+        own, n = F.coalesce(F.col(f"n_{k}").cast("double"), chance(k)), F.coalesce("n_labels", F.lit(1))
+        host = _rate(F.col(f"of_{k}") - own, F.col("of_n") - n, F.lit(prior[k]), strength[k])
+        return _rate(F.col(f"path_{k}") - own, F.col("path_n") - n, host, within[k])
 
-    sites = F.broadcast(paths) if paths.count() <= BROADCAST_KEYS else paths
-    joined = scored.join(sites, F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path")), "left")
-    posterior = lambda c, site: 1 / (1 + F.exp(-(F.col(c) + logit(F.col(site)) - logit(F.lit(prior[c])))))
+    posterior = lambda k: 1 / (1 + F.exp(-(F.col(k) + logit(without_itself(k)) - logit(F.lit(prior[k])))))
     return joined.select(
-        "id", "host", "path", "host_quality", "path_quality", posterior("good", "path_quality").alias("p_quality"), posterior("toxic", "path_toxic").alias("p_toxic")
+        "id", "host", "path", "host_quality", "path_quality", posterior("good").alias("p_quality"), posterior("toxic").alias("p_toxic")
     ).withColumn("keep", (F.col("p_quality") >= least_quality - 1e-9) & (F.col("p_toxic") <= most_toxic + 1e-9))
