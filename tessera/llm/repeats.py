@@ -8,9 +8,9 @@ of about a third of that length), the same one wherever the string occurs.  So
 1. texts are scanned for chosen grams; each yields its hash, a hash of its
    context (all bytes that a string around it can reach) and hashes of the
    context's halves;
-2. a gram that occurs once has no repeated string around it; where all
-   contexts of a gram agree, all strings around it are repeated.  Two grouped
-   counts settle these;
+2. a gram that occurs once has no repeated string around it; where a context
+   occurs again, all strings in it are repeated.  Two grouped counts settle
+   these;
 3. the other contexts, one of each kind and only those that agree in a half
    with another one, are brought together by gram and half.  A suffix array,
    built by linear grouping over their byte blocks, finds the suffixes that
@@ -352,10 +352,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seen = staged(seen, "seen")
     again = staged(anchors.join(seen, "gram"), "again")
     discard(anchors, seen)
-    kinds = staged(
-        again.where("not agree").groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "at", "left", "right", "before", "after")).alias("r")).select("gram", "context", "n", "r.*"),
-        "kinds",
-    )
+    # How often its context occurs goes to every occurrence.  Written first: next to a grouping, Spark could not split a very common context in the join.
+    counts = staged(again.groupBy("gram", "context").agg(F.count("*").alias("n")), "counts")
+    placed = staged(again.join(counts, ["gram", "context"]), "placed")
+    discard(again, counts)
+    columns = ("gram", "context", "n", "key", "at", "left", "right", "before", "after")
+    several = placed.where("not agree and n > 1").groupBy("gram", "context").agg(F.min(F.struct(*columns[2:])).alias("r")).select("gram", "context", "r.*")
+    kinds = staged(placed.where("not agree and n = 1").select(*columns).unionByName(several), "kinds")
     # A string with up to half of the side before the gram needs the half behind it; one with more, the half before it.
     halves = kinds.select(
         *_KIND_NAMES, "left", "right",
@@ -382,15 +385,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         twice = staged(strings.groupBy("gram", "d", "string").agg(F.min("context").alias("a"), F.max("context").alias("b")).where("a <> b").select("gram", "d", "string"), "twice")
         solved = solved.union(strings.join(twice, ["gram", "d", "string"]).groupBy(*_KIND_NAMES).agg(F.min("d").alias("low"), F.max("d").alias("high")))
 
-    # What occurs once has its span here; only kinds that occur again go back to their places.
-    reach = solved.where("n > 1").select("gram", "context", "low", "high").union(kinds.where("n > 1").select("gram", "context", F.greatest(F.lit(0), F.lit(side) - F.col("right")).alias("low"), F.col("left").alias("high")))
-    # Written first: next to a grouping, Spark could not split a very common context in the join.
-    reach = staged(reach.groupBy("gram", "context").agg(F.min("low").alias("low"), F.max("high").alias("high")), "reach")
-    span = lambda rows: rows.select("key", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("stop"))
-    spans = again.where("agree").select("key", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + size + F.col("right")).alias("stop"))
-    spans = spans.union(span(solved.where("n = 1"))).union(span(again.where("not agree").join(reach, ["gram", "context"])))
+    # Of a context that occurs again, all strings do; of one that occurs once, those that were found.
+    spans = placed.where("n > 1").select("key", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + size + F.col("right")).alias("stop"))
+    spans = spans.union(solved.where("n = 1").select("key", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("stop")))
     spans = staged(spans.distinct().groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")), "spans")
-    discard(again, kinds, shared, reach)
+    discard(placed, kinds, shared)
     if carry:
         source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carry")).withColumn("key", F.xxhash64("id", "text"))
     schema = _CUT + (f", carry {source.schema['carry'].dataType.simpleString()}" if carry else "")
