@@ -18,8 +18,10 @@ from tessera.llm.neighbours import nearest
 from tessera.llm.packing import pack
 from tessera.llm.quality import judge_quality
 from tessera.llm.repeats import remove_repeats
+from tessera.llm.resampling import resample
 from tessera.llm.sharding import shuffle_into_shards
 from tessera.llm.url_filters import filter_urls
+from tessera.llm.whitening import fit, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -148,3 +150,56 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+@query
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+SQL["op11_resample"] = r"""
+with recursive k as (select i, (i)::bigint v, 0 r from range(256) t(i)
+  union all select i, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, r + 1 from k where r < 8),
+step as (select i, v from k where r = 8),
+w as (
+  select 's' side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents
+  union all select 't', null, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+f as (
+  select side, doc_id, unnest(ws) g from w
+  union all select side, doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i+1])) from w
+  union all select side, doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2])) from w),
+d as (select g, hex(encode(g)) x from (select distinct g from f)),
+c as (select g, x, 0 k, 4294967295::bigint s from d
+  union all select c.g, c.x, c.k + 1, xor(step.v, c.s >> 8) from c join step on step.i = xor(c.s & 255, ('0x' || substr(c.x, 2 * c.k + 1, 2))::bigint) where 2 * c.k < length(c.x)),
+b as (select g, xor(s, 4294967295) % 10000 b from c where 2 * k = length(x)),
+n as (select b, count(*) filter (side = 's') s, count(*) filter (side = 't') t from f join b using (g) group by b),
+total as (select sum(s)::double s, sum(t)::double t from n),
+gain as (select b, floor(1000 * ln((n.t + 1.0::double) * (total.s + 10000) / ((n.s + 1.0::double) * (total.t + 10000))))::bigint v from n, total),
+own as (select doc_id, count(*) n_features, sum(v)::bigint weight from f join b using (g) join gain using (b) where side = 's' group by doc_id),
+scored as (
+  select w.doc_id, len(ws) n_words, coalesce(n_features, 0)::bigint n_features, coalesce(weight, 0)::bigint weight,
+    coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint score
+  from w left join own on own.doc_id = w.doc_id where side = 's'),
+ranked as (select doc_id, row_number() over (order by score desc, doc_id) r, count(*) over () n from scored where n_words >= 20)
+select s.doc_id, n_features, weight, score, case when r <= n * 5 // 100 then r end::bigint as rank
+from scored s left join ranked using (doc_id)
+"""
+
+
+@query
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = fit(vectors)
+    numbers = lambda x: F.array(*(F.lit(float(v)) for v in x))
+    shares = numbers(model.explained if model else [])
+    rows = whiten(vectors, model).select("*", F.posexplode("whitened").alias("place", "white"))
+    return rows.select(
+        F.col("id").alias("vec_id"),
+        (F.col("place") + 1).alias("component"),
+        F.lit(model.n if model else 0).cast("long").alias("n"),
+        "deviation",
+        F.col("white").alias("whitened"),
+        F.get(shares, F.col("place")).cast("double").alias("explained"),
+        F.lit(model.identity_error if model else 0.0).alias("identity_error"),
+    )
