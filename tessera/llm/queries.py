@@ -20,6 +20,7 @@ from tessera.llm.quality import judge_quality
 from tessera.llm.repeats import remove_repeats
 from tessera.llm.resampling import resample
 from tessera.llm.sharding import shuffle_into_shards
+from tessera.llm.toxicity import held_out, score_toxicity
 from tessera.llm.url_filters import filter_urls
 from tessera.llm.whitening import fit, whiten
 
@@ -187,6 +188,13 @@ from scored s left join ranked using (doc_id)
 """
 
 
+@query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    training = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    scored = score_toxicity(table(spark, sf_dir, "documents"), training)
+    return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "passages")
+
+
 @query
 def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
