@@ -63,7 +63,7 @@ def name_groups(references: DataFrame, rounds: int = 40) -> DataFrame:
 
 def keyed(rows: DataFrame, groups: DataFrame, value: str = "value") -> DataFrame:
     """Rows with the key of the name group that their value belongs to, by its first form that has one."""
-    found = rows.select(value).distinct().select(value, F.posexplode(name_forms(F.col(value))).alias("at", "form")).join(groups, "form").groupBy(value).agg(F.min_by("key", "at").alias("key"))
+    found = rows.select(value).distinct().select(value, F.posexplode(name_forms(F.col(value))).alias("at", "form")).join(groups.select("form", "key"), "form").groupBy(value).agg(F.min_by("key", "at").alias("key"))
     return rows.join(found, value, "left")
 
 

@@ -501,4 +501,4 @@ def q46_consequence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets of documents grown from the strongest seeds."""
-    return QUERIES["q67_matter_sets"](spark, sf_dir)
+    return QUERIES["q71_room_map"](spark, sf_dir)
