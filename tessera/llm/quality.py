@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._tables import BROADCAST_KEYS, own_columns, staged
+from tessera.llm._tables import BROADCAST_KEYS, discard, own_columns, staged
 from tessera.llm._text import ALNUM, NOT_SPACE, U, Words, byte_class, slices
 
 #: Labelled rows that the document models are fitted on, at most, chosen by hash.
@@ -128,57 +128,88 @@ def _logistic(design: np.ndarray, label: np.ndarray, ridge: float = 1.0) -> np.n
     return w
 
 
-def _word_evidence(vocabulary: np.ndarray, with_: np.ndarray, without: np.ndarray, n_with: int, n_without: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed log odds of the words whose shares differ most, in standard errors."""
-    a, b = (with_ + 0.5) / (n_with + 1), (without + 0.5) / (n_without + 1)
-    odds = np.log(a / (1 - a)) - np.log(b / (1 - b))
-    error = np.sqrt(1 / (with_ + 0.5) + 1 / (without + 0.5))
-    best = np.argsort(-np.abs(odds) / error, kind="stable")[:EVIDENT_WORDS]
-    best = best[np.abs(odds[best]) / error[best] > 4]
-    best = best[np.argsort(vocabulary[best])]
-    return vocabulary[best], odds[best]
-
-
-def fit(rows: list[tuple[str | None, int]]) -> Evidence:
-    """The model of one label from (text, 0 or 1); with one class only, it always says that class' rate."""
-    label = np.array([y for _, y in rows], dtype=float)
-    column = pa.array([t for t, _ in rows], pa.string())
-    statistics, texts = [], []
-    for _, _, data, offsets in slices(column):
-        words = Words(data, offsets, NOT_SPACE)
-        statistics.append(_statistics(words, data, offsets, words.hashes()))
-        hashes, of = _word_cores(words, data, offsets)
-        texts += [np.unique(hashes[of[k] : of[k + 1]]) for k in range(len(of) - 1)]
-    if len(rows) < 2 or label.min() == label.max():
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many training texts of each half a word is, and in how many good and toxic ones."""
+    for batch in batches:
+        half, good, toxic = (batch.column(c).to_numpy() for c in ("half", "quality", "toxic"))
+        for first, last, data, offsets in slices(batch.column("text")):
+            hashes, of = _word_cores(Words(data, offsets, NOT_SPACE), data, offsets)
+            for k in (0, 1):
+                own = [(i, np.unique(hashes[of[i - first] : of[i - first + 1]])) for i in range(first, last) if half[i] == k]
+                if not own:
+                    continue
+                row = np.repeat([i for i, _ in own], [len(w) for _, w in own])
+                words, inverse = np.unique(np.concatenate([w for _, w in own]), return_inverse=True)
+                sums = [np.bincount(inverse, weights=x, minlength=len(words)).astype(np.int64) for x in (np.ones(len(row)), good[row], toxic[row])]
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.full(len(words), k, np.int32)), *map(pa.array, sums)], names=["word", "half", "n", "good", "toxic"])
+
+
+def _word_evidence(counts: DataFrame, label: str, n: int, n_with: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed log odds of the words whose shares differ most, in standard errors; at most EVIDENT_WORDS reach the driver."""
+    with_, without = F.col(label) + 0.5, F.col("n") - F.col(label) + 0.5
+    a, b = with_ / (n_with + 1), without / (n - n_with + 1)
+    odds = F.log(a / (1 - a)) - F.log(b / (1 - b))
+    told = counts.select("word", odds.alias("odds"), (F.abs(odds) / F.sqrt(1 / with_ + 1 / without)).alias("z")).where("z > 4")
+    rows = told.orderBy(F.desc("z"), "word").limit(EVIDENT_WORDS).select("word", "odds").collect()
+    words, odds = np.array([r["word"] for r in rows], dtype=np.int64).view(U), np.array([r["odds"] for r in rows], dtype=float)
+    order = np.argsort(words)
+    return words[order], odds[order]
+
+
+def _training_features(other: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]):
+    """Statistics of each training text, and its sums by the words' evidence in the other half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            half, found = batch.column("half").to_numpy(), []
+            for first, last, data, offsets in slices(batch.column("text")):
+                words = Words(data, offsets, NOT_SPACE)
+                hashes, of = _word_cores(words, data, offsets)
+                columns = [_statistics(words, data, offsets, words.hashes())]
+                for label in ("good", "toxic"):
+                    by_half = [Evidence(*other[label, 1 - k], None, None, 0).word_sums(hashes, of) for k in (0, 1)]
+                    columns.append(np.where((half[first:last] == 0)[:, None], *by_half))
+                found.append(np.hstack(columns))
+            rows = np.concatenate(found) if found else np.zeros((0, _STATISTICS + 6))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("toxic"), lists], names=["quality", "toxic", "features"])
+
+    return run
+
+
+def _additive(features: np.ndarray, label: np.ndarray, words: np.ndarray, odds: np.ndarray) -> Evidence:
+    """The model of one label; with one class only, it always says that class' rate."""
+    if len(label) < 2 or label.min() == label.max():
         rate = (label.sum() + 0.5) / (len(label) + 1) if len(label) else 0.5
         return Evidence(np.zeros(0, U), np.zeros(0), np.zeros((0, 0)), np.zeros((0, _BINS)), float(np.log(rate / (1 - rate))))
-    # Words are weighed on one half of the rows and the model is fitted on the other, where they are as new as in other texts.
-    first = np.arange(len(rows)) % 2 == 0
-
-    def evidence(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = [t for t, m in zip(texts, mask, strict=True) if m]
-        every, inverse = np.unique(np.concatenate(own), return_inverse=True)
-        y = np.repeat(label[mask], [len(t) for t in own])
-        with_, all_ = np.bincount(inverse, weights=y, minlength=len(every)), np.bincount(inverse, minlength=len(every))
-        n_with = int(label[mask].sum())
-        return _word_evidence(every, with_, all_ - with_, n_with, int(mask.sum()) - n_with)
-
-    at = np.append(0, np.cumsum([len(t) for t in texts]))
-    flat = np.concatenate(texts)
-    features = np.concatenate(statistics)
-    sums = np.zeros((len(rows), 3))
-    for mask in (first, ~first):
-        words, odds = evidence(~mask)
-        sums[mask] = Evidence(words, odds, None, None, 0).word_sums(flat, at)[mask]
-    features = np.hstack([features, sums])
     edges = np.array([np.quantile(features[:, k], np.linspace(0, 1, _BINS + 1)[1:-1]) for k in range(features.shape[1])])
     # Equal quantiles would leave the counts of rare words in one bin.
     edges[-3:] = [np.linspace(-4, 10, _BINS - 1), np.linspace(0, 7, _BINS - 1), np.arange(_BINS - 1) + 0.5]
     weights = _logistic(_design(features, edges), label)
-    words, odds = evidence(np.ones(len(rows), dtype=bool))
     return Evidence(words, odds, edges, weights[:-1].reshape(-1, _BINS), float(weights[-1]))
 
 
+def fit(training: DataFrame) -> tuple[Evidence, Evidence]:
+    """The models of good and of toxic from (text, quality, toxic, half), whose texts stay in tasks.
+
+    Words are weighed on one half of the rows and the model is fitted on the other, where they are
+    as new as in other texts.  The driver gets the words that tell most, and 18 numbers a row.
+    """
+    counts = staged(training.mapInArrow(_word_counts, "word long, half int, n long, good long, toxic long").groupBy("word", "half").agg(*(F.sum(c).alias(c) for c in ("n", "good", "toxic"))), "evidence")
+    texts = {r["half"]: r for r in training.groupBy("half").agg(F.count("*").alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic")).collect()}
+    size = lambda c, *halves: sum(texts[k][c] for k in halves if k in texts)
+    every = counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "good", "toxic")))
+    other = {(label, k): _word_evidence(counts.where(F.col("half") == k), label, size("n", k), size(label, k)) for label in ("good", "toxic") for k in (0, 1)}
+    whole = {label: _word_evidence(every, label, size("n", 0, 1), size(label, 0, 1)) for label in ("good", "toxic")}
+    rows = training.mapInArrow(_training_features(other), "quality long, toxic long, features array<double>").toPandas()
+    discard(counts)
+    features = np.array(rows["features"].tolist(), dtype=float).reshape(-1, _STATISTICS + 6)
+    shared, own = features[:, :_STATISTICS], {"good": features[:, _STATISTICS : _STATISTICS + 3], "toxic": features[:, _STATISTICS + 3 :]}
+    labels = {"good": rows["quality"].to_numpy(dtype=float), "toxic": rows["toxic"].to_numpy(dtype=float)}
+    good, toxic = (_additive(np.hstack([shared, own[k]]), labels[k], *whole[k]) for k in ("good", "toxic"))
+    return good, toxic
+
+
 def _scored(good: Evidence, toxic: Evidence):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +263,8 @@ def judge_quality(
 
     Returns one row per input row: id, host, path, host_quality, path_quality,
     p_quality, p_toxic, keep.  Labels with a null id or label are ignored; an
-    id labelled twice counts with each of its labels.  A null or empty text is
+    id labelled twice counts with each of its labels; copies of a row count
+    once among the training rows.  Long texts are read whole, in tasks.  A null or empty text is
     judged by its site and by what texts without words were labelled.  Null
     hosts and paths form sites of their own.  Without labels all
     probabilities are one half, and documents are kept.  Other columns are
@@ -242,9 +274,14 @@ def judge_quality(
     marks = own_columns(labels, id=id_col, quality=quality_col, toxic=toxic_col).where("id is not null and quality is not null and toxic is not null")
     n = marks.count()
     sample = marks.orderBy(F.xxhash64("id", F.lit(17)), "id", "quality", "toxic").limit(training_rows)
-    rows = source.select("id", "text").join(F.broadcast(sample), "id").orderBy(F.xxhash64("id", F.lit(17)), "id", "quality", "toxic", F.xxhash64("text")).select("text", "quality", "toxic").limit(training_rows).collect()
-    rows = [(r["text"], int(r["quality"] > 0), int(r["toxic"] > 0)) for r in rows]
-    good, toxic = fit([(t, q) for t, q, _ in rows]), fit([(t, x) for t, _, x in rows])
+    # Rows are told apart by the hash of their text, so that no text is sorted; copies of a row count once.
+    keyed = source.select("id", "text", F.xxhash64("text").alias("hash"))
+    keys = keyed.select("id", "hash").join(F.broadcast(sample), "id").distinct().orderBy(F.xxhash64("id", F.lit(17)), "id", "quality", "toxic", "hash").limit(training_rows)
+    half = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(2)).cast("int").alias("half")
+    training = keyed.join(F.broadcast(keys), ["id", "hash"]).dropDuplicates(["id", "hash", "quality", "toxic"])
+    training = staged(training.select("text", (F.col("quality") > 0).cast("long").alias("quality"), (F.col("toxic") > 0).cast("long").alias("toxic"), half), "training")
+    good, toxic = fit(training)
+    discard(training)
 
     scored = staged(source.mapInArrow(_scored(good, toxic), "id long, host string, path string, good double, toxic double"), "scored")
     chance = lambda c: 1 / (1 + F.exp(-F.col(c)))
