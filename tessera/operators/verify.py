@@ -105,17 +105,18 @@ def failures_by_check(failures: DataFrame, checks: list[str]) -> DataFrame:
     return names.join(failures.groupBy("check").agg(F.count("*").alias("m")), "check", "left").select("check", F.coalesce("m", F.lit(0)).alias("n"))
 
 
-def recalled(facts: DataFrame, report: DataFrame) -> DataFrame:
-    """Facts (fact, kind, value, documents) that a report (one row: text) carries: fact, hit.
+def recalled(facts: DataFrame, reports: DataFrame) -> DataFrame:
+    """Facts (report, fact, kind, value, documents) that their report (report, text) carries: report, fact, hit.
 
     A document fact needs all its documents named; a comparison one of them and both sides
-    (around ` against `) carried; any other one of them and its value in the report.
+    (around ` against `) carried; any other one of them and its value in the report.  A fact
+    without a report is not carried.
     """
-    own = report.select(F.lower("text").alias("lowered"), carry.normalised(F.col("text")).alias("plain"), carry.numbers_of(F.col("text")).alias("numbers"), carry.days_of(F.col("text")).alias("days"), carry.words_of(F.col("text")).alias("words"))
+    own = reports.select("report", F.lower("text").alias("lowered"), carry.normalised(F.col("text")).alias("plain"), carry.numbers_of(F.col("text")).alias("numbers"), carry.days_of(F.col("text")).alias("days"), carry.words_of(F.col("text")).alias("words"))
     named = lambda test: test("documents", lambda d: F.contains("lowered", F.lower(d)))
     sides = F.forall(F.split("value", " against "), lambda s: carry.side_carried(s, F.col("numbers"), F.col("days"), F.col("words")))
     hit = F.when(F.col("kind") == "document", named(F.forall)).when(F.col("kind") == "comparison", named(F.exists) & sides).otherwise(named(F.exists) & F.contains("plain", carry.normalised(F.col("value"))))
-    return facts.crossJoin(F.broadcast(own.limit(1))).select("fact", hit.alias("hit"))
+    return facts.join(own, "report", "left").select("report", "fact", F.coalesce(hit, F.lit(False)).alias("hit"))
 
 
 def recall(facts: DataFrame, found: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def test_days_and_periods(spark):
 
 def test_carry(spark):
     assert of(spark, ["days", "drafted", "creation", "was", "findings", "the", "is"], carry.stem) == ["day", "draft", "creat", "was", "find", "the", "is"]
-    assert of(spark, ["“a”  **b** _c_ snake_case 2*3"], carry.straighten) == ['"a" b c snake_case 2*3']
+    assert of(spark, ["“a”  **b** _c_ snake_case 2*3", "* x", "_ x", "a * b", "x *", "a_b_c", "_"], carry.straighten) == ['"a" b c snake_case 23', "x", "x", "a * b", "x", "a_b_c", ""]
     assert of(spark, ["US$1,200,000 and 12 million, 3m"], carry.normalised) == ["1200000 and 12m, 3m"]
     assert sorted(of(spark, ["1,200 on 2025-10-18 and 7"], carry.numbers_of)[0]) == ["1200", "7"]
     pairs = [("It cost $1,200 to repair the broken pump.", "The pump repair cost 1200"), ("It cost 1300.", "cost $1,200"), ("", "x"), ("broken", "the broken turbine"), ("Costs 99", "costs 12")]

@@ -141,9 +141,9 @@ def test_findings_and_facts(spark):
     asked = spark.createDataFrame([(1, "A", "a leak"), (2, "A", "found a leak"), (3, "A", "no"), (4, "B", "a leak")], "id int, doc string, quote string")
     kept, dropped = verify.kept_findings(asked, quotes, spark.createDataFrame([("A",)], "doc string"))
     assert rows(kept, "id", "anchor") == [(1, "A#l1"), (2, "A#l2")] and rows(dropped, "id", "reason") == [(3, "quote not found"), (4, "no such document in the group")]
-    facts = spark.createDataFrame([(1, "document", "", ["A-1", "B-2"]), (2, "comparison", "reserve of $1,200 against 45 days on 18 October 2025", ["A-1"]), (3, "number", "12 million", ["B-2"]), (4, "number", "13m", ["B-2"])], "fact int, kind string, value string, documents array<string>")
-    text = spark.createDataFrame([("Reserves were 1200 (a-1), 45 days from 2025-10-18. US$12m b-2",)], "text string")
-    assert {r["fact"]: r["hit"] for r in verify.recalled(facts, text).collect()} == {1: True, 2: True, 3: True, 4: False}
+    facts = spark.createDataFrame([("r", 1, "document", "", ["A-1", "B-2"]), ("r", 2, "comparison", "reserve of $1,200 against 45 days on 18 October 2025", ["A-1"]), ("r", 3, "number", "12 million", ["B-2"]), ("r", 4, "number", "13m", ["B-2"]), ("s", 5, "document", "", ["A-1"]), ("t", 6, "document", "", ["A-1"])], "report string, fact int, kind string, value string, documents array<string>")
+    text = spark.createDataFrame([("r", "Reserves were 1200 (a-1), 45 days from 2025-10-18. US$12m b-2"), ("s", "Nothing of A-1")], "report string, text string")
+    assert {r["fact"]: r["hit"] for r in verify.recalled(facts, text).collect()} == {1: True, 2: True, 3: True, 4: False, 5: True, 6: False}
     cited = spark.createDataFrame([(1, "It is confirmed", "a"), (2, "It may be", "a"), (3, "It is likely", "b"), (4, "confirmed", "a"), (4, "confirmed", "c")], "id int, text string, anchor string")
     held = spark.createDataFrame([("a", "it may be"), ("b", "nothing"), ("c", "It is certain")], "anchor string, text string")
     assert rows(verify.too_certain(cited, held), "id", "rung", "held", "word") == [(1, 3, 1, "confirmed"), (3, 2, 0, "likely")]
