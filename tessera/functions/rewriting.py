@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.dates import MONTHS, SHORT
+from tessera.functions.text import bound
 
 # What a scan finds, in the order in which it is tried: identifiers before days, days before numbers.
 _MONTH = "|".join(sorted([*MONTHS, *SHORT], key=len, reverse=True))
@@ -35,9 +36,12 @@ GUARDED = r"\S*[@/\\]\S*|\S*[0-9]\S*|\S*\.[A-Za-z]{2,6}(?![A-Za-z])\S*"
 
 def scanned(text: Column, pattern: str, write: Callable[[Column], Column]) -> Column:
     """The text with every find of a pattern written anew."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    pieces = F.transform(gaps, lambda gap, k: F.concat(gap, F.coalesce(write(F.get(found, k)), F.lit(""))))
-    return F.array_join(pieces, "")
+
+    def cut(own: Column) -> Column:
+        pairs = F.zip_with(F.split(own, pattern, -1), F.regexp_extract_all(own, F.lit(pattern), 0), lambda gap, found: F.struct(gap.alias("gap"), found.alias("found")))
+        return F.array_join(F.transform(pairs, lambda p: F.concat(p["gap"], F.coalesce(write(p["found"]), F.lit("")))), "")
+
+    return bound(text, cut)
 
 
 def moved_day(day: Column, years: int) -> Column:
@@ -116,14 +120,17 @@ def respelled(text: Column, spelling: Column) -> Column:
     A name is read as a whole word, longest first, and never inside a run of characters with a
     digit, a slash or an at sign, or a host or file name.
     """
-    guarded = F.regexp_extract_all(text, F.lit(GUARDED), 0)
     masked = F.regexp_replace(text, GUARDED, "\ue000")
     # One alternation for all names of the document, so that no replacement is read again.
     longest = F.array_sort(spelling, lambda a, b: F.when(F.length(a["name"]) != F.length(b["name"]), F.length(b["name"]) - F.length(a["name"])).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
     escaped = F.transform(longest, lambda s: F.concat(F.lit("\\Q"), s["name"], F.lit("\\E")))
     pattern = F.concat(F.lit("(?<![A-Za-z])(?:"), F.array_join(escaped, "|"), F.lit(")(?![A-Za-z])"))
-    table = F.map_from_entries(spelling)
-    found, gaps = F.regexp_extract_all(masked, pattern, 0), F.split(masked, pattern, -1)
-    named = F.array_join(F.transform(gaps, lambda gap, k: F.concat(gap, F.coalesce(F.try_element_at(table, F.get(found, k)), F.lit("")))), "")
-    whole = F.when(F.size(spelling) > 0, named).otherwise(masked)
-    return F.array_join(F.transform(F.split(whole, "\ue000", -1), lambda gap, k: F.concat(gap, F.coalesce(F.get(guarded, k), F.lit("")))), "")
+    def cut(own: Column) -> Column:
+        plain, table, names = own["masked"], own["table"], own["pattern"]
+        pairs = F.zip_with(F.split(plain, names, -1), F.regexp_extract_all(plain, names, 0), lambda gap, found: F.struct(gap.alias("gap"), found.alias("found")))
+        return F.array_join(F.transform(pairs, lambda p: F.concat(p["gap"], F.coalesce(F.try_element_at(table, p["found"]), F.lit("")))), "")
+
+    given = F.struct(masked.alias("masked"), F.map_from_entries(spelling).alias("table"), pattern.alias("pattern"))
+    whole = F.when(F.size(spelling) > 0, bound(given, cut)).otherwise(masked)
+    back = F.zip_with(F.split(whole, "\ue000", -1), F.regexp_extract_all(text, F.lit(GUARDED), 0), lambda gap, found: F.concat(gap, F.coalesce(found, F.lit(""))))
+    return F.array_join(back, "")

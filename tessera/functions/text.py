@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,13 @@ COMMON_WORDS = tuple(
 )
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once however often the body names it: within the
+    lambda of an array function an outer expression is evaluated for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapsed(text: Column) -> Column:
     """Runs of white space become one space; trimmed."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))

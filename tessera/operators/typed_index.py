@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import anchors as A
 from tessera.functions import dates as D
-from tessera.functions.text import context, following_unit, header_scale, header_unit
+from tessera.functions.text import bound, context, following_unit, header_scale, header_unit
 from tessera.functions.words import file_name, joined_to_a_token, mid_sentence, name_words, phrases
 from tessera.operators.index import document_series
 
@@ -34,9 +34,12 @@ SECTIONS = "doc string, ordinal long, kind string, heading string, anchor string
 
 def matches(text: Column, pattern: str) -> Column:
     """All matches of a pattern: array of struct(at: characters before it, surface)."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
     lengths = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda total, s: total + F.length(s))
-    return F.transform(found, lambda s, k: F.struct((lengths(gaps, k + 1) + lengths(found, k)).alias("at"), s.alias("surface")))
+
+    def placed(own: Column) -> Column:
+        return F.transform(own["found"], lambda s, k: F.struct((lengths(own["gaps"], k + 1) + lengths(own["found"], k)).alias("at"), s.alias("surface")))
+
+    return bound(F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"), F.split(text, pattern, -1).alias("gaps")), placed)
 
 
 def _is_number(text: Column) -> Column:
