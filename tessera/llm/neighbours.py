@@ -28,9 +28,12 @@ from tessera.llm._tables import own_columns, staged
 
 #: Neighbours in a node's list, and most lists it is in that a round looks at.
 LIST, REVERSE = 48, 48
-ROUNDS = 4
-#: Candidates that a query keeps, and how many of them it expands in each search round.
-BEAM, EXPAND = 256, (1, 24, 48, 64)
+#: Descent ends when a round lifts the lists' mean score by less than this share of it, and after so many rounds at most.
+SETTLED, ROUNDS = 0.001, 12
+#: Candidates that a query keeps, and how many of them it expands in each search round; the last number goes on.
+BEAM, EXPAND = 384, (1, 24, 48, 64)
+#: The search ends when all but a hundredth of the queries have expanded their best so many, and after so many rounds at most.
+NEAR, SEARCHES = 128, 12
 #: Nodes of a starting cell, and how many times the space is cut.
 CELL, TREES = 160, 3
 #: Copies of a vector that can be in a result.
@@ -172,12 +175,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         back = _lists(forward.select(F.col("v").alias("u"), "s", F.col("u").alias("v")), REVERSE)
         return forward.select("u", "v").union(back.select("u", F.explode("list.v").alias("v"))).distinct()
 
+    # Up to two cells' nodes the cells have compared nearly all pairs, and their lists are as good as any round makes them.
+    reached = None
     for _ in range(ROUNDS if n > 2 * CELL else 0):
         bounds = lists.select(F.col("u").alias("v"), F.when(F.size("list") >= LIST, F.element_at("list", -1)["s"]).otherwise(F.lit(-9 * _SCALE)).alias("bound"))
         shown = around(lists).join(lifted.select(F.col("node").alias("v"), "vec"), "v").join(bounds, "v", "left")
         shown = shown.groupBy("u").agg(F.collect_list(F.struct(F.col("v").alias("node"), "vec", F.coalesce("bound", F.lit(-9 * _SCALE)).alias("bound"))).alias("members"))
         better = shown.select("members").mapInArrow(_compared(4, True), "u long, v long, s int")
         lists = staged(_lists(better.union(lists.select("u", F.explode("list").alias("e")).select("u", "e.v", "e.s")), LIST), "lists")
+        mean = lists.agg(F.avg(F.expr("aggregate(list, 0d, (a, e) -> a + e.s) / size(list)"))).first()[0]
+        if reached is not None and mean - reached < SETTLED * abs(mean):
+            break
+        reached = mean
 
     table = around(lists).join(lifted.select(F.col("node").alias("v"), "vec"), "v").groupBy("u").agg(F.collect_list("v").alias("nodes"), F.collect_list("vec").alias("packed"))
     table = staged(table.select(F.col("u").alias("at"), "nodes", "packed"), "table")
@@ -189,7 +198,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     ).distinct(), "asked")
     nodes = asked.select("q").distinct().join(lifted.select(F.col("node").alias("q"), "query"), "q")
     beam = staged(nodes.select("q", "query", F.array(F.struct(F.lit(9 * _SCALE).alias("s"), F.col("q").alias("v"), F.lit(False).alias("done"))).alias("beam")), "beam")
-    for expand in EXPAND:
+    for search in range(SEARCHES):
+        expand = EXPAND[min(search, len(EXPAND) - 1)]
+        open_ = F.exists(F.slice("beam", 1, NEAR), lambda b: ~b["done"])
+        left = beam.agg(F.count_if(open_).alias("open"), F.count("*").alias("n")).first()
+        if left["open"] * 100 <= left["n"]:
+            break
         chosen = F.slice(F.filter("beam", lambda b: ~b["done"]), 1, expand)
         bound = F.when(F.size("beam") >= BEAM, F.element_at("beam", -1)["s"]).otherwise(F.lit(-9 * _SCALE))
         asks = beam.select("q", "query", bound.alias("bound"), F.explode(chosen).alias("b")).select(F.col("b.v").alias("at"), F.pmod("q", F.lit(16)).alias("salt"), F.struct("q", "query", "bound").alias("ask"))
