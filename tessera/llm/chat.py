@@ -105,7 +105,7 @@ def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list] = [[] for _ in range(9)]
+        out: list[list] = [[] for _ in range(10)]
         for row in batch.to_pylist():
             turns = row["turns"]
             _, backs = _run(_start(row["before"]), [t["role"] for t in turns])
@@ -138,11 +138,11 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rendered = "<|end|>\n".join("\n" + x if joins and not k else f"<|{r}|>\n{x}" for k, (r, x) in enumerate(made))
             # The next block may go on with this one's last turn, so it closes it if it does not.
             rendered = ("" if row["first"] or joins else "<|end|>\n") + rendered + ("<|end|>\n" if row["last"] else "")
-            for to, value in zip(out, (row["conv"], row["block"], len(turns), n_merged, n_relabelled, n_inserted, row["total"], rendered, [{"role": r, "text": x} for r, x in made]), strict=True):
+            for to, value in zip(out, (row["conv"], row["block"], len(turns), n_merged, n_relabelled, n_inserted, row["total"], rendered, [{"role": r, "text": x} for r, x in made], joins), strict=True):
                 to.append(value)
         i = pa.int64()
-        types = (i, batch.schema.field("block").type, i, i, i, i, i, pa.string(), pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])))
-        names = ["conv", "block", "n_turns", "n_merged", "n_relabelled", "n_inserted", "cost", "rendered", "turns"]
+        types = (i, batch.schema.field("block").type, i, i, i, i, i, pa.string(), pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])), pa.bool_())
+        names = ["conv", "block", "n_turns", "n_merged", "n_relabelled", "n_inserted", "cost", "rendered", "turns", "continues"]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
 
 
@@ -152,7 +152,10 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     Returns one row per block of a conversation, nearly always one per
     conversation: conv, block (ascending; rendered texts of a conversation's
     blocks follow one another), n_turns, n_merged, n_relabelled, n_inserted,
-    cost (of the whole conversation), rendered, turns (role and text).
+    cost (of the whole conversation), rendered, turns (role and text),
+    continues (the block's first turn goes on with the last one of the block
+    before).  `repaired_turns` has a row for each turn instead, whatever the
+    length of its conversation.
 
     Turns are taken by number, null first; ties by a hash of role and text.
     Any role but system, user and assistant is unknown and must be relabelled;
@@ -177,4 +180,15 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     borders = borders.select(F.col("conv").alias("of"), F.col("block").alias("at"), "before", "after", "total", (F.col("block") == F.col("begin")).alias("first"), (F.col("block") == F.col("end")).alias("last"))
     joined = blocks.join(borders, F.col("conv").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
     joined = joined.select("conv", "block", "before", "after", "total", "first", "last", "turns")
-    return joined.mapInArrow(_repaired, f"conv long, block {where}, n_turns long, n_merged long, n_relabelled long, n_inserted long, cost long, rendered string, turns array<struct<role:string,text:string>>")
+    return joined.mapInArrow(_repaired, f"conv long, block {where}, n_turns long, n_merged long, n_relabelled long, n_inserted long, cost long, rendered string, turns array<struct<role:string,text:string>>, continues boolean")
+
+
+def repaired_turns(chats: DataFrame) -> DataFrame:
+    """The turns of repaired conversations, a row each: conv, block, place (from 1 within its block), role, text, continues, cost.
+
+    In the order of block and place they are the conversation; a row that continues belongs to
+    the turn before it, behind a line end.  The rows depend on the turns alone, so that a
+    conversation of any length is in rows of the same kind, and none is gathered.
+    """
+    rows = chats.select("conv", "block", "cost", F.col("continues").alias("first"), F.posexplode("turns").alias("place", "turn"))
+    return rows.select("conv", "block", (F.col("place") + 1).alias("place"), "turn.role", "turn.text", (F.col("first") & (F.col("place") == 0)).alias("continues"), "cost")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._tables import shared_dir, table, tuned
-from tessera.llm.chat import format_chats
+from tessera.llm.chat import format_chats, repaired_turns
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.html_text import extract_text
 from tessera.llm.jaccard_join import jaccard_join
@@ -143,8 +143,8 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chats = format_chats(table(spark, sf_dir, "conversations"))
-    return chats.select(F.col("conv").alias("conv_id"), F.col("block.wide").alias("block"), "n_turns", "n_merged", "n_relabelled", "n_inserted", "cost", "rendered")
+    turns = repaired_turns(format_chats(table(spark, sf_dir, "conversations")))
+    return turns.select(F.col("conv").alias("conv_id"), F.col("block.wide").alias("block"), F.col("block.turn").alias("block_turn"), F.col("block.part").alias("block_part"), "place", "role", "text", "continues", "cost")
 
 
 @query

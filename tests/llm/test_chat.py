@@ -60,3 +60,34 @@ def test_against_brute_force(spark, monkeypatch):
         assert text.count("<|end|>") == text.count("|>\n") // 2
         assert sum(MERGE * b["n_merged"] + RELABEL * b["n_relabelled"] + INSERT * b["n_inserted"] for b in blocks) == whole[c]["cost"]
     assert format_chats(frame.limit(0)).count() == 0
+
+
+def joined(rows):
+    """The conversation that rows of turns make, in their order."""
+    out = []
+    for r in sorted(rows, key=lambda r: (r["block"], r["place"])):
+        if r["continues"]:
+            out[-1][1] += "\n" + r["text"]
+        else:
+            out.append([r["role"], r["text"]])
+    return "".join(f"<|{role}|>\n{text}<|end|>\n" for role, text in out)
+
+
+def test_turns_are_rows_whatever_the_length(spark):
+    rng = random.Random(7)
+    rows = [(c, t, rng.choice([*ROLES, "user", "user", "tool", None]), f"t{t}" * rng.randint(0, 3)) for c, n in ((1, 900), (2, 3), (3, 300)) for t in range(n)]
+    rows += [(None, 1, "user", "no conversation"), (None, 1, "user", "no conversation"), (4, 1, "user", "tied"), (4, 1, "assistant", "tied"), (4, None, "system", "x" * 300_000)]
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, cost int").repartition(5)
+    chats = format_chats(frame)
+    turns: dict = {}
+    for r in chat.repaired_turns(chats).collect():
+        turns.setdefault(r["conv"], []).append(r)
+    texts: dict = {}
+    for r in sorted(chats.collect(), key=lambda r: (r["conv"] is None, r["conv"] or 0, r["block"])):
+        texts[r["conv"]] = texts.get(r["conv"], "") + r["rendered"]
+    assert turns.keys() == texts.keys() == {1, 2, 3, 4, None}
+    for c, own in turns.items():
+        assert joined(own) == texts[c]
+        whole = [r["role"] for r in sorted(own, key=lambda r: (r["block"], r["place"])) if not r["continues"]]
+        assert legal(whole) and len({r["cost"] for r in own}) == 1
+    assert len(turns[1]) > 256 and texts[4].startswith("<|system|>\n" + "x" * 300_000)
