@@ -8,6 +8,7 @@ piece of a slice is encoded once, and the ids are put together with numpy.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,8 @@ from tessera.llm._text import byte_class, piece_hashes, slices
 
 #: First bytes of characters that are certainly neither white space nor control characters.
 _VISIBLE = byte_class((0x21, 0x7E), (0xC3, 0xDF), (0xE0, 0xE0), (0xE4, 0xF4))
-#: Pieces whose ids a worker remembers.
-_REMEMBERED = 300_000
+#: Pieces whose ids a worker remembers, in a younger and an older half, and the longest of them in bytes.
+_REMEMBERED, _LONGEST = 500_000, 48
 
 _LOADED: dict[str, tuple] = {}
 
@@ -28,7 +29,7 @@ def _encoder(ranks_file: str, pattern: str):
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_file, "rb"))}
-        _LOADED[ranks_file] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), {}
+        _LOADED[ranks_file] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), [{}, {}]
     return _LOADED[ranks_file]
 
 
@@ -44,16 +45,20 @@ def encoded(column: pa.Array, ranks_file: str, pattern: str) -> Iterator[np.ndar
         begins[offsets[:-1]] = True
         starts = np.flatnonzero(begins[:n])
         ends = np.append(starts[1:], n)
-        hashes, where, which = np.unique(piece_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        _, where, which = np.unique(piece_hashes(data, starts, ends), return_index=True, return_inverse=True)
         raw, ids = data.tobytes(), []
-        for h, a, b in zip(hashes.tolist(), starts[where].tolist(), ends[where].tolist(), strict=True):
+        for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True):
             piece = raw[a:b]
-            kept, got = known.get(h, (None, None))
-            if kept != piece:
-                got = np.array(encoder.encode_ordinary(piece.decode()), dtype=np.uint16).tobytes()
-                if len(known) >= _REMEMBERED:
-                    known.clear()
-                known[h] = piece, got
+            got = known[0].get(piece)
+            if got is None:
+                got = known[1].get(piece)
+                if got is None:
+                    got = array("H", encoder.encode_ordinary(piece.decode())).tobytes()
+                if b - a <= _LONGEST:
+                    # What is asked for again moves to the younger half; the older one goes when that is full.
+                    if len(known[0]) >= _REMEMBERED // 2:
+                        known[:] = {}, known[0]
+                    known[0][piece] = got
             ids.append(got)
         sizes = np.array([len(x) for x in ids], dtype=np.int64) // 2
         pool, at = np.frombuffer(b"".join(ids), dtype=np.uint16), np.cumsum(sizes) - sizes
