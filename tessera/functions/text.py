@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns.
-IDENTIFIER = r"[A-Za-z0-9]+(?:[-_/][A-Za-z0-9]+)+"
+IDENTIFIER = r"\b[A-Za-z][A-Za-z0-9]*(?:[-_./][A-Za-z0-9]+)+\b"
 CAPITALISED = r"[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}"
 NUMBERED_HEADING = r"^[0-9]+(?:\.[0-9]+)*\.? +[A-Z]"
 ISO_DAY = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"

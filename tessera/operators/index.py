@@ -26,8 +26,8 @@ def grouped(found: DataFrame, value: str = "surface") -> DataFrame:
 
 
 def identifiers(of_lines: DataFrame) -> DataFrame:
-    """Joined tokens that hold a digit, upper-cased for grouping."""
-    return grouped(occurrences(of_lines, IDENTIFIER).where(F.col("surface").rlike("[0-9]")).withColumn("key", F.upper("surface")), "key")
+    """Joined tokens that begin with a letter and hold a digit."""
+    return grouped(occurrences(of_lines, IDENTIFIER).where(F.col("surface").rlike("[0-9]")))
 
 
 def names(of_lines: DataFrame, least_docs: int = 2) -> DataFrame:

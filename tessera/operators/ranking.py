@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,23 +55,36 @@ def pieces_halved(sections: DataFrame) -> DataFrame:
 
 
 def in_reply_order(ids: DataFrame, reply: DataFrame) -> DataFrame:
-    """Ids (id, place) in the order of a reply (id, at): its first mentions, then what it left out; unknown ids drop out.  id, rank."""
-    said = reply.groupBy("id").agg(F.min("at").alias("at"))
-    order = Window.orderBy(F.col("at").isNull(), "at", "place")
-    return ids.join(said, "id", "left").select("id", F.row_number().over(order).alias("rank"))
+    """Ids (room, id, place) in the order of their room's reply (room, id, at): its first mentions, then what it left out; unknown ids drop out.  room, id, rank."""
+    said = reply.groupBy("room", "id").agg(F.min("at").alias("at"))
+    order = Window.partitionBy("room").orderBy(F.col("at").isNull(), "at", "place")
+    return ids.join(said, ["room", "id"], "left").select("room", "id", F.row_number().over(order).alias("rank"))
 
 
 def within_budget(sizes: DataFrame, budget: int) -> DataFrame:
-    """Consecutive rows (place, size) in groups within a budget, greedily; a larger row is alone.  place, group.
+    """Consecutive rows (room, place, size) of each room in groups within a budget, greedily; a larger row is alone.  room, place, group.
 
-    The fold runs over one room's documents, which one row holds.
+    Rooms are dealt over tasks and their rows come in order, so that a task holds a total and a
+    number, and a room of any length streams through.
     """
-    start = "cast(array() as array<struct<place: bigint, grp: bigint, total: bigint>>)"
-    fold = f"""aggregate(own, {start}, (done, s) -> concat(done, array(case
-        when size(done) > 0 and element_at(done, -1).total + s.size <= {budget} then struct(s.place as place, element_at(done, -1).grp as grp, element_at(done, -1).total + s.size as total)
-        else struct(s.place as place, case when size(done) > 0 then element_at(done, -1).grp + 1 else cast(1 as bigint) end as grp, s.size as total) end)))"""
-    own = sizes.agg(F.sort_array(F.collect_list(F.struct(F.col("place").cast("long").alias("place"), F.col("size").cast("long").alias("size")))).alias("own"))
-    return own.select(F.explode(F.expr(fold)).alias("x")).select("x.place", F.col("x.grp").alias("group"))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room, group, total = object(), 0, 0
+        for batch in batches:
+            groups = []
+            for own, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if own != room:
+                    room, group, total = own, 1, size
+                elif total + size <= budget:
+                    total += size
+                else:
+                    group, total = group + 1, size
+                groups.append(group)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(groups, pa.int64())], names=["room", "place", "group"])
+
+    own = sizes.select("room", "place", F.col("size").cast("long").alias("size"))
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
+    return own.repartition("room").sortWithinPartitions("room", "place").mapInArrow(dealt, f"room {kinds['room']}, place {kinds['place']}, `group` long")
 
 
 def agreement(hits: DataFrame) -> DataFrame:

@@ -90,9 +90,9 @@ def shared_names(references: DataFrame, inside: DataFrame, least: int = 2) -> Da
 
 
 def lesser(flagged: DataFrame, inside: DataFrame) -> DataFrame:
-    """Flagged documents (doc, surface) outside the set, by their largest money: doc, money, place."""
-    money = flagged.join(inside, "doc", "left_anti").groupBy("doc").agg(F.max(money_value(F.col("surface"))).alias("money"))
-    return money.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("money"), "doc")))
+    """Flagged documents (room, doc, surface) outside their room's set (room, doc), by their largest money: room, doc, money, place."""
+    money = flagged.join(inside, ["room", "doc"], "left_anti").groupBy("room", "doc").agg(F.max(money_value(F.col("surface"))).alias("money"))
+    return money.withColumn("place", F.row_number().over(Window.partitionBy("room").orderBy(F.desc_nulls_last("money"), "doc")))
 
 
 def warranties(flags: DataFrame) -> DataFrame:

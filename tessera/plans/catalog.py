@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import carry
 from tessera.functions import text as X
 from tessera.operators import graph, index, links, ranking, sections, verify
 from tessera.plans.views import daily_events, document_lines, order_rows, part_carriers, table
@@ -85,7 +84,7 @@ def q04b_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.line_cells(sections.line_runs(rows)).where("number is not null").select("doc", "run", "line", "cell", "number")
 
 
-@query(rf"with {_LINES}, {_occurrences('[A-Za-z0-9]+(?:[-_/][A-Za-z0-9]+)+')} {_grouped('upper(surface)', where="regexp_matches(surface, '[0-9]')")}")
+@query(rf"with {_LINES}, {_occurrences(r'\b[A-Za-z][A-Za-z0-9]*(?:[-_./][A-Za-z0-9]+)+\b')} {_grouped('surface', where="regexp_matches(surface, '[0-9]')")}")
 def q05_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(index.identifiers(document_lines(spark, sf_dir)))
 
@@ -205,16 +204,16 @@ def q17_value_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir)
 
 
-@query("""with d as (select distinct o_custkey doc, o_orderdate::date as day from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'P'),
-s as (select distinct day as first from d), w as (select first, doc, day from s join d on day between first and first + 7),
-h as (select first, count(distinct doc) population from w group by 1 having count(distinct doc) between 2 and 40),
+@query("""with d as (select o_custkey doc, min(o_orderdate)::date as day from orders group by 1), s as (select distinct day as first from d), w as (select first, doc, day from s join d on day between first and first + 7),
+h as (select first, count(distinct doc) population from w group by 1 having count(distinct doc) between 2 and (select greatest(2, count(*) // 2) from customer)),
 p as (select w.first, w.doc, w.day, population, x.doc x from w join h on w.first = h.first join w x on x.first = w.first and x.day = x.first where w.doc <> x.doc),
 r as (select least(doc, x) a, greatest(doc, x) b, first from_day, day to_day, round(0.9 / population, 6)::double weight,
  row_number() over (partition by least(doc, x), greatest(doc, x) order by round(0.9 / population, 6) desc, first, day) i from p)
 select a, b, from_day, to_day, weight from r where i = 1""")
 def q18_date_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'")
-    return graph.date_edges(o.select(F.col("o_custkey").alias("doc"), F.to_date("o_orderdate").alias("day")), most=40)
+    """Customers by the day of their first order; q18b has all their days."""
+    o, most = table(spark, sf_dir, "orders"), graph.breadth(table(spark, sf_dir, "customer").count())
+    return graph.date_edges(o.groupBy(F.col("o_custkey").alias("doc")).agg(F.to_date(F.min("o_orderdate")).alias("day")), most)
 
 
 @query("""with d as (select distinct o_custkey doc, o_orderdate::date as day from orders), s as (select distinct day as first from d), w as (select first, doc, day from s join d on day between first and first + 7),
@@ -224,7 +223,7 @@ r as (select least(doc, x) a, greatest(doc, x) b, first from_day, day to_day, ro
  row_number() over (partition by least(doc, x), greatest(doc, x) order by round(0.9 / population, 6) desc, first, day) i from p)
 select a, b, from_day, to_day, weight from r where i = 1""")
 def q18b_date_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All orders, and windows of up to half of all customers; q18 has the urgent open ones and windows of up to 40."""
+    """All orders, and windows of up to half of all customers."""
     o, most = table(spark, sf_dir, "orders"), graph.breadth(table(spark, sf_dir, "customer").count())
     return graph.date_edges(o.select(F.col("o_custkey").alias("doc"), F.to_date("o_orderdate").alias("day")), most)
 
@@ -380,26 +379,24 @@ def q41_certainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "rung", "held")
 
 
-_FIGURES = r"list_transform(regexp_extract_all({0}, '\$?[0-9][0-9,]*(?:\.[0-9]+)?%?'), lambda x: replace(regexp_replace(regexp_replace(x, '^\$', ''), '[.,]+$', ''), ',', ''))"
-_STOPS = ", ".join(f"'{w}'" for w in carry.FINDING_STOPS)
-
-
-@query(f"""with f as (select item_id id, 'item' || item_id || '#l1' anchor, text finding, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z-]{{3,}}'), lambda w: w not in ({_STOPS}))) words,
-  list_distinct(list_filter({_FIGURES.format('text')}, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) >= 3)) figures from benchmark),
-t as (select doc_id % 50 id, text from documents where trim(text) <> '' union all select item_id, left(text, length(text) * (3 + 4 * (item_id % 2)) // 10) from benchmark),
-p as (select f.id, unnest(list_intersect(f.words, regexp_extract_all(lower(t.text), '[a-z][a-z-]{{3,}}'))) w from f join t using (id)),
-g as (select f.id, unnest(list_intersect(f.figures, {_FIGURES.format('t.text')})) g from f join t using (id)),
-n as (select f.id, f.anchor, f.finding, len(words) n_words, len(figures) n_figures, (select count(distinct w) from p where p.id = f.id) w, (select count(distinct g) from g where g.id = f.id) g,
-  exists (select 1 from t where t.id = f.id) any_ from f)
-select id, anchor, finding from n where not (any_ and g = n_figures and w * 2 >= n_words)""")
+@query("""with o as (select *, 'C' || o_custkey || '.md#l' || o_orderkey anchor, '$' || round(o_totalprice / 1000)::bigint || ',000' price, (200 + o_orderkey % 700)::varchar pallets from orders)
+select o_orderkey id, anchor, 'Harbor shipment of ' || pallets || ' pallets cost ' || price || ' after delays' finding from o
+where o_orderstatus = 'P' or o_orderstatus = 'O' and o_orderpriority in ('4-NOT SPECIFIED', '5-LOW')""")
 def q42_uncarried(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts as findings.  Paragraphs that write their anchors are documents, and a shorter or longer part of each text."""
-    findings = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.concat(F.lit("item"), F.col("item_id").cast("string"), F.lit("#l1")).alias("anchor"), F.col("text").alias("finding"))
-    cites = lambda k: F.concat(F.lit(" [item"), k.cast("string"), F.lit("#l1]"))
-    paragraphs = table(spark, sf_dir, "documents").where(F.trim("text") != "").select(F.concat("text", cites(F.col("doc_id") % 50)).alias("text"))
-    parts = F.left("text", F.floor(F.length("text") * (3 + 4 * (F.col("item_id") % 2)) / 10).cast("int"))
-    paragraphs = paragraphs.union(table(spark, sf_dir, "benchmark").select(F.concat(parts, cites(F.col("item_id")))))
-    return verify.uncarried(findings, paragraphs)
+    """Orders as findings, against paragraphs with their anchors: done orders are written whole, in two paragraphs;
+    of open ones the less urgent lack words, and pending ones have no paragraph.
+    """
+    o = table(spark, sf_dir, "orders")
+    anchor = F.concat(F.lit("C"), F.col("o_custkey").cast("string"), F.lit(".md#l"), F.col("o_orderkey").cast("string"))
+    price = F.concat(F.lit("$"), F.round(F.col("o_totalprice") / 1000).cast("long").cast("string"), F.lit(",000"))
+    pallets = (200 + F.col("o_orderkey") % 700).cast("string")
+    finding = F.concat(F.lit("Harbor shipment of "), pallets, F.lit(" pallets cost "), price, F.lit(" after delays"))
+    findings = o.select(F.col("o_orderkey").alias("id"), anchor.alias("anchor"), finding.alias("finding"))
+    cite = F.concat(F.lit(" [C"), F.col("o_custkey").cast("string"), F.lit(" | "), anchor, F.lit("]."))
+    loose = F.col("o_orderpriority").isin("4-NOT SPECIFIED", "5-LOW")
+    said = F.when(F.col("o_orderstatus") == "F", F.array(F.concat(F.lit("The harbor shipment cost "), F.replace(price, F.lit(","), F.lit("")), cite), F.concat(F.lit("It had "), pallets, F.lit(" pallets"), cite)))
+    said = said.when((F.col("o_orderstatus") == "O") & loose, F.array(F.concat(F.lit("It was "), pallets, F.lit(" at "), price, cite))).when(F.col("o_orderstatus") == "O", F.array(F.concat(finding, cite)))
+    return verify.uncarried(findings, o.select(F.explode(said).alias("text")))
 
 
 @query("""with b as (select conv_id, turn, role, text, len(string_split(text, chr(10))) n from conversations)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import anchors as A
@@ -136,14 +136,15 @@ def q58_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.pieces_halved(document_lines(spark, sf_dir))
 
 
-@query("""with recursive s as (select row_number() over (order by s_suppkey) place, length(s_name) + 100 as size from supplier),
-g as (select place, 1::bigint as "group", size total from s where place = 1
- union all select s.place, case when g.total + s.size <= 1000 then g."group" else g."group" + 1 end, case when g.total + s.size <= 1000 then g.total + s.size else s.size end from g join s on s.place = g.place + 1)
-select place, "group" from g""")
+@query("""with recursive s as (select o_custkey room, row_number() over (partition by o_custkey order by o_orderkey) place, round(o_totalprice)::bigint size from orders),
+g as (select room, place, 1::bigint as "group", size total from s where place = 1
+ union all select s.room, s.place, case when g.total + s.size <= 500000 then g."group" else g."group" + 1 end, case when g.total + s.size <= 500000 then g.total + s.size else s.size end from g join s on s.room = g.room and s.place = g.place + 1)
+select room, place, "group" from g""")
 def q59_budget_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("place"), (F.length("s_name") + 100).alias("size"))
-    ranked = own.agg(F.sort_array(F.collect_list(F.struct("place", "size"))).alias("own")).select(F.posexplode("own").alias("at", "x"))
-    return ranking.within_budget(ranked.select((F.col("at") + 1).alias("place"), "x.size"), 1000)
+    """The orders of each customer in groups of up to 500,000 dollars."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
+    own = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("room"), place.alias("place"), F.round("o_totalprice").cast("long").alias("size"))
+    return ranking.within_budget(own, 500_000)
 
 
 @query("""with d as (select distinct o_orderpriority p, date_trunc('month', o_orderdate)::date as m from orders), s as (select p, m, (year(m) * 12 + month(m)) - lag(year(m) * 12 + month(m)) over (partition by p order by m) step from d)

@@ -106,10 +106,16 @@ def test_series_break_in_the_week(spark):
 
 
 def test_folds_and_orders(spark):
-    sizes = spark.createDataFrame([(k, n) for k, n in enumerate([5, 4, 20, 1, 1, 9], 1)], "place int, size int")
-    assert rows(ranking.within_budget(sizes, 10), "place", "group") == [(1, 1), (2, 1), (3, 2), (4, 3), (5, 3), (6, 4)]
-    ids = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, place int")
-    assert rows(ranking.in_reply_order(ids, spark.createDataFrame([("c", 1), ("z", 2), ("c", 3), ("a", 4)], "id string, at int")), "rank", "id") == [(1, "c"), (2, "a"), (3, "b")]
+    sizes = spark.createDataFrame([("r", k, n) for k, n in enumerate([5, 4, 20, 1, 1, 9], 1)] + [("s", k, 6) for k in range(300)] + [(None, 1, 5)], "room string, place int, size int").repartition(3)
+    groups = ranking.within_budget(sizes, 10)
+    assert rows(groups.where("room = 'r'"), "place", "group") == [(1, 1), (2, 1), (3, 2), (4, 3), (5, 3), (6, 4)]
+    assert rows(groups.where("room = 's'"), "place", "group") == [(k, k + 1) for k in range(300)] and rows(groups.where("room is null"), "place", "group") == [(1, 1)]
+    ids = spark.createDataFrame([("r", "a", 1), ("r", "b", 2), ("r", "c", 3), ("s", "a", 1)], "room string, id string, place int")
+    reply = spark.createDataFrame([("r", "c", 1), ("r", "z", 2), ("r", "c", 3), ("r", "a", 4), ("s", "b", 1)], "room string, id string, at int")
+    assert rows(ranking.in_reply_order(ids, reply), "room", "rank", "id") == [("r", 1, "c"), ("r", 2, "a"), ("r", 3, "b"), ("s", 1, "a")]
+    flagged = spark.createDataFrame([("r", "A", "$5"), ("r", "B", "$7"), ("r", "C", "no"), ("s", "A", "$1"), ("r", "D", "$9")], "room string, doc string, surface string")
+    lesser = report.lesser(flagged, spark.createDataFrame([("r", "D")], "room string, doc string"))
+    assert rows(lesser, "room", "place", "doc") == [("r", 1, "B"), ("r", 2, "A"), ("r", 3, "C"), ("s", 1, "A")]
     lines = spark.createDataFrame([(1, 1, "aaaa"), (1, 2, "b"), (1, 3, "cccccc")], "doc int, line int, text string")
     assert rows(ranking.pieces_halved(lines), "doc", "cut") == [(1, 3)]
     hits = spark.createDataFrame([("r", "f", 1, True), ("r", "f", 2, True), ("r", "g", 1, True), ("r", "g", 2, False)], "row string, fact string, pass int, hit boolean")
