@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import graph, index, ranking, sections, verify
-from tessera.plans import matters, rooms, typed, written  # noqa: F401
+from tessera.plans import matters, noted, rooms, typed, written  # noqa: F401
 from tessera.plans.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
