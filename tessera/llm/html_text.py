@@ -2,12 +2,16 @@
 
 A text node's tag path is the chain of block elements from the root to it,
 with their classes but without ids, which vary.  For all pages of a host, text
-length, punctuation and link text are added up per path.  Text per node and
-punctuation per node are smoothed along the order in which paths come on a
-page, fused into one score, and paths below a threshold are dropped.  What a
-page says about itself is evidence that raises or lowers the score: text within
-an article or main element needs less, and each element around it that is named
-as navigation, aside, footer, form, advert, notice or comments divides it.
+length, punctuation and link text are added up per path, and taken per page
+that has the path.  They are smoothed over the tree: a path's text and that of
+its richest container (what stands directly in one of the elements around it,
+half as much for each further step out) are averaged and fused into one score,
+so that a heading or a list belongs with the paragraphs beside it, and a
+line of its own between containers does not.  Paths below a share of the
+host's best are dropped.  What a page says about itself is evidence that raises
+or lowers the score: text within an article or main element needs less, and
+each element around it that is named as navigation, aside, footer, form,
+advert, notice or comments divides it.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._tables import BROADCAST_KEYS, own_columns, staged
@@ -44,6 +48,8 @@ CONTENT = frozenset(("article", "main"))
 CONTENT_WORTH, CHROME_WORTH = 4.0, 0.05
 #: A path stays if its fused score is at least this share of the host's best.
 THRESHOLD = 0.1
+#: What a container counts for each step that it is further out, and how far out one is looked for.
+FURTHER_OUT, STEPS_OUT = 0.5, 8
 
 # A quote that does not close before the next tag is a stray one and holds nothing back.
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>|<[!?][^>]*>", re.S)
@@ -149,18 +155,25 @@ def _walked(page: str) -> tuple[list[tuple], set[int]]:
             stack.append((tag, path if tag in INLINE else f"{path}/{step}", (inside or content, marks), link or tag == "a"))
 
 
-_NODES = "id long, url string, host string, nodes array<struct<path:string,zone:int,block:int,link:boolean,text:string>>"
+_NODES = "id long, url string, host string, nodes array<struct<path:string,zone:int,block:int,link:boolean,text:string,first:boolean>>"
 _PUNCTUATION = r"[^.,;:!?。、,!?;:…¡¿]"
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("path", pa.string()), ("zone", pa.int32()), ("block", pa.int32()), ("link", pa.bool_()), ("text", pa.string())]))
+    kind = pa.list_(pa.struct([("path", pa.string()), ("zone", pa.int32()), ("block", pa.int32()), ("link", pa.bool_()), ("text", pa.string()), ("first", pa.bool_())]))
     for batch in batches:
         for first in range(0, batch.num_rows, 256):
             part = batch.slice(first, 256)
             pages = []
             for page in part.column("html").to_pylist():
-                pages.append([{"path": p, "zone": z, "block": b, "link": a, "text": t} for p, z, b, a, t in text_nodes(page or "")])
+                seen: set[str] = set()
+                own = []
+                for p, z, b, a, t in text_nodes(page or ""):
+                    fresh = bool(t.strip(" ")) and p not in seen
+                    if fresh:
+                        seen.add(p)
+                    own.append({"path": p, "zone": z, "block": b, "link": a, "text": t, "first": fresh})
+                pages.append(own)
             yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), part.column("url"), part.column("host"), pa.array(pages, kind)], names=["id", "url", "host", "nodes"])
 
 
@@ -179,6 +192,34 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(blocks, pa.int64())], names=["id", "url", "text", "n_blocks"])
 
 
+def path_scores(parsed: DataFrame) -> DataFrame:
+    """host, path, score, worth (what names make of it), best (the host's best score, names that lower it counted).
+
+    All is by grouped sums and joins on host and path, so that a host of any size is spread over tasks.
+    """
+    nodes = parsed.select("host", F.explode("nodes").alias("node")).where(F.trim("node.text") != "")
+    stats = nodes.groupBy("host", F.col("node.path").alias("path"), F.col("node.zone").alias("zone")).agg(
+        F.count_if("node.first").alias("pages"), F.sum(F.length("node.text")).alias("chars"), F.sum(F.length(F.regexp_replace("node.text", _PUNCTUATION, ""))).alias("points"), F.sum(F.when(F.col("node.link"), F.length("node.text")).otherwise(0)).alias("linked")
+    )
+    stats = staged(stats.withColumn("by_text", F.col("chars") / F.col("pages")).withColumn("by_points", F.col("points") / F.col("pages")), "paths")
+    # The elements around a path, nearest first, as paths of their own.
+    steps = F.split(F.regexp_replace("path", "#-?[0-9]+$", ""), "/")
+    around = F.transform(F.sequence(F.lit(1), F.least(F.size(steps) - 1, F.lit(STEPS_OUT))), lambda k: F.struct(F.array_join(F.slice(steps, F.lit(1), F.size(steps) - k), "/").alias("element"), F.pow(F.lit(FURTHER_OUT), k - 1).alias("weight")))
+    out = stats.where(F.size(steps) > 1).select("host", "path", "by_text", "by_points", F.explode(around).alias("a")).select("host", "path", "by_text", "by_points", "a.element", "a.weight")
+    direct = out.where("weight = 1").groupBy("host", "element").agg(F.sum("by_text").alias("text"), F.sum("by_points").alias("points"))
+    held = out.select("host", "path", "element", "weight").join(direct, ["host", "element"]).groupBy("host", "path").agg(F.max(F.col("weight") * F.col("text")).alias("around_text"), F.max(F.col("weight") * F.col("points")).alias("around_points"))
+    fused = stats.join(held, ["host", "path"], "left")
+    # Headings have no punctuation of their own, so that of the container is averaged in; length has to be there in both.
+    text = F.sqrt(F.col("by_text") * F.coalesce("around_text", "by_text"))
+    points = (F.col("by_points") + F.coalesce("around_points", "by_points")) / 2
+    score = F.sqrt(text * (points + 0.1)) * (1 - F.col("linked") / F.col("chars"))
+    worth = F.when(F.col("zone") > 0, F.lit(CONTENT_WORTH)).otherwise(F.pow(F.lit(CHROME_WORTH), -F.col("zone")))
+    scored = fused.select("host", "path", score.alias("score"), worth.alias("worth"))
+    # The bar is set by the best path as it is, not by what content is worth beyond that.
+    best = scored.groupBy("host").agg(F.max(F.col("score") * F.least("worth", F.lit(1.0))).alias("best"))
+    return scored.join(best, "host")
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """The main text of each page: its blocks in order, one per line.
 
@@ -190,18 +231,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     source = own_columns(pages, id=id_col, url=url_col, html=html_col)
     parsed = staged(source.select("id", "url", url_host(F.col("url")).alias("host"), "html").mapInArrow(_parsed, _NODES), "nodes")
-    nodes = parsed.select("host", F.posexplode("nodes").alias("pos", "node")).where(F.trim("node.text") != "")
-    stats = nodes.groupBy("host", F.col("node.path").alias("path"), F.col("node.zone").alias("zone")).agg(
-        F.count("*").alias("n"), F.sum(F.length("node.text")).alias("chars"), F.sum(F.length(F.regexp_replace("node.text", _PUNCTUATION, ""))).alias("points"), F.avg("pos").alias("pos"), F.sum(F.when(F.col("node.link"), F.length("node.text")).otherwise(0)).alias("linked")
-    )
-    along = Window.partitionBy("host").orderBy("pos", "path")
-    near = lambda c: (F.lag(c, 1, 0.0).over(along) + 2 * F.col(c) + F.lead(c, 1, 0.0).over(along)) / 4
-    worth = F.when(F.col("zone") > 0, F.lit(CONTENT_WORTH)).otherwise(F.pow(F.lit(CHROME_WORTH), -F.col("zone")))
-    scored = stats.withColumn("by_text", F.col("chars") / F.col("n")).withColumn("by_points", F.col("points") / F.col("n"))
-    scored = scored.withColumn("score", F.sqrt(near("by_text") * (near("by_points") + 0.1)) * (1 - F.col("linked") / F.col("chars")))
-    # The bar is set by the best path as it is, not by what content is worth beyond that.
-    best = F.max(F.col("score") * F.least(worth, F.lit(1.0))).over(Window.partitionBy("host"))
-    kept = scored.withColumn("best", best).where((F.col("score") * worth >= threshold * F.col("best")) & (F.col("score") > 0))
+    kept = path_scores(parsed).where((F.col("score") * F.col("worth") >= threshold * F.col("best")) & (F.col("score") > 0))
     kept = staged(kept.select("host", "path"), "kept")
     if kept.count() <= BROADCAST_KEYS // 10:
         lists = kept.groupBy("host").agg(F.collect_list("path").alias("kept")).select(F.col("host").alias("of"), "kept")

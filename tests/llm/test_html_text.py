@@ -60,3 +60,38 @@ def test_a_very_long_page(spark):
     page = "<article>" + "".join(f"<p>Paragraph {k}, with some words, and a point.</p>" for k in range(20_000)) + "</article><nav>Menu</nav>"
     (got,) = extract_text(spark.createDataFrame([(1, "http://h.org", page)], "page_id long, url string, html string")).collect()
     assert got["text"].count("\n") == 19_999 and "Menu" not in got["text"]
+
+
+def test_path_statistics_equal_brute_force_and_tell_adverts_without_names(spark, monkeypatch):
+    import math
+
+    from tessera.llm import html_text as H
+
+    long = "<p>The body is long, with commas, and more of them, as texts are. It goes on, at some length, for a while.</p>"
+    pages = [(k, "http://h.org/", f"<body><ul><li><a href='/'>Home {k}</a></li></ul><div>Buy {k} now, it is new.</div><article><h1>Title {k}</h1>{long * (k + 2)}<ul><li>One, two.</li></ul></article><div>All rights, {k}.</div></body>") for k in range(6)]
+    parsed = spark.createDataFrame(pages, "id long, url string, html string").selectExpr("id", "url", "'h' host", "html").mapInArrow(H._parsed, H._NODES)
+    got = {r["path"]: r for r in H.path_scores(parsed).collect()}
+    sums: dict = {}
+    for _, _, page in pages:
+        seen = set()
+        for path, zone, _, link, text in H.text_nodes(page):
+            if text.strip(" "):
+                s = sums.setdefault(path, [0, 0, 0, 0, zone])
+                s[0] += path not in seen
+                seen.add(path)
+                s[1] += len(text)
+                s[2] += sum(c in ".,;:!?" for c in text)
+                s[3] += len(text) if link else 0
+    base = lambda path: path.split("#")[0].split("/")
+    assert got.keys() == sums.keys()
+    for path, (n, chars, points, linked, _) in sums.items():
+        around = []
+        for k in range(1, min(len(base(path)) - 1, H.STEPS_OUT) + 1):
+            inside = [s for p, s in sums.items() if base(p)[:-1] == base(path)[:-k]]
+            around.append((H.FURTHER_OUT ** (k - 1) * sum(s[1] / s[0] for s in inside), H.FURTHER_OUT ** (k - 1) * sum(s[2] / s[0] for s in inside)))
+        text, point = max(a for a, _ in around), max(b for _, b in around)
+        want = math.sqrt(math.sqrt(chars / n * text) * ((points / n + point) / 2 + 0.1)) * (1 - linked / chars)
+        assert math.isclose(got[path]["score"], want, rel_tol=1e-9), path
+    monkeypatch.setattr(H, "CONTENT_WORTH", 1.0)
+    texts = {r["id"]: r["text"] for r in H.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all("Buy" not in t and "rights" not in t and "Home" not in t and t.startswith(f"Title {k}\nThe body") for k, t in texts.items())
