@@ -19,7 +19,7 @@ from tessera.plans.catalog import QUERIES
 
 HEADLINE = ["q01_sections_lines", "q04b_row_numbers", "q05_identifiers", "q09_row_amounts", "q11_status_claims", "q18_date_edges", "q26_closest_section", "q27_quote_location", "q34_deadlines", "q40_numbers", "q47_packed_pieces"]
 
-ONCE = ["op1_quality", "op3_decontaminate", "op4_pack", "op5_url_filters", "op7_html_text", "op8_shards", "op9_chat", "op10_remove_repeats"]
+ONCE = ["op1_quality", "op2_jaccard_join", "op3_decontaminate", "op4_pack", "op5_url_filters", "op6_neighbours", "op7_html_text", "op8_shards", "op9_chat", "op10_remove_repeats", "op11_resample", "op12_toxicity", "op13_whiten"]
 
 
 def main() -> None:
@@ -51,6 +51,12 @@ def main() -> None:
             began = time.time()
             LLM[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             took[name] = round(time.time() - began, 3)
+        if find_spec("corpus_pipeline"):
+            import corpus_pipeline
+
+            began = time.time()
+            corpus_pipeline.run(spark, sf_dir).write.format("noop").mode("overwrite").save()
+            took["pipeline"] = round(time.time() - began, 3)
     print(json.dumps({"metric": "total of headline queries", "value": total, "unit": "sec", "queries": took, "sf": sf_dir.rsplit("sf", 1)[-1]}))
 
 

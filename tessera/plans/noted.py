@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import digest, dossier, dossier_text, links, notes, report, typed_index, variants, verify
+from tessera.operators import choices, digest, dossier, dossier_text, links, notes, report, typed_index, variants, verify
 from tessera.plans.catalog import query
 from tessera.plans.views import table
 from tessera.plans.written import dossiers
@@ -227,3 +227,58 @@ def q98_matter_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     dated = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.to_date("o_orderdate").alias("day")).distinct()
     seeds = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seed"), F.col("c_custkey").alias("doc"))
     return links.matter_dates(seeds, seeds.unionByName(seeds.select("seed", (F.col("doc") + 1).alias("doc"))), dated)
+
+
+@query(f"""with {_O} select k fact, o_orderstatus <> 'P' hit from o""")
+def q99_planted_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as planted facts of two documents, against notes of the first that quote done orders and of the second that quote open ones."""
+    o = table(spark, sf_dir, "orders")
+    doc = lambda end: F.concat(F.lit("C"), F.col("o_custkey").cast("string"), F.lit(end))
+    items = o.where("o_orderstatus <> 'P'").select(F.when(F.col("o_orderstatus") == "F", doc("a")).otherwise(doc("b")).alias("doc"), F.concat(F.lit("They shipped ord "), _key(), F.lit("; late")).alias("quote"))
+    facts = o.select(F.col("o_orderkey").alias("fact"), F.concat(F.lit("ORD-"), _key(), F.lit(", late")).alias("value"), F.array(doc("a"), doc("b")).alias("documents"))
+    return choices.planted_recall(facts, items)
+
+
+def _choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings on every order, grouped by priority, in a room for each nation."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    o = table(spark, sf_dir, "orders").join(c, "o_custkey")
+    group = F.substring("o_orderpriority", 1, 1).cast("int")
+    return o.select(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("room"), group.alias("group"), F.col("o_orderkey").alias("place"), F.col("o_custkey").alias("doc"), F.lit("late").alias("finding"), F.concat(F.lit('"ORD-'), _key(), F.lit('  late"')).alias("quote"), F.concat(F.lit("a"), _key()).alias("anchor"), "o_orderstatus")
+
+
+@query("select o_orderkey place, 'N' || c_nationkey room from orders join customer on c_custkey = o_custkey where o_orderstatus <> 'F'")
+def q100_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings whose quote their nation's text of done orders does not hold."""
+    found = _choices(spark, sf_dir)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.col("place"))), lambda k: F.concat(F.lit("ORD-"), k.cast("string"), F.lit(" late"))), "\n")
+    return choices.unseen(found, found.where("o_orderstatus = 'F'").groupBy("room").agg(text.alias("text"))).select("place", "room")
+
+
+@query("""with f as (select 'N' || c_nationkey room, o_custkey doc, substr(o_orderpriority, 1, 1)::int g, o_orderkey k from orders join customer on c_custkey = o_custkey)
+select room, doc, k place, dense_rank() over (partition by room order by doc)::int as rank, row_number() over (partition by room, doc order by g, k)::int as "position" from f""")
+def q101_findings_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by customer in the order of customers, and by group within each."""
+    c = table(spark, sf_dir, "customer")
+    nodes = c.select(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("room"), F.col("c_custkey").alias("doc"), F.col("c_custkey").alias("place"), F.col("c_name").alias("title"))
+    found = choices.by_document(_choices(spark, sf_dir), nodes)
+    return found.select("room", "doc", "place", "rank", F.col("at").alias("position"))
+
+
+@query("""select o_orderkey id, case o_orderpriority when '1-URGENT' then (round(o_totalprice) * 2.0::double + 4000.0::double) / 1000000.0::double when '2-HIGH' then 0.0::double end dollars from orders""")
+def q102_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as calls of models, priced where there is a rate."""
+    calls = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("model"), F.round("o_totalprice").cast("long").alias("tokens_in"), F.lit(1000).cast("long").alias("tokens_out"))
+    rates = spark.createDataFrame([("1-URGENT", 2.0, 4.0), ("2-HIGH", 0.0, 0.0)], "model string, rate_in double, rate_out double")
+    return choices.priced(calls, rates)
+
+
+@query("""with l as (select distinct o_custkey doc, l_partkey part from lineitem join orders on o_orderkey = l_orderkey where l_quantity = 50), p as (select o_custkey doc, o_orderkey piece, string_agg(' p ' || l_partkey || ' ', '') said from lineitem join orders on o_orderkey = l_orderkey group by all)
+select l.doc, piece, 'P-' || part as value from l join p on p.doc = l.doc and contains(said, ' p ' || part)""")
+def q103_named_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts ordered by 50, and the orders of their customers that write them."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("doc"))
+    l = table(spark, sf_dir, "lineitem").join(o, "l_orderkey").withColumn("part", F.concat(F.lit("P-"), F.col("l_partkey").cast("string")))  # noqa: E741
+    named = l.where("l_quantity = 50").select("doc", F.col("l_partkey").alias("seq"), F.col("part").alias("value")).distinct()
+    pieces = l.groupBy("doc", F.col("l_orderkey").alias("piece")).agg(F.concat(F.lit("; "), F.array_join(F.sort_array(F.collect_list("part")), "; ")).alias("text"))
+    return choices.named_in_pieces(named, pieces).select("doc", "piece", "value")

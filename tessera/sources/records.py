@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,15 +48,41 @@ def write_index(records: DataFrame, path: str) -> None:
     ordered.select(F.to_json(F.struct(*sorted(records.columns)), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
 
 
-def write_map(documents: DataFrame, edges: DataFrame, path: str) -> None:
-    """Documents and edges of a map as two folders of JSON lines below one path."""
+def write_map(documents: DataFrame, edges: DataFrame, path: str, matters: DataFrame | None = None, ranked: DataFrame | None = None) -> None:
+    """Documents, edges and, if given, matters and their ranked documents as folders of JSON lines below one path."""
     documents.orderBy("doc").write.json(f"{path}/documents")
     edges.orderBy("a", "b", "kind", "value").write.json(f"{path}/edges")
+    if matters is not None:
+        matters.orderBy("matter").write.json(f"{path}/matters")
+    if ranked is not None:
+        ranked.orderBy("matter", "place").write.json(f"{path}/ranked")
 
 
 def write_evidence(rows: DataFrame, path: str) -> None:
-    """Rows (document, date, quote, citation) as CSV with a header and CRLF line ends."""
-    rows.select("document", "date", "quote", "citation").write.option("header", True).option("lineSep", "\r\n").option("quoteAll", False).option("escape", '"').csv(path)
+    """Rows (document, date, quote, citation) as CSV with a header and CRLF line ends, each file with a byte order mark."""
+    quoted = lambda c: F.when(F.coalesce(c, F.lit("")).rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
+    line = F.concat_ws(",", *(quoted(F.col(c)) for c in ("document", "date", "quote", "citation")))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = ["\ufeffdocument,date,quote,citation"]
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"value": [*head, *batch.column("value").to_pylist()]})
+            head = []
+        if head:
+            yield pa.RecordBatch.from_pydict({"value": head})
+
+    rows.select(line.alias("value")).mapInArrow(marked, "value string").write.option("lineSep", "\r\n").text(path)
+
+
+def section_records(sections: DataFrame) -> DataFrame:
+    """Sections as the JSON lines of a run, keys in order: value.  A text has no key for cells, other nulls are written."""
+    plain = [c for c in sorted(sections.columns) if c != "cells"]
+    text = F.to_json(F.struct(*plain), {"ignoreNullFields": "false"})
+    if "cells" not in sections.columns:
+        return sections.select(text.alias("value"))
+    cells = F.concat(F.lit(',"cells":'), F.to_json("cells"))
+    where = F.concat(F.regexp_extract(F.to_json(F.struct("anchor"), {"ignoreNullFields": "false"}), r"(?s)^(.*)\}$", 1), cells, F.lit(","), F.substring(F.to_json(F.struct(*(c for c in plain if c != "anchor")), {"ignoreNullFields": "false"}), F.lit(2), F.lit(1 << 30)))
+    return sections.select(F.when(F.col("cells").isNull(), text).otherwise(where).alias("value"))
 
 
 def write_documents(lines: DataFrame, path: str) -> None:

@@ -69,7 +69,7 @@ def test_records_on_disk(spark, tmp_path):
     S.write_index(records, f"file://{tmp_path}/index")
     assert [json.loads(r[0])["anchors"][0] for r in spark.read.text(f"file://{tmp_path}/index").collect()] == ["y", "w", "z"]
     S.write_evidence(spark.createDataFrame([("P", "2025", 'a "b", c', "[A | A#l1]")], "document string, date string, quote string, citation string").coalesce(1), f"file://{tmp_path}/csv")
-    assert b"".join(p.read_bytes() for p in (tmp_path / "csv").glob("part*")) == b'document,date,quote,citation\r\nP,2025,"a ""b"", c",[A | A#l1]\r\n'
+    assert b"".join(p.read_bytes() for p in (tmp_path / "csv").glob("part*")) == b'\xef\xbb\xbfdocument,date,quote,citation\r\nP,2025,"a ""b"", c",[A | A#l1]\r\n'
     S.write_map(docs, spark.createDataFrame([("D1", "D2", "date", "v")], "a string, b string, kind string, value string"), f"file://{tmp_path}/map")
     S.write_documents(spark.createDataFrame([("d1", 2, "two"), ("d1", 1, "one"), ("d2", 1, "x")], "doc string, line int, text string"), f"file://{tmp_path}/room")
     assert "".join(p.read_text() for p in sorted((tmp_path / "room/doc=d1").glob("part*"))) == "one\ntwo\n" and spark.read.json(f"file://{tmp_path}/map/edges").count() == 1
