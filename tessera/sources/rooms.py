@@ -19,19 +19,38 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.sections import blocks, headed, lines
+from tessera.sources.workbooks import workbook_sections
 
-SUFFIXES = ("txt", "md", "csv", "eml", "mbox")
+SUFFIXES = ("txt", "md", "csv", "eml", "mbox", "xlsx")
+# Files at the root of a room that are not of it.
+ROOM_FILES = ("brief.md", "key.json")
 _ROWS = "doc string, kind string, ordinal long, anchor string, heading string, text string, cells array<string>"
 
 
 def room_files(spark: SparkSession, folder: str) -> DataFrame:
-    """doc (path within the folder) and content of readable files; hidden and lock files are left out."""
+    """doc (path within the folder) and content of readable files; hidden and lock files, and the room's own brief and key, are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     base = F.lit(folder.rstrip("/").split("://", 1)[-1].lstrip("/"))
     path = F.regexp_replace("path", "^[a-z0-9]+:/+", "")
     doc = F.expr("substring(p, length(b) + 2)")
     named = files.withColumn("p", path).withColumn("b", base).select(doc.alias("doc"), "content")
-    return named.where(F.lower("doc").rlike(rf"\.({'|'.join(SUFFIXES)})$") & ~F.col("doc").rlike(r"(^|/)(\.|~\$)"))
+    return named.where(F.lower("doc").rlike(rf"\.({'|'.join(SUFFIXES)})$") & ~F.col("doc").rlike(r"(^|/)(\.|~\$)") & ~F.col("doc").isin(*ROOM_FILES))
+
+
+def room_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of a room: doc (its id), path, place.
+
+    A room with a key (key.json: an object with `documents`, id to path) has those, in the key's order; another one
+    has all readable files, by path, under their paths as ids.
+    """
+    keys = spark.read.format("binaryFile").option("pathGlobFilter", "key.json").load(folder)
+    listed = keys.select(F.from_json(F.decode("content", "UTF-8"), "documents map<string, string>")["documents"].alias("own")).where("own is not null")
+    keyed = listed.select(F.posexplode(F.map_entries("own")).alias("at", "e")).select("e.key", "e.value", "at")
+    if not keyed.isEmpty():
+        return keyed.select(F.col("key").alias("doc"), F.col("value").alias("path"), (F.col("at") + 1).cast("int").alias("place"))
+    own = room_files(spark, folder).select("doc")
+    # The names of one room are ranked; its files are not read.
+    return own.select("doc", F.col("doc").alias("path"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("doc")).alias("place"))
 
 
 def text_sections(files: DataFrame) -> DataFrame:
@@ -91,6 +110,13 @@ def sections(spark: SparkSession, folder: str) -> DataFrame:
     return text_sections(files).unionByName(parsed)
 
 
+def typed_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """All sections of a room, workbooks too, as the typed index reads them: cells with their refs, and numbers where a workbook has numbers."""
+    ref = F.transform("cells", lambda v, k: F.struct(F.concat(F.lit("r"), F.regexp_extract("anchor", "#r([0-9]+)$", 1), F.lit("c"), (k + 1).cast("string")).alias("ref"), v.alias("value"), F.lit(None).cast("double").alias("number")))
+    plain = sections(spark, folder).select("doc", "ordinal", "kind", "heading", "anchor", "text", ref.alias("cells"))
+    return plain.unionByName(workbook_sections(room_files(spark, folder)))
+
+
 def write_records(records: DataFrame, path: str, order: list[str]) -> None:
     """One JSON object per line, keys in order of name, rows in total order."""
     columns = sorted(records.columns)
