@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import bound
+
 # Months as they are written.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 SHORT = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "sept": 9, "oct": 10, "nov": 11, "dec": 12}
@@ -60,20 +62,27 @@ def mask_days(text: Column) -> Column:
 
 def period(surface: Column) -> Column:
     """struct(grain, y, p, d) of a cell that names a day, a month or a quarter; else null."""
-    text = F.trim(surface.cast("string"))
-    part = lambda pattern, k: F.regexp_extract(text, pattern, k).try_cast("int")
-    day = F.coalesce(iso_of(F.regexp_extract(text, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})(?:[T ].*)?$", 1)), F.when(text.rlike(rf"^[0-9]{{1,2}}\s+(?i:{'|'.join(MONTHS)})\s+[0-9]{{4}}$"), iso_of(text)))
     month, named = r"^([0-9]{4})-(0[1-9]|1[0-2])$", rf"^((?i:{'|'.join(MONTHS)}))\s+([0-9]{{4}})$"
     year_first, quarter_first = r"(?i)^(?:FY)?([0-9]{4})[ _-]?Q([1-4])$", r"(?i)^Q([1-4])[ _-]?(?:FY)?([0-9]{4})$"
     made = lambda grain, y, p, d: F.struct(F.lit(grain).alias("grain"), y.alias("y"), p.alias("p"), d.alias("d"))
-    number = lambda at, n: F.substring(day, at, n).try_cast("int")
-    return (
-        F.when(day.isNotNull(), made("day", number(1, 4), number(6, 2), number(9, 2)))
-        .when(text.rlike(month), made("month", part(month, 1), part(month, 2), F.lit(0)))
-        .when(text.rlike(named), made("month", part(named, 2), _month(F.regexp_extract(text, named, 1)), F.lit(0)))
-        .when(text.rlike(year_first), made("quarter", part(year_first, 1), part(year_first, 2), F.lit(0)))
-        .when(text.rlike(quarter_first), made("quarter", part(quarter_first, 2), part(quarter_first, 1), F.lit(0)))
-    )
+
+    def day_of(text: Column) -> Column:
+        # A day with a time is cut to the day; others are read as written.
+        return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ].*)?$"), F.substring(text, 1, 10)).when(text.rlike(rf"^[0-9]{{1,2}}\s+(?i:{'|'.join(MONTHS)})\s+[0-9]{{4}}$"), text)
+
+    def read(x: Column) -> Column:
+        text, day = x["text"], x["day"]
+        part = lambda pattern, k: F.regexp_extract(text, pattern, k).try_cast("int")
+        number = lambda at, n: F.substring(day, at, n).try_cast("int")
+        return (
+            F.when(day.isNotNull(), made("day", number(1, 4), number(6, 2), number(9, 2)))
+            .when(text.rlike(month), made("month", part(month, 1), part(month, 2), F.lit(0)))
+            .when(text.rlike(named), made("month", part(named, 2), _month(F.regexp_extract(text, named, 1)), F.lit(0)))
+            .when(text.rlike(year_first), made("quarter", part(year_first, 1), part(year_first, 2), F.lit(0)))
+            .when(text.rlike(quarter_first), made("quarter", part(quarter_first, 2), part(quarter_first, 1), F.lit(0)))
+        )
+
+    return bound(F.trim(surface.cast("string")), lambda t: bound(F.struct(t.alias("text"), bound(day_of(t), iso_of).alias("day")), read))
 
 
 def period_text(p: Column) -> Column:

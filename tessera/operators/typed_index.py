@@ -15,6 +15,7 @@ from tessera.functions import anchors as A
 from tessera.functions import dates as D
 from tessera.functions.text import bound, context, following_unit, header_scale, header_unit
 from tessera.functions.words import file_name, joined_to_a_token, mid_sentence, name_words, phrases
+from tessera.operators import links
 from tessera.operators.index import document_series
 
 # How an amount is written, and what scales it.
@@ -223,7 +224,8 @@ def row_series(sections: DataFrame, line_cells: DataFrame) -> DataFrame:
     rows = cells.select("doc", "table", "ordinal").distinct().withColumn("row", F.row_number().over(Window.partitionBy("doc", "table").orderBy("ordinal")))
     cells = cells.join(rows, ["doc", "table", "ordinal"])
     order = Window.partitionBy("doc", "table", "column").orderBy("row", "place")
-    found = cells.where("number is null").withColumn("period", D.period(F.col("text"))).where("period is not null")
+    # Written, as reading periods is long and all that follows asks for them again.
+    found = links.written(cells.where("number is null").withColumn("period", D.period(F.col("text"))).where("period is not null"), "periods")
     found = found.withColumn("prior", F.lag("period").over(order)).withColumn("step", F.when(F.col("prior").isNotNull(), F.coalesce(D.step_between(F.col("prior"), F.col("period")), F.lit("none"))))
     runs = found.groupBy("doc", "table", "column").agg(
         F.count("*").alias("n"), F.min("step").alias("step"), F.max("step").alias("most"), F.min_by("period", F.struct("row", "place")).alias("first"), F.max_by("period", F.struct("row", "place")).alias("last"),
@@ -253,8 +255,8 @@ def series(sections: DataFrame, line_cells: DataFrame) -> DataFrame:
 
 def build_index(sections: DataFrame) -> DataFrame:
     """All occurrences of all seven kinds: date, amount, name, identifier, status, version-pair, series."""
-    pieces, lines = text_pieces(sections), line_rows(sections)
-    idents, nameds, status = identifiers(pieces), names(pieces), statuses(sections)
+    pieces, lines = links.written(text_pieces(sections), "pieces"), links.written(line_rows(sections), "line-cells")
+    idents, nameds, status = links.written(identifiers(pieces), "identifiers"), links.written(names(pieces), "names"), links.written(statuses(sections), "statuses")
     kinds = [dates(pieces), amounts(sections, pieces, lines), nameds, idents, status, version_pairs(sections, idents, nameds, status), series(sections, lines)]
     out = kinds[0]
     for more in kinds[1:]:
@@ -274,13 +276,13 @@ def series_numbers(sections: DataFrame) -> DataFrame:
     Kept are series whose rows all begin with a day, and of these the columns that hold a number
     in every row.
     """
-    lines = line_rows(sections)
-    found = row_series(sections, lines).select("doc", "table", F.col("column").alias("periods"), "surface", "n", "from_row", "to_row")
+    lines = links.written(line_rows(sections), "line-cells")
+    found = links.written(row_series(sections, lines).select("doc", "table", F.col("column").alias("periods"), "surface", "n", "from_row", "to_row"), "row-series")
     sheets = sheet_rows(sections).where("table is not null").select("doc", "table", "ordinal", "anchor", "column", "place", "text", "number")
     cells = sheets.unionByName(lines.select("doc", "table", "ordinal", "anchor", "column", "place", "text", "number"))
     members = cells.join(found, ["doc", "table"])
     # Members are the rows with a period in the series' column.
-    rows = members.where(F.col("column") == F.col("periods")).where(D.period(F.col("text")).isNotNull()).select("doc", "table", "periods", "ordinal").distinct()
+    rows = links.written(members.where(F.col("column") == F.col("periods")).where(D.period(F.col("text")).isNotNull()).select("doc", "table", "periods", "ordinal").distinct(), "members")
     members = members.join(rows, ["doc", "table", "periods", "ordinal"])
     lead = members.where("place = 1").select("doc", "table", "periods", "ordinal", D.iso_of(F.regexp_extract("text", r"^\s*([^T]*?)(?:[T ][0-9:]+.*)?$", 1)).alias("at"))
     dated = lead.groupBy("doc", "table", "periods").agg(F.count("at").alias("dated"))
