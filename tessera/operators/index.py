@@ -16,13 +16,17 @@ def occurrences(of_lines: DataFrame, pattern: str) -> DataFrame:
 
 
 def grouped(found: DataFrame, value: str = "surface") -> DataFrame:
-    """value, n, surface (of the first occurrence), docs, anchors (sorted, distinct)."""
-    return found.groupBy(F.col(value).alias("value")).agg(
-        F.count("*").alias("n"),
-        F.min_by("surface", F.struct("doc", "line", "n")).alias("surface"),
-        F.sort_array(F.collect_set("doc")).alias("docs"),
-        F.sort_array(F.collect_set(line_anchor(F.col("doc"), F.col("line")))).alias("anchors"),
-    )
+    """value, n, n_docs, surface and anchor of the first occurrence.
+
+    What a value gathers is numbers and one occurrence; its places are rows of `places`.
+    """
+    first = F.min_by(F.struct("surface", line_anchor(F.col("doc"), F.col("line")).alias("anchor")), F.struct("doc", "line", "n"))
+    return found.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"), F.count_distinct("doc").alias("n_docs"), first.alias("x")).select("value", "n", "n_docs", "x.surface", "x.anchor")
+
+
+def places(found: DataFrame, value: str = "surface") -> DataFrame:
+    """Where values stand, a row a line: value, doc, anchor."""
+    return found.select(F.col(value).alias("value"), "doc", line_anchor(F.col("doc"), F.col("line")).alias("anchor")).distinct()
 
 
 def identifiers(of_lines: DataFrame) -> DataFrame:
@@ -32,7 +36,7 @@ def identifiers(of_lines: DataFrame) -> DataFrame:
 
 def names(of_lines: DataFrame, least_docs: int = 2) -> DataFrame:
     """Capitalised phrases of two to four words that several documents have."""
-    return grouped(occurrences(of_lines, CAPITALISED)).where(F.size("docs") >= least_docs)
+    return grouped(occurrences(of_lines, CAPITALISED)).where(F.col("n_docs") >= least_docs)
 
 
 def ordinary_words(of_lines: DataFrame) -> DataFrame:
@@ -92,7 +96,7 @@ def document_series(paths: DataFrame, least: int = 2) -> DataFrame:
 
 
 def one_word_names(of_lines: DataFrame, least_docs: int = 2) -> DataFrame:
-    """Capitalised words of three letters or more that stand within a sentence in several documents: value, n, surface, docs, anchors."""
+    """Capitalised words of three letters or more that stand within a sentence in several documents: value, n, n_docs, surface, anchor."""
     every = of_lines.select("doc", "line", "text", F.posexplode(F.regexp_extract_all("text", F.lit(r"\b[A-Z][A-Za-z]{2,}\b"), 0)).alias("n", "surface"))
     # The place of the n-th word is the length of what the first n words and their gaps take.
     gaps = F.split("text", r"\b[A-Z][A-Za-z]{2,}\b")

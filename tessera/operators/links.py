@@ -57,6 +57,8 @@ def name_groups(references: DataFrame, rounds: int = 40) -> DataFrame:
         if new.join(labels.withColumnRenamed("label", "old"), "value").where("label <> old").isEmpty():
             break
         labels = new
+    else:
+        raise RuntimeError(f"names were still changing groups after {rounds} rounds")
     keys = forms.join(labels, "value").groupBy("label").agg(F.min("form").alias("key"), F.min("value").alias("spelling"))
     return forms.join(labels, "value").join(keys, "label").select("form", "key", "spelling").distinct()
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.carry import amount_surfaces, straighten, units
 from tessera.functions.words import fold
+from tessera.operators.sections import packed_pieces
 
 #: Parts a document's sections are joined by where quotes are looked for.
 _GAP = "\u0000"
@@ -97,6 +98,17 @@ def cut_sections(sections: DataFrame, limit: int) -> DataFrame:
     return sections.withColumn("pieces", pieces).select("doc", "ordinal", "anchor", F.posexplode(parts).alias("part", "text"))
 
 
+def split_sections(sections: DataFrame, limit: int) -> DataFrame:
+    """A document's sections in pieces of at most so many characters, none of them longer: doc, piece, first, last (ordinals), n_sections, chars.
+
+    Longer sections are cut first; the parts of one count as sections.
+    """
+    place = F.col("ordinal").cast("long") * 1_000_000 + F.col("part")
+    packed = packed_pieces(cut_sections(sections, limit).withColumn("place", place), limit, "place")
+    ordinal = lambda c: F.floor(F.col(c) / 1_000_000).cast("long").alias(c)
+    return packed.select("doc", "piece", ordinal("first"), ordinal("last"), "n_sections", "chars")
+
+
 def reply_object(text: Column, schema: str) -> Column:
     """A reply as one JSON object, a code fence around it stripped; null if it is none."""
     plain = F.trim(text)

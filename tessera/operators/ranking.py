@@ -129,12 +129,13 @@ def round_robin(rows: DataFrame, by: str, order: list[str], most: int) -> DataFr
 def closest_section(sections: DataFrame, asks: DataFrame) -> DataFrame:
     """The section that shares most content words with each ask, earliest anchor first: ask, anchor, shared.
 
-    sections: anchor, text.  asks: ask, text.  Words are joined with words, so
+    sections: anchor, text.  asks: ask, text, and if given without (words that do not count).  Words are joined with words, so
     no text meets every section; few asks go to the sections' words, which are
     then counted where they are before anything is shuffled.
     """
     held = sections.select("anchor", F.explode(content_words(F.col("text"))).alias("w"))
-    wanted = asks.select("ask", F.explode(content_words(F.col("text"))).alias("w"))
+    words = content_words(F.col("text"))
+    wanted = asks.select("ask", F.explode(F.array_except(words, "without") if "without" in asks.columns else words).alias("w"))
     shared = held.join(if_small(wanted), "w").groupBy("ask", "anchor").agg(F.count("*").alias("shared"))
     best = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("shared"), "anchor"))
     return shared.withColumn("r", best).where("r = 1").select("ask", "anchor", "shared")

@@ -41,12 +41,7 @@ def _occurrences(pattern: str) -> str:
 
 
 def _grouped(key: str, where: str = "true", having: str = "true") -> str:
-    return f"""select {key} as value, count(*) n, arg_min(surface, (doc, line, n)) surface, array_to_string(list_sort(list(distinct doc)), ',') docs,
-  array_to_string(list_sort(list(distinct doc || '#l' || line)), ',') anchors from found where {where} group by 1 having {having}"""
-
-
-def _flat(found: DataFrame) -> DataFrame:
-    return found.select("value", "n", "surface", F.array_join("docs", ",").alias("docs"), F.array_join("anchors", ",").alias("anchors"))
+    return f"""select {key} as value, count(*) n, count(distinct doc) n_docs, arg_min(surface, (doc, line, n)) surface, arg_min(doc || '#l' || line, (doc, line, n)) anchor from found where {where} group by 1 having {having}"""
 
 
 @query(f"with {_BLOCKS} select doc, line, n_lines, text from blocks")
@@ -86,12 +81,12 @@ def q04b_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"with {_LINES}, {_occurrences(r'\b[A-Za-z][A-Za-z0-9]*(?:[-_./][A-Za-z0-9]+)+\b')} {_grouped('surface', where="regexp_matches(surface, '[0-9]')")}")
 def q05_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(index.identifiers(document_lines(spark, sf_dir)))
+    return index.identifiers(document_lines(spark, sf_dir))
 
 
 @query(rf"with {_LINES}, {_occurrences('[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}')} {_grouped('surface', having='count(distinct doc) >= 2')}")
 def q06_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(index.names(document_lines(spark, sf_dir)))
+    return index.names(document_lines(spark, sf_dir))
 
 
 @query(f"""with {_LINES}, t as (select unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) w from lines),
@@ -104,12 +99,12 @@ def q07_ordinary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_ROWS}, {_occurrences('[0-9]{4}-[0-9]{2}-[0-9]{2}')} {_grouped('surface', where='try_cast(surface as date) is not null')}")
 def q08_row_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(index.dates(order_rows(spark, sf_dir)))
+    return index.dates(order_rows(spark, sf_dir))
 
 
 @query(rf"with {_ROWS}, {_occurrences(r'\$[0-9][0-9,]*(?:\.[0-9]+)?')} {_grouped("replace(replace(surface, '$', ''), ',', '')::double")}")
 def q09_row_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(index.amounts(order_rows(spark, sf_dir)))
+    return index.amounts(order_rows(spark, sf_dir))
 
 
 @query(f"""with {_BLOCKS.replace(_LINES, _ROWS).replace('lines as (', 'lines as (', 1)}

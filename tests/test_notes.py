@@ -73,3 +73,14 @@ def test_records_on_disk(spark, tmp_path):
     S.write_map(docs, spark.createDataFrame([("D1", "D2", "date", "v")], "a string, b string, kind string, value string"), f"file://{tmp_path}/map")
     S.write_documents(spark.createDataFrame([("d1", 2, "two"), ("d1", 1, "one"), ("d2", 1, "x")], "doc string, line int, text string"), f"file://{tmp_path}/room")
     assert "".join(p.read_text() for p in sorted((tmp_path / "room/doc=d1").glob("part*"))) == "one\ntwo\n" and spark.read.json(f"file://{tmp_path}/map/edges").count() == 1
+
+
+def test_pieces_hold_no_section_that_is_longer(spark):
+    from tessera.operators import notes, ranking
+    from tests.test_links import rows
+
+    sections = spark.createDataFrame([("A", 1, "a1", "x" * 10), ("A", 2, "a2", "y" * 45 + "\n" + "z" * 8), ("A", 3, "a3", "w" * 5), ("B", 1, "b1", "")], "doc string, ordinal int, anchor string, text string")
+    assert rows(notes.split_sections(sections, 20), "doc", "piece", "first", "last", "n_sections", "chars") == [("A", 1, 1, 1, 1, 10), ("A", 2, 2, 2, 1, 20), ("A", 3, 2, 2, 1, 20), ("A", 4, 2, 3, 2, 20), ("B", 1, 1, 1, 1, 0)]
+    held = spark.createDataFrame([(1, "revenue summary revenue"), (2, "harbor accounts")], "anchor int, text string")
+    asks = spark.createDataFrame([(1, "revenue harbor summary", ["revenue", "summary"]), (2, "revenue harbor summary", [])], "ask int, text string, without array<string>")
+    assert rows(ranking.closest_section(held, asks), "ask", "anchor", "shared") == [(1, 2, 1), (2, 1, 2)]
