@@ -29,11 +29,11 @@ from tessera.llm._tables import own_columns, staged
 #: Neighbours in a node's list, and most lists it is in that a round looks at.
 LIST, REVERSE = 48, 48
 #: Descent ends when a round lifts the lists' mean score by less than this share of it, and after so many rounds at most.
-SETTLED, ROUNDS = 0.001, 12
+SETTLED, ROUNDS = 0.002, 8
 #: Candidates that a query keeps, and how many of them it expands in each search round; the last number goes on.
-BEAM, EXPAND = 384, (1, 24, 48, 64)
+BEAM, EXPAND = 256, (1, 24, 48, 64)
 #: The search ends when all but a hundredth of the queries have expanded their best so many, and after so many rounds at most.
-NEAR, SEARCHES = 128, 12
+NEAR, SEARCHES = 96, 7
 #: Nodes of a starting cell, and how many times the space is cut.
 CELL, TREES = 160, 3
 #: Copies of a vector that can be in a result.
