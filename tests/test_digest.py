@@ -22,7 +22,7 @@ def kept(frame):
 
 
 def test_turning_signals(spark):
-    quotes = ["plain", "AURORA cost $5m, 30 % over 45-day notice", "DR-001 and AURORA AURORA", "Draft reserve is probable and material", "AB"]
+    quotes = ["plain", "MERLIN cost $5m, 30 % over 45-day notice", "DR-001 and MERLIN MERLIN", "Draft reserve is probable and material", "AB"]
     frame = spark.createDataFrame([(k, f"- x | D | {q} | a#1") for k, q in enumerate(quotes)], "k int, line string")
     got = frame.orderBy("k").select(G.turning_signals(F.col("line")), G.is_turning_point(F.col("line"))).collect()
     assert [tuple(r) for r in got] == [(0, False), (5, True), (1, True), (4, True), (0, False)]
@@ -32,7 +32,7 @@ def test_turning_signals(spark):
 
 def random_dossier(rng, name, matter, size):
     docs = [f"D{k}" for k in range(12)]
-    words = ["leak", "AURORA", "draft", "notice", "$5m", "30%", "45 days", "reserve", "the", "of", "x"]
+    words = ["leak", "MERLIN", "draft", "notice", "$5m", "30%", "45 days", "reserve", "the", "of", "x"]
     quote = lambda: " ".join(rng.choice(words) for _ in range(rng.choice([3, 8, 50])))
     rows = []
     for section, n in (("Timeline", size), ("Figures", size), ("Names", size // 4), ("Models blind to it", 3), ("Lesser matters", 15)):

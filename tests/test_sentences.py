@@ -16,8 +16,8 @@ def of(spark, texts, function):
         ("One. Two! Three? Four", ["One.", "Two!", "Three?", "Four"]),
         ('It says "the end. And more. " and stops. Next.', ['It says "the end. And more. " and stops.', "Next."]),
         ("It says “stop. Go” here. Next", ["It says “stop. Go” here.", "Next"]),
-        ("Invoice No. 4471 of TelemetryWorks Inc. is due. Pay J. Okonkwo of the U.S. branch, e.g. today. Done.", ["Invoice No. 4471 of TelemetryWorks Inc. is due.", "Pay J. Okonkwo of the U.S. branch, e.g. today.", "Done."]),
-        ('- VistaPort Media Inc. | "a. b" | [D | D#l1]', ['- VistaPort Media Inc. | "a. b" | [D | D#l1]']),
+        ("Invoice No. 4471 of Harborworks Inc. is due. Pay J. Marsh of the U.S. branch, e.g. today. Done.", ["Invoice No. 4471 of Harborworks Inc. is due.", "Pay J. Marsh of the U.S. branch, e.g. today.", "Done."]),
+        ('- Harbor Media Inc. | "a. b" | [D | D#l1]', ['- Harbor Media Inc. | "a. b" | [D | D#l1]']),
         ("It ended. | next", ["It ended. | next"]),
         ("It cost 3.5 m.Then more.", ["It cost 3.5 m.Then more."]),
         ('An open "quote. It never ends.', ['An open "quote. It never ends.']),

@@ -23,18 +23,18 @@ def sections(spark):
         text("a/Note_Draft.md", 2, "We met Harbor Lane & Co on 18 October 2025 about NQ-17 and v1.2_final.tar.gz."),
         text("a/Note_Draft.md", 3, "It cost $12.4m over twenty-four (24) months, 30.1% of 912.8m records; 45-day notice, room 5 and DR-024.", "1. Costs"),
         text("b/Note.md", 1, "CONFIDENTIAL\nDate 14 November 2025 (Final)"),
-        text("b/Note.md", 2, "Then Harbor paid 3 days later, see NQ-17 and AURORA."),
+        text("b/Note.md", 2, "Then Harbor paid 3 days later, see NQ-17 and MERLIN."),
         text("b/Note.md", 3, "Week | Revenue ($M) | Churn (%)"),
         *[text("b/Note.md", 4 + k, f"2025-0{1 + (k >= 4)}-{7 * k + 6 - (31 if k >= 4 else 0):02d} | {1.5 + k} | {k}") for k in range(5)],
         text("b/Note.md", 9, "7"),
-        text("b/Note.md", 10, "end of AURORA"),
+        text("b/Note.md", 10, "end of MERLIN"),
         cells("c/Plan_2025_01.xlsx", 1, "S", "Month", "Cost (USD k)", "Note"),
         *[cells("c/Plan_2025_01.xlsx", 2 + k, "S", m, 10 + k, "Big Pump") for k, m in enumerate(["Jan 2025", "March 2025", "April 2025", "May 2025"])],
         cells("c/Plan_2025_02.xlsx", 1, "S", "2025 Q1", 1),
         cells("c/Plan_2025_02.xlsx", 2, "S", "Q2 2025", 2),
         cells("c/Plan_2025_02.xlsx", 3, "S", "FY2025 Q3", 3),
         cells("c/Plan_2025_02.xlsx", 4, "T", "2025-01-01", 3),
-        text("c/Plan_2025_03.xlsx", 1, "AURORA"),
+        text("c/Plan_2025_03.xlsx", 1, "MERLIN"),
     ]
     return spark.createDataFrame(rows, T.SECTIONS).repartition(3)
 
@@ -70,7 +70,7 @@ def test_names_and_identifiers(index):
     names = of(index, "name")
     assert names["Harbor", None][1] == 2 and ("Harbor Lane", None) in names and ("Lane & Co", None) in names and ("Harbor Lane & Co", None) in names
     assert names["Big Pump", None][2] == "c/Plan_2025_01.xlsx#S!C2"
-    assert ("AURORA", None) not in names or names["AURORA", None][1] >= 2
+    assert ("MERLIN", None) not in names or names["MERLIN", None][1] >= 2
     assert {k[0] for k in of(index, "identifier")} == {"NQ-17", "v1.2_final.tar.gz", "DR-024"}
 
 

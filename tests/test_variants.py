@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import rewriting as W
 from tessera.operators import variants
 
-NAMES = {"Trust Reset": "Confidence Rebuild", "Juniper & Rowe": "Alder & Finch", "AURORA": "Trust Reset", "Rowe": "Kane"}
+NAMES = {"Clear Water": "Open Harvest", "Maple & Dunn": "Cedar & Pike", "MERLIN": "Clear Water", "Dunn": "Moss"}
 
 
 def of(spark, texts, function):
@@ -17,8 +17,8 @@ def of(spark, texts, function):
 
 
 def test_names_keep_separator_and_case_and_are_written_once(spark):
-    texts = ["The Trust_Reset and TRUST-RESET, trust  reset.", "Juniper&Rowe met JUNIPER & ROWE; Rowe left", "aurora AURORAS xAURORA", ""]
-    assert of(spark, texts, lambda c: W.write_names(c, NAMES)) == ["The Confidence_Rebuild and CONFIDENCE-REBUILD, Confidence  Rebuild.", "Alder & Finch met ALDER & FINCH; Kane left", "Trust Reset AURORAS xAURORA", ""]
+    texts = ["The Clear_Water and CLEAR-WATER, clear  water.", "Maple&Dunn met MAPLE & DUNN; Dunn left", "merlin MERLINS xMERLIN", ""]
+    assert of(spark, texts, lambda c: W.write_names(c, NAMES)) == ["The Open_Harvest and OPEN-HARVEST, Open  Harvest.", "Cedar & Pike met CEDAR & PIKE; Moss left", "Clear Water MERLINS xMERLIN", ""]
 
 
 @pytest.mark.parametrize(("written", "grown"), [("$12,400.50", "$21,080.85"), ("999", "1698"), ("1,000", "1,700"), ("0.05", "0.09"), ("30.1%", "51.2%"), ("5", "9"), ("£ 3 m", "£ 5 m"), ("999,999", "1,699,998"), ("0", "0")])
@@ -33,7 +33,7 @@ def test_one_scan_of_identifiers_days_and_numbers(spark):
 
 
 def test_a_replacement_is_never_read_again(spark):
-    assert of(spark, ["AURORA Trust Reset"], lambda c: W.rewritten(c, NAMES, 1, "2", "-X")) == ["TRUST RESET Confidence Rebuild"]
+    assert of(spark, ["MERLIN Clear Water"], lambda c: W.rewritten(c, NAMES, 1, "2", "-X")) == ["CLEAR WATER Open Harvest"]
     assert of(spark, ["2 3"], lambda c: W.rewritten(c, {"x": "2"}, 1, "2", "-X")) == ["4 6"]
 
 
@@ -51,8 +51,8 @@ def test_spellings_are_dealt_and_guarded_runs_stay(spark):
 
 
 def test_planted_values(spark):
-    facts = spark.createDataFrame([("f1", 1, "quote", "The Pump  broke"), ("f2", 2, "identifier", "Juniper & Rowe"), ("f3", 3, "number", "45 days"), ("f4", 4, "date", "2025-10-18"), ("f5", 5, "identifier", "NQ-17"), ("f6", 6, "quote", "")], "fact string, at int, kind string, value string")
-    texts = ["so the pump broke.", "juniper&rowe", "within 45   days", "145 days", "on 18 October 2025", "2025-10-18", "x2025-10-18-1", "NQ-17-AB", "see nq-17; 45 days", "nothing"]
+    facts = spark.createDataFrame([("f1", 1, "quote", "The Pump  broke"), ("f2", 2, "identifier", "Maple & Dunn"), ("f3", 3, "number", "45 days"), ("f4", 4, "date", "2025-10-18"), ("f5", 5, "identifier", "NQ-17"), ("f6", 6, "quote", "")], "fact string, at int, kind string, value string")
+    texts = ["so the pump broke.", "maple&dunn", "within 45   days", "145 days", "on 18 October 2025", "2025-10-18", "x2025-10-18-1", "NQ-17-AB", "see nq-17; 45 days", "nothing"]
     frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     got = {r["id"]: r["fact"] for r in variants.planted(frame, facts).collect()}
     assert got == {0: "f1", 1: "f2", 2: "f3", 4: "f4", 5: "f4", 8: "f3"}
