@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import collapsed
 from tessera.functions.words import fold, word_runs
+from tessera.operators import contained
 from tessera.operators.ranking import within_budget
 
 #: Rows that all groups of a room keep together.
@@ -42,11 +43,12 @@ def document_parts(counts: DataFrame, rows: int) -> DataFrame:
 def unseen(findings: DataFrame, seen: DataFrame) -> DataFrame:
     """Findings whose quote the text that their room has seen (room, text) does not hold, white space aside.
 
-    A room's text is one row and meets its own findings only.
+    A room's text is one row and is read for all its findings together.
     """
-    texts = seen.select("room", collapsed(F.col("text")).alias("seen_text"))
-    held = F.contains(F.col("seen_text"), unquoted(F.col("quote")))
-    return findings.join(texts, "room", "left").where(F.col("seen_text").isNull() | ~held).drop("seen_text")
+    asked = findings.withColumn("sought", unquoted(F.col("quote")))
+    texts = seen.select("room", collapsed(F.col("text")).alias("text"))
+    found = contained.held(asked.select("room", F.col("sought").alias("quote")), texts)
+    return asked.join(found.select("room", F.col("quote").alias("sought")), ["room", "sought"], "left_anti").select(*findings.columns)
 
 
 def by_document(findings: DataFrame, nodes: DataFrame) -> DataFrame:
