@@ -9,6 +9,7 @@ from tessera.functions import carry
 from tessera.functions.anchors import document_of
 from tessera.functions.rows import strip_citations
 from tessera.functions.text import collapsed
+from tessera.operators import contained
 from tessera.operators.ranking import if_small
 
 # Certainty words, weakest rung first.
@@ -112,11 +113,22 @@ def recalled(facts: DataFrame, reports: DataFrame) -> DataFrame:
     (around ` against `) carried; any other one of them and its value in the report.  A fact
     without a report is not carried.
     """
-    own = reports.select("report", F.lower("text").alias("lowered"), carry.normalised(F.col("text")).alias("plain"), carry.numbers_of(F.col("text")).alias("numbers"), carry.days_of(F.col("text")).alias("days"), carry.words_of(F.col("text")).alias("words"))
-    named = lambda test: test("documents", lambda d: F.contains("lowered", F.lower(d)))
+    texts = lambda c: reports.select(F.col("report").alias("room"), c.alias("text"))
+    # Names and values are looked up in their reports together; each fact then meets its own marks.
+    lists = facts.where("documents is not null").select("report", "documents").distinct().join(reports.select("report").distinct(), "report")
+    names = lists.select("report", "documents", F.explode_outer(F.transform("documents", F.lower)).alias("name"))
+    seen = contained.held(names.select(F.col("report").alias("room"), F.col("name").alias("quote")), texts(F.lower("text")))
+    marked = names.join(seen.select(F.col("room").alias("report"), F.col("quote").alias("name"), F.lit(True).alias("seen")), ["report", "name"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+    named = marked.groupBy("report", "documents").agg(F.some("seen").alias("one"), F.every(F.col("seen") | (F.size("documents") == 0)).alias("all"))
+    asked = facts.withColumn("sought", carry.normalised(F.col("value")))
+    values = asked.where("kind is null or kind not in ('document', 'comparison')").select(F.col("report").alias("room"), F.col("sought").alias("quote"))
+    held = contained.held(values, texts(carry.normalised(F.col("text")))).select(F.col("room").alias("report"), F.col("quote").alias("sought"), F.lit(True).alias("written"))
+    own = reports.select("report", carry.numbers_of(F.col("text")).alias("numbers"), carry.days_of(F.col("text")).alias("days"), carry.words_of(F.col("text")).alias("words"))
     sides = F.forall(F.split("value", " against "), lambda s: carry.side_carried(s, F.col("numbers"), F.col("days"), F.col("words")))
-    hit = F.when(F.col("kind") == "document", named(F.forall)).when(F.col("kind") == "comparison", named(F.exists) & sides).otherwise(named(F.exists) & F.contains("plain", carry.normalised(F.col("value"))))
-    return facts.join(own, "report", "left").select("report", "fact", F.coalesce(hit, F.lit(False)).alias("hit"))
+    compared = facts.where("kind = 'comparison'").select("report", "value").distinct().join(own, "report").select("report", "value", sides.alias("sides"))
+    both = asked.join(named, ["report", "documents"], "left").join(held, ["report", "sought"], "left").join(compared, ["report", "value"], "left")
+    hit = F.when(F.col("kind") == "document", F.col("all")).when(F.col("kind") == "comparison", F.col("one") & F.col("sides")).otherwise(F.col("one") & F.col("written"))
+    return both.select("report", "fact", F.coalesce(hit, F.lit(False)).alias("hit"))
 
 
 def recall(facts: DataFrame, found: DataFrame) -> DataFrame:
