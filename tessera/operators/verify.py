@@ -148,7 +148,8 @@ def uncarried(findings: DataFrame, paragraphs: DataFrame) -> DataFrame:
     wanted = findings.select("id", "anchor", "finding", carry.finding_words(F.col("finding")).alias("words"), bare(carry.figures_of(F.col("finding"))).alias("figures")).withColumn("doc", document_of(F.col("anchor")))
     tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[^\s\[\]|]+#[^\s\[\]|]+"), 0))
     said = paragraphs.where(F.trim("text") != "").select("text", F.explode(tokens).alias("token")).withColumn("doc", document_of(F.col("token")))
-    met = wanted.join(said, "doc").where(F.contains("token", "anchor"))
+    # A token may close with signs, but the anchor of line 7 is not that of line 78.
+    met = wanted.join(said, "doc").where(F.contains("token", "anchor") & ~F.substr("token", F.instr("token", F.col("anchor")) + F.length("anchor"), F.lit(1)).rlike("[A-Za-z0-9]"))
     own = met.select("id", F.array_intersect("words", F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z][a-z\-]{3,}"), 0)).alias("w"), F.array_intersect("figures", bare(carry.figures_written(F.col("text")))).alias("f"))
     held = own.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("w"))).alias("w"), F.array_distinct(F.flatten(F.collect_set("f"))).alias("f"))
     carried = (F.size(F.array_except("figures", "f")) == 0) & (F.size("w") * 2 >= F.size("words"))

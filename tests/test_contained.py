@@ -1,6 +1,6 @@
 import random
 
-from tessera.operators import contained
+from tessera.operators import contained, verify
 
 
 def test_strings_are_held_as_brute_force_says(spark, monkeypatch):
@@ -18,3 +18,9 @@ def test_long_text_is_cut_and_read_once(spark):
     said = "\n".join(f"ORD-{k} late" for k in range(20_000))
     rows = spark.range(40_000).selectExpr("'x' as room", "concat('ORD-', id, ' late') as quote")
     assert contained.held(rows, spark.createDataFrame([("x", said.replace("\n", " "))], "room string, text string")).count() == 20_000
+
+
+def test_an_anchor_is_not_another_ones_beginning(spark):
+    findings = spark.createDataFrame([(7, "C1.md#l7", "Harbor pump cost $157,000"), (78, "C1.md#l78", "Harbor pump cost $157,000")], "id int, anchor string, finding string")
+    said = spark.createDataFrame([("Harbor pump cost 157000 [C1 | C1.md#l78].",)], "text string")
+    assert [r["id"] for r in verify.uncarried(findings, said).collect()] == [7]
