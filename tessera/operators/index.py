@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +31,19 @@ def places(found: DataFrame, value: str = "surface") -> DataFrame:
     return found.select(F.col(value).alias("value"), "doc", line_anchor(F.col("doc"), F.col("line")).alias("anchor")).distinct()
 
 
-def identifiers(of_lines: DataFrame) -> DataFrame:
+def placed(found: DataFrame, value: str = "surface") -> DataFrame:
+    """The values of `grouped` with all their places, a row each: and doc, place."""
+    return grouped(found, value).join(places(found, value).withColumnRenamed("anchor", "place"), "value")
+
+
+def identifiers(of_lines: DataFrame, by: Callable = grouped) -> DataFrame:
     """Joined tokens that begin with a letter and hold a digit."""
-    return grouped(occurrences(of_lines, IDENTIFIER).where(F.col("surface").rlike("[0-9]")))
+    return by(occurrences(of_lines, IDENTIFIER).where(F.col("surface").rlike("[0-9]")))
 
 
-def names(of_lines: DataFrame, least_docs: int = 2) -> DataFrame:
+def names(of_lines: DataFrame, least_docs: int = 2, by: Callable = grouped) -> DataFrame:
     """Capitalised phrases of two to four words that several documents have."""
-    return grouped(occurrences(of_lines, CAPITALISED)).where(F.col("n_docs") >= least_docs)
+    return by(occurrences(of_lines, CAPITALISED)).where(F.col("n_docs") >= least_docs)
 
 
 def ordinary_words(of_lines: DataFrame) -> DataFrame:
@@ -47,14 +54,14 @@ def ordinary_words(of_lines: DataFrame) -> DataFrame:
     return counts.where("n_upper > 0 and n_lower >= n_upper")
 
 
-def dates(of_lines: DataFrame) -> DataFrame:
+def dates(of_lines: DataFrame, by: Callable = grouped) -> DataFrame:
     """ISO days that exist, as dates."""
-    return grouped(occurrences(of_lines, ISO_DAY).withColumn("day", F.try_to_date("surface")).where("day is not null").withColumn("key", F.date_format("day", "yyyy-MM-dd")), "key")
+    return by(occurrences(of_lines, ISO_DAY).withColumn("day", F.try_to_date("surface")).where("day is not null").withColumn("key", F.date_format("day", "yyyy-MM-dd")), "key")
 
 
-def amounts(of_lines: DataFrame) -> DataFrame:
+def amounts(of_lines: DataFrame, by: Callable = grouped) -> DataFrame:
     """Dollar amounts by value."""
-    return grouped(occurrences(of_lines, MONEY).withColumn("key", money_value(F.col("surface"))), "key")
+    return by(occurrences(of_lines, MONEY).withColumn("key", money_value(F.col("surface"))), "key")
 
 
 def status_claims(of_lines: DataFrame, kinds: dict[str, list[str]]) -> DataFrame:
