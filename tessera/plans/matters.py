@@ -232,8 +232,9 @@ def q67_matter_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets grown from the 25 strongest customers: those that ordered on the same days, then other halves of versions."""
     o = table(spark, sf_dir, "orders")
     carriers = o.select(F.lit("identifier").alias("kind"), F.concat(F.lit("d"), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("value"), F.col("o_custkey").alias("doc"))
-    edges = links.written(graph.value_edges(carriers, graph.breadth(table(spark, sf_dir, "customer").count())), "edges")
-    seeds = links.written(graph.seed_pull(edges).orderBy(F.desc("pull"), "doc").limit(25).select(F.col("doc").alias("seed"), "doc"), "seeds")
+    most = graph.breadth(table(spark, sf_dir, "customer").count())
+    seeds = links.written(graph.pull(graph.strongest_links(carriers, most)).orderBy(F.desc("pull"), "doc").limit(25).select(F.col("doc").alias("seed"), "doc"), "seeds")
+    edges = links.written(graph.edges_of(carriers, most, seeds), "edges")
     shared, versions = links.value_links(edges), QUERIES["q12_version_pairs"](spark, sf_dir).select("draft", "final")
     _, every = links.grown(seeds, [lambda s: links.shared_links(s, shared), lambda s: links.version_links(versions, s)])
     return seeds.withColumn("kind", F.lit("seed")).unionByName(every.select("seed", "doc", "kind"))
