@@ -13,7 +13,7 @@ from tessera.functions.text import COMMON_WORDS, amount, header_scale, header_un
 from tessera.functions.words import fold, folded_words
 from tessera.operators import filings, graph, index, links, ranking, report
 from tessera.plans.catalog import _EDGES, _LINES, _ROWS, QUERIES, SQL, _edges, query
-from tessera.plans.views import document_lines, order_rows, table
+from tessera.plans.views import document_lines, order_rows, part_carriers, table
 
 _FOLD = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -67,8 +67,9 @@ v as (select seed, doc, value, row_number() over (partition by seed, doc order b
 select seed, doc, heads, string_agg(value, ',' order by value) as "values" from hd join v using (seed, doc) where r <= 3 group by 1, 2, 3""".replace("l_partkey::varchar", "('p' || l_partkey)"))
 def q52_shared_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers that share parts with those of two seeds."""
-    edges = _edges(spark, sf_dir).withColumn("value", F.concat(F.lit("p"), "value"))
-    found = links.shared_links(spark.createDataFrame(_SEEDS, "seed int, doc long"), links.value_links(edges))
+    seeds, most = spark.createDataFrame(_SEEDS, "seed int, doc long"), graph.breadth(table(spark, sf_dir, "supplier").count())
+    edges = graph.edges_of(part_carriers(spark, sf_dir), most, seeds, graph.KIND_WEIGHTS["identifier"]).withColumn("value", F.concat(F.lit("p"), "value"))
+    found = links.shared_links(seeds, links.value_links(edges))
     return found.select("seed", "doc", F.array_join("from", ",").alias("heads"), F.array_join("values", ",").alias("values"))
 
 
