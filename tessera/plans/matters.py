@@ -69,7 +69,7 @@ def q52_shared_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers that share parts with those of two seeds."""
     seeds, most = spark.createDataFrame(_SEEDS, "seed int, doc long"), graph.breadth(table(spark, sf_dir, "supplier").count())
     edges = graph.edges_of(part_carriers(spark, sf_dir), most, seeds, graph.KIND_WEIGHTS["identifier"]).withColumn("value", F.concat(F.lit("p"), "value"))
-    found = links.shared_links(seeds, links.value_links(edges))
+    found = links.shared_links(seeds, links.written(links.value_links(edges), "shared"))
     return found.select("seed", "doc", F.array_join("from", ",").alias("heads"), F.array_join("values", ",").alias("values"))
 
 
