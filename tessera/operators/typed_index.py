@@ -127,14 +127,18 @@ def amounts(sections: DataFrame, pieces: DataFrame, line_cells: DataFrame) -> Da
     """
     of_lines = line_cells.where("number is null").select("doc", "ordinal", F.col("place").alias("piece"), "text", "anchor", "context")
     rest = pieces.join(line_cells.select("doc", "ordinal").distinct(), ["doc", "ordinal"], "left_anti").select("doc", "ordinal", "piece", "text", "anchor", "context")
-    masked = D.mask_days(F.col("text"))
-    hits = F.filter(matches(masked, WRITTEN_AMOUNT), lambda h: ~joined_to_a_token(F.substring(F.col("text"), F.greatest(h["at"] - 1, F.lit(1)), F.least(h["at"], F.lit(2)))))
+    # Dealt evenly: what is read from few files would else be read by few tasks, which takes longer than all the rest.
+    dealt = rest.unionByName(of_lines).repartition("doc", "ordinal", "piece").withColumn("masked", D.mask_days(F.col("text")))
+    hits = F.filter(matches(F.col("masked"), WRITTEN_AMOUNT), lambda h: ~joined_to_a_token(F.substring(F.col("text"), F.greatest(h["at"] - 1, F.lit(1)), F.least(h["at"], F.lit(2)))))
     surface = F.trim("hit.surface")
-    value, unit = amount_parts(surface)
+    value, unit = amount_parts(F.col("surface"))
     # Trailing white space of a surface is never part of it, so the words behind begin where it ends.
     behind = following_unit(F.substring(F.col("text"), F.col("hit.at") + F.length("hit.surface") + 1, F.lit(60)))
-    unit = F.coalesce(unit, behind, F.when(value == F.floor(value), "count"))
-    said = _found(rest.unionByName(of_lines), "amount", hits, number_text(value), unit)
+    rows = dealt.select("doc", "ordinal", "piece", "anchor", "context", "text", F.explode(hits).alias("hit")).withColumn("surface", surface)
+    # Columns of their own, as each is asked for several times.
+    rows = rows.withColumns({"number": value, "written": unit, "behind": behind})
+    unit = F.coalesce("written", "behind", F.when(F.col("number") == F.floor("number"), "count"))
+    said = rows.select(F.lit("amount").alias("kind"), number_text(F.col("number")).alias("value"), unit.alias("unit"), "surface", "doc", "ordinal", (F.col("piece").cast("long") * 1_000_000 + F.col("hit.at")).alias("n"), "anchor", "context")
     sheets = sheet_rows(sections).where(A.parse_anchor(F.col("anchor"))["kind"] == "sheet-cell").withColumn("row_anchor", F.col("own"))
     both = sheets.select("doc", "ordinal", "table", "column", "place", "text", "number", "row_anchor", "context").unionByName(line_cells.select("doc", "ordinal", "table", "column", "place", "text", "number", F.col("anchor").alias("row_anchor"), "context"))
     headed = both.where("number is not null").join(column_headers(both), ["doc", "table", "column"], "left").withColumn("header", F.coalesce("header", F.lit("")))
@@ -224,7 +228,6 @@ def row_series(sections: DataFrame, line_cells: DataFrame) -> DataFrame:
     rows = cells.select("doc", "table", "ordinal").distinct().withColumn("row", F.row_number().over(Window.partitionBy("doc", "table").orderBy("ordinal")))
     cells = cells.join(rows, ["doc", "table", "ordinal"])
     order = Window.partitionBy("doc", "table", "column").orderBy("row", "place")
-    # Written, as reading periods is long and all that follows asks for them again.
     found = links.written(cells.where("number is null").withColumn("period", D.period(F.col("text"))).where("period is not null"), "periods")
     found = found.withColumn("prior", F.lag("period").over(order)).withColumn("step", F.when(F.col("prior").isNotNull(), F.coalesce(D.step_between(F.col("prior"), F.col("period")), F.lit("none"))))
     runs = found.groupBy("doc", "table", "column").agg(

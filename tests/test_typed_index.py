@@ -109,3 +109,14 @@ def test_an_ambiguous_identifier_and_a_document_in_two_pairs_give_no_pair(spark)
 
 def test_an_empty_room(spark):
     assert T.build_index(spark.createDataFrame([], T.SECTIONS)).count() == 0
+
+
+def test_pieces_are_dealt_evenly_before_amounts_are_read(spark):
+    rows = [(f"d{k % 5}", k, "text", None, f"d#l{k}", f"On 2024-05-06 it cost $1,2{k % 10}0k over 12 months", None) for k in range(400)]
+    sections = spark.createDataFrame(rows, T.SECTIONS).coalesce(1)
+    pieces = T.text_pieces(sections)
+    found = T.amounts(sections, pieces, T.line_rows(sections))
+    assert found.where("unit in ('USD', 'months')").groupBy("unit").count().orderBy("unit").collect() == [("USD", 400), ("months", 400)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Amounts are read above the step that deals the pieces out.
+    assert plan.index("Generate explode") < plan.index("RepartitionByExpression")
