@@ -66,23 +66,22 @@ def period(surface: Column) -> Column:
     year_first, quarter_first = r"(?i)^(?:FY)?([0-9]{4})[ _-]?Q([1-4])$", r"(?i)^Q([1-4])[ _-]?(?:FY)?([0-9]{4})$"
     made = lambda grain, y, p, d: F.struct(F.lit(grain).alias("grain"), y.alias("y"), p.alias("p"), d.alias("d"))
 
-    def day_of(text: Column) -> Column:
-        # A day with a time is cut to the day; others are read as written.
-        return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ].*)?$"), F.substring(text, 1, 10)).when(text.rlike(rf"^[0-9]{{1,2}}\s+(?i:{'|'.join(MONTHS)})\s+[0-9]{{4}}$"), text)
-
-    def read(x: Column) -> Column:
-        text, day = x["text"], x["day"]
-        part = lambda pattern, k: F.regexp_extract(text, pattern, k).try_cast("int")
-        number = lambda at, n: F.substring(day, at, n).try_cast("int")
-        return (
-            F.when(day.isNotNull(), made("day", number(1, 4), number(6, 2), number(9, 2)))
-            .when(text.rlike(month), made("month", part(month, 1), part(month, 2), F.lit(0)))
-            .when(text.rlike(named), made("month", part(named, 2), _month(F.regexp_extract(text, named, 1)), F.lit(0)))
-            .when(text.rlike(year_first), made("quarter", part(year_first, 1), part(year_first, 2), F.lit(0)))
-            .when(text.rlike(quarter_first), made("quarter", part(quarter_first, 2), part(quarter_first, 1), F.lit(0)))
-        )
-
-    return bound(F.trim(surface.cast("string")), lambda t: bound(F.struct(t.alias("text"), bound(day_of(t), iso_of).alias("day")), read))
+    text = F.trim(surface.cast("string"))
+    part = lambda pattern, k: F.regexp_extract(text, pattern, k).try_cast("int")
+    # A day with a time is cut to the day; others are read as written.  The first are plain numbers of a day that the calendar has.
+    number = lambda source, at, n: F.substring(source, at, n).try_cast("int")
+    days = lambda source: made("day", number(source, 1, 4), number(source, 6, 2), number(source, 9, 2))
+    iso = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ].*)?$")
+    known = F.substring(text, 1, 10).try_cast("date").isNotNull() & (F.substring(text, 1, 4) != "0000")
+    worded = text.rlike(rf"^[0-9]{{1,2}}\s+(?i:{'|'.join(MONTHS)})\s+[0-9]{{4}}$")
+    return (
+        F.when(iso, F.when(known, days(text)))
+        .when(text.rlike(month), made("month", part(month, 1), part(month, 2), F.lit(0)))
+        .when(worded, bound(iso_of(text), lambda day: F.when(day.isNotNull(), days(day))))
+        .when(text.rlike(named), made("month", part(named, 2), _month(F.regexp_extract(text, named, 1)), F.lit(0)))
+        .when(text.rlike(year_first), made("quarter", part(year_first, 1), part(year_first, 2), F.lit(0)))
+        .when(text.rlike(quarter_first), made("quarter", part(quarter_first, 2), part(quarter_first, 1), F.lit(0)))
+    )
 
 
 def period_text(p: Column) -> Column:

@@ -47,22 +47,36 @@ def _is_number(text: Column) -> Column:
     return F.trim(text).rlike(r"^[+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?$")
 
 
-def line_rows(sections: DataFrame) -> DataFrame:
-    """Rows of line tables, as cells: doc, ordinal, anchor, context, table, column, place, text, number.
+def line_tables(sections: DataFrame) -> DataFrame:
+    """Rows of line tables: doc, ordinal, anchor, text, table, row (number within the table).
 
     A row is a text section of one line with ` | `, or of one number; consecutive ones are a table
     if one of them has a ` | `.
     """
     order = Window.partitionBy("doc").orderBy("ordinal")
     row = (F.col("kind") == "text") & F.col("cells").isNull() & ~F.col("text").contains("\n") & (F.col("text").contains(" | ") | _is_number(F.col("text")))
-    placed = sections.withColumn("nth", F.row_number().over(order)).where(row)
-    runs = placed.withColumn("island", F.col("nth") - F.row_number().over(order))
+    # Sections before it that are no rows number an island; within one, places are consecutive.
+    placed = sections.withColumns({"is_row": F.coalesce(row, F.lit(False))}).withColumns({"island": F.count(F.when(~F.col("is_row"), 1)).over(order.rowsBetween(Window.unboundedPreceding, 0)), "at": F.dense_rank().over(order)})
     whole = Window.partitionBy("doc", "island")
-    tables = runs.withColumn("barred", F.max(F.col("text").contains(" | ")).over(whole)).withColumn("table", F.concat(F.lit("lines"), F.min("ordinal").over(whole).cast("string"))).where("barred")
-    cells = tables.select("doc", "ordinal", "anchor", context(F.col("text")).alias("context"), "table", F.posexplode(F.split("text", r" \| ")).alias("k", "field"))
+    tables = placed.where("is_row").withColumns({
+        "row": F.col("at") - F.min("at").over(whole) + 1,
+        "barred": F.max(F.col("text").contains(" | ")).over(whole),
+        "table": F.concat(F.lit("lines"), F.min("ordinal").over(whole).cast("string")),
+    })
+    return tables.where("barred").select("doc", "ordinal", "anchor", "text", "table", "row")
+
+
+def line_cells(tables: DataFrame) -> DataFrame:
+    """Cells of line tables: doc, ordinal, anchor, context, table, row, column, place, text, number."""
+    cells = tables.select("doc", "ordinal", "anchor", context(F.col("text")).alias("context"), "table", "row", F.posexplode(F.split("text", r" \| ")).alias("k", "field"))
     text = F.trim("field")
     number = F.when(_is_number(text), F.replace(text, F.lit(","), F.lit("")).cast("double"))
-    return cells.select("doc", "ordinal", "anchor", "context", "table", F.concat(F.lit("c"), F.col("k") + 1).alias("column"), (F.col("k") + 1).alias("place"), text.alias("text"), number.alias("number"))
+    return cells.select("doc", "ordinal", "anchor", "context", "table", "row", F.concat(F.lit("c"), F.col("k") + 1).alias("column"), (F.col("k") + 1).alias("place"), text.alias("text"), number.alias("number"))
+
+
+def line_rows(sections: DataFrame) -> DataFrame:
+    """The cells of the line tables of sections."""
+    return line_cells(line_tables(sections))
 
 
 def sheet_rows(sections: DataFrame) -> DataFrame:
@@ -218,32 +232,35 @@ def version_pairs(sections: DataFrame, idents: DataFrame, nameds: DataFrame, sta
     return rows.join(starts, "doc").select(F.lit("version-pair").alias("kind"), "value", F.lit(None).cast("string").alias("unit"), "surface", "doc", F.lit(0).cast("long").alias("ordinal"), F.lit(0).cast("long").alias("n"), "anchor", "context")
 
 
-def row_series(sections: DataFrame, line_cells: DataFrame) -> DataFrame:
+def row_series(sections: DataFrame, tables: DataFrame) -> DataFrame:
     """Columns of tables that step by one week, month or quarter: doc, table, column, step, n, first, last, surface, anchor, from_row, to_row.
 
-    The surface is what stands one row above the first period in that column, else the column.
+    Tables are those of lines; sheets are taken from the sections.  The surface is what stands one
+    row above the first period in that column, else the column.  Rows are read twice: all for
+    their periods, then those above a series only.
     """
-    sheets = sheet_rows(sections).where("table is not null").select("doc", "table", "ordinal", "anchor", "column", "place", "text", "number")
-    cells = sheets.unionByName(line_cells.select("doc", "table", "ordinal", "anchor", "column", "place", "text", "number")).where("column is not null")
-    rows = cells.select("doc", "table", "ordinal").distinct().withColumn("row", F.row_number().over(Window.partitionBy("doc", "table").orderBy("ordinal")))
-    cells = cells.join(rows, ["doc", "table", "ordinal"])
+    fields = ("doc", "table", "row", "column", "place", "text", "anchor")
+    sheets = sheet_rows(sections).where("table is not null and column is not null").withColumn("row", F.dense_rank().over(Window.partitionBy("doc", "table").orderBy("ordinal")))
+    cells = sheets.select(*fields, "number").unionByName(line_cells(tables).select(*fields, "number"))
     order = Window.partitionBy("doc", "table", "column").orderBy("row", "place")
-    found = links.written(cells.where("number is null").withColumn("period", D.period(F.col("text"))).where("period is not null"), "periods")
+    found = cells.where("number is null").select("doc", "table", "column", "row", "place", "anchor", D.period(F.col("text")).alias("period")).where("period is not null")
     found = found.withColumn("prior", F.lag("period").over(order)).withColumn("step", F.when(F.col("prior").isNotNull(), F.coalesce(D.step_between(F.col("prior"), F.col("period")), F.lit("none"))))
     runs = found.groupBy("doc", "table", "column").agg(
         F.count("*").alias("n"), F.min("step").alias("step"), F.max("step").alias("most"), F.min_by("period", F.struct("row", "place")).alias("first"), F.max_by("period", F.struct("row", "place")).alias("last"),
         F.min("row").alias("from_row"), F.max("row").alias("to_row"), F.min_by("anchor", F.struct("row", "place")).alias("own"),
     )
-    runs = runs.where((F.col("n") >= LEAST_PERIODS) & (F.col("step") == F.col("most")) & (F.col("step") != "none"))
-    above = cells.where(F.trim("text") != "").select("doc", "table", "column", (F.col("row") + 1).alias("from_row"), F.struct(F.trim("text").alias("text"), "anchor").alias("cell"), "place")
+    runs = links.written(runs.where((F.col("n") >= LEAST_PERIODS) & (F.col("step") == F.col("most")) & (F.col("step") != "none")), "runs")
+    wanted = runs.select("doc", "table", (F.col("from_row") - 1).alias("row")).distinct()
+    above = sheets.select(*fields).unionByName(line_cells(tables.join(wanted, ["doc", "table", "row"], "left_semi")).select(*fields))
+    above = above.where(F.trim("text") != "").select("doc", "table", "column", (F.col("row") + 1).alias("from_row"), F.struct(F.trim("text").alias("text"), "anchor").alias("cell"), "place")
     above = above.groupBy("doc", "table", "column", "from_row").agg(F.min_by("cell", "place").alias("header"))
     runs = runs.join(above, ["doc", "table", "column", "from_row"], "left")
     return runs.select("doc", "table", "column", "step", "n", D.period_text(F.col("first")).alias("first"), D.period_text(F.col("last")).alias("last"), F.coalesce("header.text", "column").alias("surface"), F.coalesce("header.anchor", "own").alias("anchor"), "from_row", "to_row")
 
 
-def series(sections: DataFrame, line_cells: DataFrame) -> DataFrame:
+def series(sections: DataFrame, tables: DataFrame) -> DataFrame:
     """Series of rows and of documents as occurrences: the value says step, form and extent."""
-    rows = row_series(sections, line_cells)
+    rows = row_series(sections, tables)
     extent = lambda what: F.concat(F.col("n").cast("string"), F.lit(" "), F.col("step"), F.lit(f" {what} from "), F.col("first"), F.lit(" to "), F.col("last"))
     value = lambda form, where: F.concat_ws(" ", "step", F.lit(form), where)
     none = F.lit(None).cast("string").alias("unit")
@@ -258,9 +275,10 @@ def series(sections: DataFrame, line_cells: DataFrame) -> DataFrame:
 
 def build_index(sections: DataFrame) -> DataFrame:
     """All occurrences of all seven kinds: date, amount, name, identifier, status, version-pair, series."""
-    pieces, lines = links.written(text_pieces(sections), "pieces"), links.written(line_rows(sections), "line-cells")
+    pieces, tables = links.written(text_pieces(sections), "pieces"), links.written(line_tables(sections), "line-tables")
+    lines = links.written(line_cells(tables), "line-cells")
     idents, nameds, status = links.written(identifiers(pieces), "identifiers"), links.written(names(pieces), "names"), links.written(statuses(sections), "statuses")
-    kinds = [dates(pieces), amounts(sections, pieces, lines), nameds, idents, status, version_pairs(sections, idents, nameds, status), series(sections, lines)]
+    kinds = [dates(pieces), amounts(sections, pieces, lines), nameds, idents, status, version_pairs(sections, idents, nameds, status), series(sections, tables)]
     out = kinds[0]
     for more in kinds[1:]:
         out = out.unionByName(more)
@@ -279,19 +297,17 @@ def series_numbers(sections: DataFrame) -> DataFrame:
     Kept are series whose rows all begin with a day, and of these the columns that hold a number
     in every row.
     """
-    lines = links.written(line_rows(sections), "line-cells")
-    found = links.written(row_series(sections, lines).select("doc", "table", F.col("column").alias("periods"), "surface", "n", "from_row", "to_row"), "row-series")
+    tables = links.written(line_tables(sections), "line-tables")
+    found = links.written(row_series(sections, tables).select("doc", "table", F.col("column").alias("periods"), "surface", "n"), "row-series")
     sheets = sheet_rows(sections).where("table is not null").select("doc", "table", "ordinal", "anchor", "column", "place", "text", "number")
-    cells = sheets.unionByName(lines.select("doc", "table", "ordinal", "anchor", "column", "place", "text", "number"))
-    members = cells.join(found, ["doc", "table"])
-    # Members are the rows with a period in the series' column.
-    rows = links.written(members.where(F.col("column") == F.col("periods")).where(D.period(F.col("text")).isNotNull()).select("doc", "table", "periods", "ordinal").distinct(), "members")
-    members = members.join(rows, ["doc", "table", "periods", "ordinal"])
-    lead = members.where("place = 1").select("doc", "table", "periods", "ordinal", D.iso_of(F.regexp_extract("text", r"^\s*([^T]*?)(?:[T ][0-9:]+.*)?$", 1)).alias("at"))
-    dated = lead.groupBy("doc", "table", "periods").agg(F.count("at").alias("dated"))
-    numeric = members.where("place > 1 and number is not null").groupBy("doc", "table", "periods", "place").agg(F.count("*").alias("held"))
-    whole = members.join(dated, ["doc", "table", "periods"]).where("dated = n").join(numeric, ["doc", "table", "periods", "place"]).where("held = n").where("place > 1")
-    out = whole.join(lead, ["doc", "table", "periods", "ordinal"])
+    lines = line_cells(tables.join(found, ["doc", "table"], "left_semi")).select("doc", "table", "ordinal", "anchor", "column", "place", "text", "number")
+    # All that follows is within a series, so that its cells are shuffled once.
+    cells = sheets.unionByName(lines).repartition("doc", "table").join(found, ["doc", "table"])
+    row, column, whole = (Window.partitionBy("doc", "table", "periods", *by) for by in (("ordinal",), ("place",), ()))
+    # Members are the rows with a period in the series' column; they lead with what stands first.
+    period = (F.col("column") == F.col("periods")) & D.period(F.col("text")).isNotNull()
+    day = F.when(F.col("place") == 1, D.iso_of(F.regexp_extract("text", r"^\s*([^T]*?)(?:[T ][0-9:]+.*)?$", 1)))
+    members = cells.withColumns({"period": period, "day": day}).withColumns({"member": F.max("period").over(row), "at": F.max("day").over(row)}).where("member")
+    counted = members.withColumn("dated", F.count("day").over(whole)).withColumn("held", F.count("number").over(column))
+    out = counted.where("dated = n and held = n and place > 1")
     return out.select(F.concat_ws("/", "doc", "table", "periods").alias("series"), "surface", "doc", "column", F.to_date("at").alias("at"), F.col("number").alias("value"), "anchor")
-
-

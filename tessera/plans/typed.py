@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import typed_index
+from tessera.operators import links, typed_index
 from tessera.plans.catalog import query
 from tessera.plans.views import table
 
@@ -67,18 +67,26 @@ def q72_typed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables as lines: events of a user by week, orders of a nation and of a customer by month, line items of a supplier by quarter."""
-    e = table(spark, sf_dir, "events").groupBy(F.concat(F.lit("week"), F.col("user_id").cast("string")).alias("doc"), F.to_date(F.date_trunc("week", "ts")).alias("at")).agg(F.count("*").alias("n"), F.sum(F.round("value").cast("long")).alias("total"))
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").withColumn("at", F.trunc("o_orderdate", "month"))
-    by = lambda prefix, key: o.groupBy(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("doc"), "at").agg(F.count("*").alias("n"), F.sum(F.round("o_totalprice").cast("long")).alias("total"))
-    q = table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("quarter"), F.col("l_suppkey").cast("string")).alias("doc"), F.trunc("l_shipdate", "quarter").alias("at")).agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("total"))
-    quarter = F.concat(F.lit("Q"), F.quarter("at").cast("string"), F.lit(" "), F.year("at").cast("string"))
-
-    def lines(rows: DataFrame, head: str, period: Column) -> DataFrame:
+    o = table(spark, sf_dir, "orders").withColumn("at", F.trunc("o_orderdate", "month"))
+    nations = o.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    events = table(spark, sf_dir, "events").withColumn("at", F.to_date(F.date_trunc("week", "ts")))
+    items = table(spark, sf_dir, "lineitem").withColumn("at", F.trunc("l_shipdate", "quarter"))
+
+    def lines(rows: DataFrame, prefix: str, key: str, head: str, value: Column, period: Column) -> DataFrame:
+        """A row for each key and period, and a header for each key: keys are counted as they are, and named last."""
+        doc = F.concat(F.lit(prefix), F.col(key).cast("string")).alias("doc")
+        own = rows.groupBy(key, "at").agg(F.count("*").alias("n"), F.sum(value.cast("long")).alias("total"))
         text = F.concat_ws(" | ", period, F.col("n").cast("string"), F.col("total").cast("string"))
-        return rows.select("doc", F.unix_date("at").alias("ordinal"), text.alias("text")).unionByName(rows.select("doc").distinct().select("doc", F.lit(0).alias("ordinal"), F.lit(f"{head} | Rows | Total ($)").alias("text")))
+        return own.select(doc, F.unix_date("at").alias("ordinal"), text.alias("text")).unionByName(rows.select(key).distinct().select(doc, F.lit(0).alias("ordinal"), F.lit(f"{head} | Rows | Total ($)").alias("text")))
 
-    month = F.date_format("at", "yyyy-MM")
-    parts = [lines(e, "Week", F.date_format("at", "yyyy-MM-dd")), lines(by("nation", "c_nationkey"), "Month", month), lines(by("customer", "o_custkey"), "Month", month), lines(q, "Quarter", quarter)]
+    month, dollars = F.date_format("at", "yyyy-MM"), F.round("o_totalprice")
+    quarter = F.concat(F.lit("Q"), F.quarter("at").cast("string"), F.lit(" "), F.year("at").cast("string"))
+    parts = [
+        lines(events, "week", "user_id", "Week", F.round("value"), F.date_format("at", "yyyy-MM-dd")),
+        lines(nations, "nation", "c_nationkey", "Month", dollars, month),
+        lines(o, "customer", "o_custkey", "Month", dollars, month),
+        lines(items, "quarter", "l_suppkey", "Quarter", F.col("l_quantity"), quarter),
+    ]
     return _sections(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
 
 
@@ -99,7 +107,7 @@ t as (select *, case surface when 'Week' then strftime(a, '%Y-%m-%d') when 'Mont
 def q73_row_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of the tables that step by one week, month or quarter, under their headers."""
     sections = _tables(spark, sf_dir)
-    return typed_index.row_series(sections, typed_index.line_rows(sections)).select("doc", "column", "step", "n", "first", "last", "surface")
+    return typed_index.row_series(sections, links.written(typed_index.line_tables(sections), "line-tables")).select("doc", "column", "step", "n", "first", "last", "surface")
 
 
 @query(f"""with {_TABLES}, c as (select p.doc, began, unnest(['c2', 'c3']) as "column", unnest([p.n, total])::double as value from p join r using (doc) where p.surface = 'Week')

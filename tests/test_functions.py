@@ -84,3 +84,10 @@ def test_numbers_with_sources(spark):
     cited = spark.createDataFrame([(1, "It cost 1,200 on 2025-10-18.", "a"), (2, "It cost 7.", "a"), (2, "It cost 7.", "b"), (3, "It cost 9.", "z")], "id int, text string, anchor string")
     sources = spark.createDataFrame([("a", "cost $1200, 18 October 2025"), ("b", "7 days")], "anchor string, text string")
     assert sorted(map(tuple, verify.unsourced_numbers(cited, sources).collect())) == [(3, "9")]
+
+
+def test_periods_are_days_of_the_calendar_months_and_quarters(spark):
+    said = ["2025-02-28", "2024-02-29T10:00", " 2025-01-06 ", "2025-02-29", "2025-13-01", "0000-01-01", "5 May 2025", "31 June 2025", "2025-07", "2025-00", "May 2025", "FY2025 Q3", "q4-2025", "12", "", None]
+    frame = spark.createDataFrame([(k, s) for k, s in enumerate(said)], "k int, s string").orderBy("k")
+    want = ["2025-02-28", "2024-02-29", "2025-01-06", None, None, None, "2025-05-05", None, "2025-07", None, "2025-05", "2025-Q3", "2025-Q4", None, None, None]
+    assert [r[0] for r in frame.select(D.period_text(D.period(F.col("s")))).collect()] == want

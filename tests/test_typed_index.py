@@ -120,3 +120,26 @@ def test_pieces_are_dealt_evenly_before_amounts_are_read(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     # Amounts are read above the step that deals the pieces out.
     assert plan.index("Generate explode") < plan.index("RepartitionByExpression")
+
+
+def test_members_of_series_are_counted_without_joins(spark):
+    weeks = [f"2025-01-{6 + 7 * k:02d}" for k in range(3)]
+    rows = [text("x", 1, "Week | Sold | Left"), *[text("x", 2 + k, f"{w} | {k} | {'' if k == 1 else 7}") for k, w in enumerate(weeks)], text("x", 5, "all | 3 | 9")]
+    rows += [text("x", 6, "no row"), text("x", 7, "Month | Sold"), *[text("x", 8 + k, f"2025-0{k + 1} | {k}") for k in range(3)]]
+    rows += [text("y", 1, "Day | Sold"), *[text("y", 2 + k, f"2025-02-{28 + k} | {k}") for k in range(3)]]
+    sections = spark.createDataFrame(rows, T.SECTIONS).repartition(3)
+    found = T.series_numbers(sections)
+    # The months begin with no day, a week has nothing left, and February had no 29th.
+    assert sorted((r["doc"], r["column"], str(r["at"]), r["value"], r["surface"], r["anchor"]) for r in found.collect()) == [("x", "c2", w, float(k), "Week", f"x#l{2 + k}") for k, w in enumerate(weeks)]
+    # Tables are joined with their series, and with nothing else.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
+def test_a_series_is_headed_by_the_cell_above_and_rows_are_numbered_within_their_table(spark):
+    rows = [text("x", 1, "Plan | Q"), text("x", 2, "text"), text("x", 3, "Quarter | Sum"), *[text("x", 4 + k, f"Q{k + 1} 2025 | {k}") for k in range(4)], text("x", 9, " | 2025-01"), *[text("x", 10 + k, f" | 2025-0{k + 2}") for k in range(2)]]
+    sections = spark.createDataFrame(rows, T.SECTIONS).repartition(3)
+    before = T.line_rows(sections)
+    assert {(r["table"], r["ordinal"]): r["row"] for r in before.collect()} == {("lines1", 1): 1, **{("lines3", k): n for n, k in enumerate([3, 4, 5, 6, 7, 9, 10, 11], 1)}}
+    found = T.row_series(sections, T.line_tables(sections))
+    got = sorted((r["table"], r["column"], r["step"], r["n"], r["first"], r["last"], r["surface"], r["anchor"], r["from_row"], r["to_row"]) for r in found.collect())
+    assert got == [("lines3", "c1", "quarter", 4, "2025-Q1", "2025-Q4", "Quarter", "x#l3", 2, 5), ("lines3", "c2", "month", 3, "2025-01", "2025-03", "3", "x#l7", 6, 8)]
