@@ -143,3 +143,5 @@ def test_a_series_is_headed_by_the_cell_above_and_rows_are_numbered_within_their
     found = T.row_series(sections, T.line_tables(sections))
     got = sorted((r["table"], r["column"], r["step"], r["n"], r["first"], r["last"], r["surface"], r["anchor"], r["from_row"], r["to_row"]) for r in found.collect())
     assert got == [("lines3", "c1", "quarter", 4, "2025-Q1", "2025-Q4", "Quarter", "x#l3", 2, 5), ("lines3", "c2", "month", 3, "2025-01", "2025-03", "3", "x#l7", 6, 8)]
+    # Only the rows above a series are read again, by a look-up, not all rows.
+    assert "Join LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
