@@ -185,10 +185,17 @@ def front_sections(sections: DataFrame) -> DataFrame:
     return sections.withColumn("stop", stop).withColumn("nth", F.row_number().over(order)).where((F.col("stop") == 0) & (F.col("nth") <= FRONT)).drop("stop", "nth")
 
 
-def statuses(sections: DataFrame) -> DataFrame:
+def document_starts(sections: DataFrame) -> DataFrame:
+    """The documents with the anchor of their first section: doc, anchor.
+
+    They are written, as what is asked of a document's name would else be asked for each of its sections.
+    """
+    return links.written(sections.groupBy("doc").agg(F.min_by("anchor", "ordinal").alias("anchor")), "starts")
+
+
+def statuses(sections: DataFrame, starts: DataFrame) -> DataFrame:
     """The statuses that documents claim: the first capitalised word of each in the front matter, else in the file name."""
     front = front_sections(sections).select("doc", "ordinal", "anchor", F.posexplode(F.split("text", "\n")).alias("line", "said"))
-    starts = sections.groupBy("doc").agg(F.min_by("anchor", "ordinal").alias("anchor"))
     named = starts.select("doc", F.lit(1 << 40).alias("ordinal"), "anchor", F.lit(0).alias("line"), name_words(F.col("doc")).alias("said"), file_name(F.col("doc")).alias("context"))
     lines = front.select("doc", "ordinal", "anchor", "line", "said", F.col("said").alias("context")).unionByName(named)
     hits = F.filter(matches(F.col("said"), rf"(?i)\b(?:{'|'.join(STATUS_WORDS)})\b"), lambda h: h["surface"].rlike("^[A-Z]"))
@@ -204,7 +211,7 @@ def first_days(sections: DataFrame) -> DataFrame:
     return lines.groupBy("doc").agg(F.min_by("day", F.struct("ordinal", "line")).alias("day"))
 
 
-def version_pairs(sections: DataFrame, idents: DataFrame, nameds: DataFrame, status: DataFrame) -> DataFrame:
+def version_pairs(sections: DataFrame, starts: DataFrame, idents: DataFrame, nameds: DataFrame, status: DataFrame) -> DataFrame:
     """A draft and its final, two occurrences a pair; the value is `draft -> final`, the surface the identifier that names it.
 
     They share an identifier, or a name of one word in capitals, under which they alone are a
@@ -226,7 +233,6 @@ def version_pairs(sections: DataFrame, idents: DataFrame, nameds: DataFrame, sta
     for end in ("draft", "final"):
         named = named.join(twice.select(F.col("doc").alias(end)), end, "left_anti")
     text = lambda c: F.date_format(F.date_from_unix_date(c), "yyyy-MM-dd")
-    starts = sections.groupBy("doc").agg(F.min_by("anchor", "ordinal").alias("anchor"))
     said = F.concat("x.value", F.lit(", draft "), text("draft_day"), F.lit(" and final "), text("final_day"))
     rows = named.select(F.concat_ws(" -> ", "draft", "final").alias("value"), F.col("x.value").alias("surface"), said.alias("context"), F.explode(F.array("draft", "final")).alias("doc"))
     return rows.join(starts, "doc").select(F.lit("version-pair").alias("kind"), "value", F.lit(None).cast("string").alias("unit"), "surface", "doc", F.lit(0).cast("long").alias("ordinal"), F.lit(0).cast("long").alias("n"), "anchor", "context")
@@ -258,16 +264,15 @@ def row_series(sections: DataFrame, tables: DataFrame) -> DataFrame:
     return runs.select("doc", "table", "column", "step", "n", D.period_text(F.col("first")).alias("first"), D.period_text(F.col("last")).alias("last"), F.coalesce("header.text", "column").alias("surface"), F.coalesce("header.anchor", "own").alias("anchor"), "from_row", "to_row")
 
 
-def series(sections: DataFrame, tables: DataFrame) -> DataFrame:
+def series(sections: DataFrame, starts: DataFrame, tables: DataFrame) -> DataFrame:
     """Series of rows and of documents as occurrences: the value says step, form and extent."""
     rows = row_series(sections, tables)
     extent = lambda what: F.concat(F.col("n").cast("string"), F.lit(" "), F.col("step"), F.lit(f" {what} from "), F.col("first"), F.lit(" to "), F.col("last"))
     value = lambda form, where: F.concat_ws(" ", "step", F.lit(form), where)
     none = F.lit(None).cast("string").alias("unit")
     own = rows.select(F.lit("series").alias("kind"), value("rows", F.concat_ws("/", "doc", "table", "column")).alias("value"), none, "surface", "doc", F.lit(0).cast("long").alias("ordinal"), F.lit(0).cast("long").alias("n"), "anchor", extent("rows").alias("context"))
-    docs = sections.groupBy("doc").agg(F.min_by("anchor", "ordinal").alias("anchor"))
-    found = document_series(docs.select("doc"))
-    member = docs.withColumn("x", D.name_period(F.col("doc"))).where("x is not null").select("doc", "anchor", F.col("x.before").alias("before"), F.col("x.after").alias("after"))
+    found = document_series(starts.select("doc"))
+    member = starts.withColumn("x", D.name_period(F.col("doc"))).where("x is not null").select("doc", "anchor", F.col("x.before").alias("before"), F.col("x.after").alias("after"))
     joined = member.join(found, ["before", "after"])
     families = joined.select(F.lit("series").alias("kind"), value("documents", F.concat_ws("*", "before", "after")).alias("value"), none, F.col("stem").alias("surface"), "doc", F.lit(0).cast("long").alias("ordinal"), F.lit(0).cast("long").alias("n"), "anchor", extent("documents").alias("context"))
     return own.unionByName(families)
@@ -276,9 +281,9 @@ def series(sections: DataFrame, tables: DataFrame) -> DataFrame:
 def build_index(sections: DataFrame) -> DataFrame:
     """All occurrences of all seven kinds: date, amount, name, identifier, status, version-pair, series."""
     pieces, tables = links.written(text_pieces(sections), "pieces"), links.written(line_tables(sections), "line-tables")
-    lines = links.written(line_cells(tables), "line-cells")
-    idents, nameds, status = links.written(identifiers(pieces), "identifiers"), links.written(names(pieces), "names"), links.written(statuses(sections), "statuses")
-    kinds = [dates(pieces), amounts(sections, pieces, lines), nameds, idents, status, version_pairs(sections, idents, nameds, status), series(sections, tables)]
+    lines, starts = links.written(line_cells(tables), "line-cells"), document_starts(sections)
+    idents, nameds, status = links.written(identifiers(pieces), "identifiers"), links.written(names(pieces), "names"), links.written(statuses(sections, starts), "statuses")
+    kinds = [dates(pieces), amounts(sections, pieces, lines), nameds, idents, status, version_pairs(sections, starts, idents, nameds, status), series(sections, starts, tables)]
     out = kinds[0]
     for more in kinds[1:]:
         out = out.unionByName(more)

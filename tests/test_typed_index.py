@@ -1,6 +1,7 @@
 """The typed index of a small room, against values derived by hand."""
 
 import datetime as dt
+import re
 
 import pytest
 
@@ -145,3 +146,13 @@ def test_a_series_is_headed_by_the_cell_above_and_rows_are_numbered_within_their
     assert got == [("lines3", "c1", "quarter", 4, "2025-Q1", "2025-Q4", "Quarter", "x#l3", 2, 5), ("lines3", "c2", "month", 3, "2025-01", "2025-03", "3", "x#l7", 6, 8)]
     # Only the rows above a series are read again, by a look-up, not all rows.
     assert "Join LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_of_documents_are_read_once_for_a_document(spark, sections, tmp_path):
+    sections.write.parquet(f"{tmp_path}/sections")
+    own = spark.read.parquet(f"{tmp_path}/sections")
+    plan = T.build_index(own)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    scans = [i for i, line in enumerate(plan) if "Relation [doc#" in line and "cells#" in line]
+    # Before, the filter on a period in the name went below the grouping of documents, to the sections.
+    above = [line for i in scans for line in plan[i - 2 : i] if "Filter" in line]
+    assert scans and not [line for line in above if re.search(r"[A-Za-z_]+\((?:upper\(|lower\(|split\(|trim\()*doc#", line.replace("isnotnull(doc#", ""))]
